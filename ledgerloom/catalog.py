@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.functions.scalars import publish
+from ledgerloom.plans.gold import GOLD, VARIANTS
 from ledgerloom.plans.silver import SILVER
 from ledgerloom.sources.lake import Lake, lake_for
 
@@ -20,3 +21,8 @@ def register(name: str, plan: Callable[[Lake], DataFrame]) -> None:
 
 for _name in SILVER:
     register(f"silver_{_name}", lambda lake, n=_name: lake.silver(n))
+
+for _name in GOLD:
+    register(f"gold_{_name}", lambda lake, n=_name: lake.gold(n))
+for _name, _plan in VARIANTS.items():
+    register(f"gold_{_name}", _plan)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerloom.oracle.gold import DOUBLES, published
 from ledgerloom.oracle.layers import SILVER, expand, silver_published
 
 ORACLE: dict[str, str] = {}
@@ -13,3 +14,6 @@ def twin(name: str, sql: str) -> None:
 
 for _name in SILVER:
     twin(f"silver_{_name}", silver_published(_name))
+
+for _table in DOUBLES:
+    twin(_table, published(_table))
