@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.functions.scalars import publish
+from ledgerloom.plans.audit import AUDIT
 from ledgerloom.plans.gold import GOLD, VARIANTS
+from ledgerloom.plans.reference import REFERENCE
 from ledgerloom.plans.silver import SILVER
+from ledgerloom.plans.snapshots import SNAPSHOTS
+from ledgerloom.plans.staging import STAGING
+from ledgerloom.plans.views import VIEWS
+from ledgerloom.plans.workload import BUSINESS, WORKLOAD
 from ledgerloom.sources.lake import Lake, lake_for
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,3 +32,7 @@ for _name in GOLD:
     register(f"gold_{_name}", lambda lake, n=_name: lake.gold(n))
 for _name, _plan in VARIANTS.items():
     register(f"gold_{_name}", _plan)
+
+for _group in (VIEWS, REFERENCE, STAGING, SNAPSHOTS, AUDIT, WORKLOAD, BUSINESS):
+    for _name, _plan in _group.items():
+        register(_name, _plan)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerloom.oracle import rollups, workload
 from ledgerloom.oracle.gold import DOUBLES, published
 from ledgerloom.oracle.layers import SILVER, expand, silver_published
 
@@ -17,3 +18,7 @@ for _name in SILVER:
 
 for _table in DOUBLES:
     twin(_table, published(_table))
+
+for _module in (rollups, workload):
+    for _name, _sql in _module.QUERIES.items():
+        twin(_name, _sql)

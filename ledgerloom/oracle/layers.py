@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from ledgerloom.config import CLOCK, STREAM_TABLES
-from ledgerloom.sources.bindings import BINDINGS
+from ledgerloom.sources.bindings import AUDITS, BINDINGS, Binding
 
 BOOK_TS = f"TIMESTAMP '{CLOCK.book}'"
 BOOK_DAY = f"DATE '{CLOCK.book_day}'"
@@ -75,8 +75,7 @@ SOURCES = {
 }
 
 
-def bronze_sql(name: str) -> str:
-    b = BINDINGS[name]
+def bound_sql(b: Binding) -> str:
     cols = ", ".join(
         f"{e.format(ts='TIMESTAMP', branches='(SELECT count(*) FROM supplier)')} AS {c}" for c, e in b.columns.items()
     )
@@ -217,7 +216,7 @@ def silver_published(name: str) -> str:
     return f"SELECT {', '.join(cols)}, silver_loaded_at FROM silver_{name}"
 
 
-_DEFINED = re.compile(r"\b((?:bronze|silver|gold|view|stage|rule)_[a-z0-9_]+)\b")
+_DEFINED = re.compile(r"\b((?:bronze|silver|gold|audit|vw|staging|dirty|rule|ev)_[a-z0-9_]+)\b")
 DEFINITIONS: dict[str, str] = {}
 
 
@@ -230,7 +229,9 @@ def _definition(table: str) -> str | None:
     if table in DEFINITIONS:
         return DEFINITIONS[table]
     if layer == "bronze" and name in BINDINGS:
-        return bronze_sql(name)
+        return bound_sql(BINDINGS[name])
+    if layer == "audit" and name in AUDITS:
+        return bound_sql(AUDITS[name])
     if layer == "silver" and name in BINDINGS:
         return silver_sql(name)
     return None
@@ -255,4 +256,7 @@ def expand(sql: str) -> str:
     if not order:
         return sql
     ctes = ", ".join(f"{t} AS ({_definition(t)})" for t in order)
+    own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql)
+    if own:
+        return f"WITH {own[1] or ''}{ctes}, {sql[own.end():]}"
     return f"WITH {ctes} {sql}"

@@ -1,0 +1,43 @@
+"""Audit trail: access log and model decisions, and the reviews built on them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerloom.functions.scalars import count_where, mean, percent
+from ledgerloom.sources.lake import Lake
+
+
+def access_review(lake: Lake) -> DataFrame:
+    """Denied and personal-data access per user and system."""
+    denied = F.col("access_result") == "Denied"
+    personal = F.col("sensitivity_flag") == "Contains PII"
+    return lake.audit("data_access_log").groupBy("user_id", "system").agg(
+        F.count(F.lit(1)).alias("accesses"),
+        count_where(denied).alias("denied"),
+        percent(count_where(denied), F.count(F.lit(1))).alias("denied_pct"),
+        count_where(personal).alias("pii_accesses"),
+        count_where(personal & (F.col("access_type") == "EXPORT") & ~denied).alias("pii_exports"),
+        F.sum("rows_accessed").alias("rows_accessed"),
+        F.max("access_timestamp").alias("last_access"),
+    )
+
+
+def override_review(lake: Lake) -> DataFrame:
+    """How often people overrule each model version, and how sure the model was."""
+    return lake.audit("model_decisions").groupBy("model_name", "model_version", "decision").agg(
+        F.count(F.lit(1)).alias("decisions"),
+        count_where(F.col("manual_override")).alias("overrides"),
+        percent(count_where(F.col("manual_override")), F.count(F.lit(1))).alias("override_rate_pct"),
+        mean("confidence_score", 2).alias("avg_confidence"),
+        F.countDistinct("override_by").alias("overriders"),
+    )
+
+
+AUDIT = {
+    "audit_data_access_log": lambda lake: lake.audit("data_access_log"),
+    "audit_model_decisions": lambda lake: lake.audit("model_decisions"),
+    "audit_access_review": access_review,
+    "audit_model_overrides": override_review,
+}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.config import CLOCK, STREAM_TABLES, Clock
-from ledgerloom.sources.bindings import BINDINGS
+from ledgerloom.sources.bindings import AUDITS, BINDINGS, Binding
 from ledgerloom.sources.landing import Landing
 
 
@@ -37,7 +37,10 @@ class Lake:
         return self.clock.stream if name in STREAM_TABLES else self.clock.book
 
     def bronze(self, name: str) -> DataFrame:
-        return self._once(f"bronze_{name}", lambda: bind(self.landing, name))
+        return self._once(f"bronze_{name}", lambda: bind(self.landing, BINDINGS[name]))
+
+    def audit(self, name: str) -> DataFrame:
+        return self._once(f"audit_{name}", lambda: bind(self.landing, AUDITS[name]))
 
     def silver(self, name: str) -> DataFrame:
         from ledgerloom.plans.silver import refine
@@ -55,8 +58,7 @@ class Lake:
         return {"bronze": self.bronze, "silver": self.silver, "gold": self.gold}[layer](name)
 
 
-def bind(landing: Landing, name: str) -> DataFrame:
-    binding = BINDINGS[name]
+def bind(landing: Landing, binding: Binding) -> DataFrame:
     frame = landing.source(binding.source)
     if binding.where:
         frame = frame.where(binding.where)
