@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.functions.scalars import publish
 from ledgerloom.plans.audit import AUDIT
 from ledgerloom.plans.gold import GOLD, VARIANTS
+from ledgerloom.plans.quality import QUALITY
 from ledgerloom.plans.reference import REFERENCE
 from ledgerloom.plans.silver import SILVER
 from ledgerloom.plans.snapshots import SNAPSHOTS
@@ -33,6 +34,6 @@ for _name in GOLD:
 for _name, _plan in VARIANTS.items():
     register(f"gold_{_name}", _plan)
 
-for _group in (VIEWS, REFERENCE, STAGING, SNAPSHOTS, AUDIT, WORKLOAD, BUSINESS):
+for _group in (VIEWS, REFERENCE, STAGING, SNAPSHOTS, AUDIT, WORKLOAD, BUSINESS, QUALITY):
     for _name, _plan in _group.items():
         register(_name, _plan)
