@@ -12,6 +12,7 @@ from ledgerloom.plans.gold import GOLD, VARIANTS
 from ledgerloom.plans.governance import GOVERNANCE
 from ledgerloom.plans.quality import QUALITY
 from ledgerloom.plans.reference import REFERENCE
+from ledgerloom.plans.scoring import SCORING
 from ledgerloom.plans.silver import SILVER
 from ledgerloom.plans.snapshots import SNAPSHOTS
 from ledgerloom.plans.staging import STAGING
@@ -35,6 +36,6 @@ for _name in GOLD:
 for _name, _plan in VARIANTS.items():
     register(f"gold_{_name}", _plan)
 
-for _group in (VIEWS, REFERENCE, STAGING, SNAPSHOTS, AUDIT, WORKLOAD, BUSINESS, QUALITY, GOVERNANCE):
+for _group in (VIEWS, REFERENCE, STAGING, SNAPSHOTS, AUDIT, WORKLOAD, BUSINESS, QUALITY, GOVERNANCE, SCORING):
     for _name, _plan in _group.items():
         register(_name, _plan)

@@ -64,6 +64,8 @@ SOURCES = {
                      "UNION ALL SELECT *, 1 FROM customer WHERE c_custkey % 50 = 0)",
     "order_lines": "lineitem JOIN orders ON l_orderkey = o_orderkey",
     "branch_sites": "supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "replies": "(SELECT 'C-' || conv_id || '-' || turn AS reply_id, conv_id * 7 + turn AS k, text FROM conversations "
+               "WHERE role = 'assistant' UNION ALL SELECT 'D-' || doc_id, doc_id, text FROM documents)",
     "market_days": "(SELECT l_suppkey % 10 AS slot, CAST(l_shipdate AS DATE) AS market_day, "
                    "CAST(sum(CAST(l_discount AS DECIMAL(12,6))) AS DECIMAL(18,6)) AS sum_discount, "
                    "CAST(sum(CAST(l_tax AS DECIMAL(12,6))) AS DECIMAL(18,6)) AS sum_tax, "

@@ -89,6 +89,16 @@ class Landing:
             )
         )
 
+    def _replies(self) -> DataFrame:
+        """Assistant turns and documents as one stream of texts with a numeric key."""
+        turns = self.table("conversations").where(F.col("role") == "assistant").select(
+            F.concat(F.lit("C-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+            .alias("reply_id"),
+            (F.col("conv_id") * 7 + F.col("turn")).alias("k"), "text")
+        documents = self.table("documents").select(
+            F.concat(F.lit("D-"), F.col("doc_id").cast("string")).alias("reply_id"), F.col("doc_id").alias("k"), "text")
+        return turns.unionByName(documents)
+
     def _quarters(self, slots: int) -> DataFrame:
         quarters = (
             self.table("orders")
