@@ -18,6 +18,7 @@ from ledgerloom.plans.snapshots import SNAPSHOTS
 from ledgerloom.plans.staging import STAGING
 from ledgerloom.plans.views import VIEWS
 from ledgerloom.plans.workload import BUSINESS, WORKLOAD
+from ledgerloom.streaming.jobs import STREAMS
 from ledgerloom.sources.lake import Lake, lake_for
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,6 @@ for _name in GOLD:
 for _name, _plan in VARIANTS.items():
     register(f"gold_{_name}", _plan)
 
-for _group in (VIEWS, REFERENCE, STAGING, SNAPSHOTS, AUDIT, WORKLOAD, BUSINESS, QUALITY, GOVERNANCE, SCORING):
+for _group in (VIEWS, REFERENCE, STAGING, SNAPSHOTS, AUDIT, WORKLOAD, BUSINESS, QUALITY, GOVERNANCE, SCORING, STREAMS):
     for _name, _plan in _group.items():
         register(_name, _plan)

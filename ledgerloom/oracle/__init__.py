@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.oracle import governance, quality, rollups, scoring, workload
+from ledgerloom.oracle import governance, quality, rollups, scoring, streams, workload
 from ledgerloom.oracle.gold import DOUBLES, published
 from ledgerloom.oracle.layers import SILVER, expand, silver_published
 
@@ -19,6 +19,6 @@ for _name in SILVER:
 for _table in DOUBLES:
     twin(_table, published(_table))
 
-for _module in (rollups, workload, quality, governance, scoring):
+for _module in (rollups, workload, quality, governance, scoring, streams):
     for _name, _sql in _module.QUERIES.items():
         twin(_name, _sql)

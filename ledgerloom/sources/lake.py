@@ -58,14 +58,17 @@ class Lake:
         return {"bronze": self.bronze, "silver": self.silver, "gold": self.gold}[layer](name)
 
 
-def bind(landing: Landing, binding: Binding) -> DataFrame:
-    frame = landing.source(binding.source)
+def project(binding: Binding, frame: DataFrame, branches: int | None = None) -> DataFrame:
+    """The columns of a binding over any frame with its source columns, streaming ones included."""
     if binding.where:
         frame = frame.where(binding.where)
-    fill = {"ts": "timestamp_ntz", "branches": ""}
-    if any("{branches}" in e for e in binding.columns.values()):
-        fill["branches"] = str(landing.branch_count)
-    return frame.select([F.expr(e.format(**fill)).alias(c) for c, e in binding.columns.items()])
+    return frame.select([
+        F.expr(e.format(ts="timestamp_ntz", branches=branches)).alias(c) for c, e in binding.columns.items()])
+
+
+def bind(landing: Landing, binding: Binding) -> DataFrame:
+    branches = landing.branch_count if any("{branches}" in e for e in binding.columns.values()) else None
+    return project(binding, landing.source(binding.source), branches)
 
 
 _LAKES: dict[tuple[int, str], Lake] = {}
