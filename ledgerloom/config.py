@@ -57,7 +57,7 @@ def session(app: str = "ledgerloom", master: str | None = None, partitions: int
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         builder = builder.config("spark.driver.memory", os.environ.get("LEDGERLOOM_DRIVER_MEMORY", "8g"))
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
