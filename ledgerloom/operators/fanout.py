@@ -66,3 +66,22 @@ def side_by_side(
         factor = product([at_least_one(arm.rows) for arm in arms]) if repeat else F.lit(1).cast("bigint")
         columns.append(factor.alias(rows_as))
     return joined.select(columns)
+
+
+def left_join_many(parent: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """Left join where one parent key may own very many children.
+
+    AQE can split a hot key of an inner join but not the optional side of a
+    left join, so the matches come from an inner join and the childless parents
+    from an anti join.
+    """
+    matched = children.join(parent, key)
+    alone = parent.join(children, key, "left_anti")
+    return alone.unionByName(matched, allowMissingColumns=True)
+
+
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of two aggregates over the same groups; NULL is a group like any other."""
+    renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return left.join(renamed, same).drop(*[f"_{k}" for k in keys])

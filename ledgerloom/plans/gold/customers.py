@@ -20,7 +20,7 @@ from ledgerloom.functions.scalars import (
     total,
     ts_lit,
 )
-from ledgerloom.operators.fanout import Arm, at_least_one, side_by_side
+from ledgerloom.operators.fanout import Arm, at_least_one, join_groups, left_join_many, side_by_side
 from ledgerloom.sources.lake import Lake
 
 CUSTOMER_COLUMNS = (
@@ -52,9 +52,10 @@ def customer_360(lake: Lake, repeat: bool = True) -> DataFrame:
     )
     wealth = lake.silver("wm_clients").select(
         F.col("retail_customer_id").alias("customer_id"), "wm_client_id", F.col("client_tier").alias("wealth_tier"),
-        F.col("total_aum").alias("aum"))
+        F.col("total_aum").alias("aum")).where(F.col("customer_id").isNotNull())
     # A wealth client is part of the output grain, so it takes no repetition factor.
-    parent = lake.silver("customers").select(*CUSTOMER_COLUMNS).join(wealth, "customer_id", "left")
+    parent = lake.silver("customers").select(*CUSTOMER_COLUMNS)
+    parent = left_join_many(parent, wealth, "customer_id")
     joined = side_by_side(parent, "customer_id", [
         Arm(accounts, "total_accounts", ("deposits",)),
         Arm(loans, "total_loans", ("loan_balance",)),
@@ -125,19 +126,23 @@ def account_summary_dormancy_fixed(lake: Lake) -> DataFrame:
 
 
 def transaction_patterns(lake: Lake) -> DataFrame:
-    """Monthly volumes by channel, merchant category and type."""
-    return (
-        lake.silver("transactions").where(F.col("transaction_date").isNotNull())
-        .groupBy(month_of("transaction_date").alias("month"), "channel", "merchant_category", "transaction_type")
-        .agg(
-            F.count(F.lit(1)).alias("transaction_count"),
-            total("amount").alias("total_amount"),
-            mean("amount", 2).alias("avg_amount"),
-            F.round(F.percentile_approx("amount", 0.5, 10000), 2).alias("median_amount"),
-            F.countDistinct("account_id").alias("unique_accounts"),
-            count_where(F.col("fraud_score") > FRAUD_SCORE_ALERT).alias("high_fraud_score_count"),
-        )
-    )
+    """Monthly volumes by channel, merchant category and type.
+
+    The distinct accounts are counted on their own: next to a distinct count
+    the quantile sketches would be kept per account instead of per group.
+    """
+    keys = ["month", "channel", "merchant_category", "transaction_type"]
+    rows = lake.silver("transactions").where(F.col("transaction_date").isNotNull()).select(
+        month_of("transaction_date").alias("month"), *keys[1:], "account_id", "amount", "fraud_score")
+    measures = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("transaction_count"),
+        total("amount").alias("total_amount"),
+        mean("amount", 2).alias("avg_amount"),
+        F.round(F.percentile_approx("amount", 0.5, 10000), 2).alias("median_amount"),
+        count_where(F.col("fraud_score") > FRAUD_SCORE_ALERT).alias("high_fraud_score_count"),
+    )
+    accounts = rows.groupBy(*keys).agg(F.countDistinct("account_id").alias("unique_accounts"))
+    return join_groups(measures, accounts, keys)
 
 
 def aml_risk_scoring(lake: Lake, repeat: bool = True) -> DataFrame:

@@ -66,9 +66,11 @@ def liquidity_coverage(lake: Lake) -> DataFrame:
         return F.sum(F.when(cond, value * dec(F.lit(haircut), 2, 4)).otherwise(dec(F.lit(0), 4)))
 
     liquid = (
-        lake.silver("holdings").select("security_id", "as_of_date", "market_value")
+        # one row per security and quarter goes into the join, however many lots are held
+        lake.silver("holdings").groupBy("security_id", quarter_of("as_of_date").alias("quarter"))
+        .agg(F.sum("market_value").alias("market_value"))
         .join(lake.silver("securities").select("security_id", "security_type", "credit_rating"), "security_id")
-        .groupBy(quarter_of("as_of_date").alias("quarter"))
+        .groupBy("quarter")
         .agg(
             level(kind.isin("Treasury Bond", "Money Market"), 1.0).alias("l1"),
             level(kind == "Municipal Bond", 0.85).alias("l2a"),

@@ -140,17 +140,29 @@ def advisor_scorecard(lake: Lake, repeat: bool = True) -> DataFrame:
 
 
 def fee_revenue(lake: Lake) -> DataFrame:
+    """Fees by type, frequency and client tier.
+
+    Schedules are reduced to one row per client, type and frequency before the
+    join, so a client with very many schedules is one row, and clients need no
+    distinct count.
+    """
+    rate, fee = F.col("fee_rate_bps"), F.col("last_fee_amount")
+    billed = lake.silver("fee_schedules").where("is_active").groupBy(
+        "wm_client_id", "fee_type", "billing_frequency"
+    ).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(rate).alias("rate_sum"), F.count(rate).alias("rate_n"),
+        F.min(rate).alias("rate_min"), F.max(rate).alias("rate_max"),
+        F.sum(fee).alias("fee_sum"), F.count(fee).alias("fee_n"))
     clients = lake.silver("wm_clients").select("wm_client_id", "client_tier")
     return (
-        lake.silver("fee_schedules").where("is_active").join(clients, "wm_client_id")
-        .groupBy("fee_type", "billing_frequency", "client_tier")
+        billed.join(clients, "wm_client_id").groupBy("fee_type", "billing_frequency", "client_tier")
         .agg(
-            F.countDistinct("wm_client_id").alias("client_count"),
-            F.count(F.lit(1)).alias("schedule_count"),
-            mean("fee_rate_bps", 2).alias("avg_fee_rate_bps"),
-            total("last_fee_amount").alias("total_fees"),
-            mean("last_fee_amount", 2).alias("avg_fee_amount"),
-            F.round(F.min("fee_rate_bps"), 2).alias("min_fee_rate_bps"),
-            F.round(F.max("fee_rate_bps"), 2).alias("max_fee_rate_bps"),
+            F.count(F.lit(1)).alias("client_count"),
+            F.sum("n").alias("schedule_count"),
+            ratio(F.sum("rate_sum"), F.sum("rate_n"), 2).alias("avg_fee_rate_bps"),
+            F.round(F.sum("fee_sum"), 2).alias("total_fees"),
+            ratio(F.sum("fee_sum"), F.sum("fee_n"), 2).alias("avg_fee_amount"),
+            F.round(F.min("rate_min"), 2).alias("min_fee_rate_bps"),
+            F.round(F.max("rate_max"), 2).alias("max_fee_rate_bps"),
         )
     )

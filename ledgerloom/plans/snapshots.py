@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import dec, mean, or_zero, ratio, round_to, safe_div
+from ledgerloom.functions.scalars import dec, mean, or_zero, quarter_end, ratio, round_to, safe_div
 from ledgerloom.sources.lake import Lake
 
 MONTHS = 12
@@ -33,6 +33,10 @@ def _grid(days: list[date]):
     return F.array(*[F.lit(d).cast("date") for d in days])
 
 
+def _quarter_number(d) -> Column:
+    return F.year(d) * 4 + F.quarter(d)
+
+
 def monthly_balances(lake: Lake) -> DataFrame:
     """Balance, interest and activity of every account at each of the last month ends.
 
@@ -73,19 +77,20 @@ def quarterly_positions(lake: Lake) -> DataFrame:
     anything is ordered, so a pair with very many lots stays small.
     """
     ends = quarter_ends(lake.clock.book_day, QUARTERS)
-    grid = _grid(ends)
-    bucket = F.array_min(F.filter(grid, lambda q: q >= F.col("as_of_date")))
+    first, last = F.lit(ends[0]).cast("date"), F.lit(ends[-1]).cast("date")
     newest = (
-        lake.silver("holdings").withColumn("bucket", bucket).where(F.col("bucket").isNotNull())
-        .groupBy("portfolio_id", "security_id", "bucket")
+        lake.silver("holdings").where(F.col("as_of_date") <= last)
+        .groupBy("portfolio_id", "security_id", F.greatest(quarter_end("as_of_date"), first).alias("bucket"))
         .agg(F.max_by(F.struct("market_value", "cost_basis"), F.struct("as_of_date", "holding_id")).alias("position"))
     )
+    # A position holds from its own quarter end up to the one before its successor.
     pair = Window.partitionBy("portfolio_id", "security_id").orderBy("bucket")
-    upcoming = F.lead("bucket").over(pair)
-    held = newest.withColumn("upcoming", upcoming).select(
+    start = _quarter_number("bucket") - _quarter_number(first)
+    stop = F.coalesce(
+        F.lead(_quarter_number("bucket")).over(pair) - _quarter_number(first), F.lit(len(ends)))
+    held = newest.withColumns({"start": start, "stop": stop}).select(
         "portfolio_id", "position.market_value", "position.cost_basis",
-        F.explode(F.filter(grid, lambda q: (q >= F.col("bucket"))
-                           & (F.col("upcoming").isNull() | (q < F.col("upcoming"))))).alias("snapshot_date"))
+        F.explode(F.slice(_grid(ends), F.col("start") + 1, F.col("stop") - F.col("start"))).alias("snapshot_date"))
     totals = held.groupBy("portfolio_id", "snapshot_date").agg(
         F.sum("market_value").alias("market_value"), F.sum("cost_basis").alias("cost_basis"),
         F.count(F.lit(1)).alias("holding_count"))

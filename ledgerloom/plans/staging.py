@@ -42,24 +42,27 @@ def _filed(lake: Lake, df: DataFrame, amount: Column) -> DataFrame:
         F.lit("Filed").alias("status"), ts_lit(lake.clock.book).alias("created_at"))
 
 
-def _ledger_lines(lake: Lake, schedule: str) -> DataFrame:
+def _ledger_lines(lake: Lake, schedules: tuple[str, ...]) -> DataFrame:
     """Net postings per quarter and line, signed by the normal balance of the account type."""
-    lines = posted_lines(lake, quarter_end("posting_date").alias("reporting_date")).where(
-        F.col("call_report_line").startswith(schedule))
+    line = F.col("call_report_line")
+    wanted = line.startswith(schedules[0])
+    for prefix in schedules[1:]:
+        wanted = wanted | line.startswith(prefix)
+    lines = posted_lines(lake, quarter_end("posting_date").alias("reporting_date")).where(wanted)
     debit, credit = or_zero("debits"), or_zero("credits")
     net = F.when(F.col("l1_type").isin(*DEBIT_NORMAL), debit - credit).otherwise(credit - debit)
     grouped = lines.groupBy(
-        "reporting_date", F.col("call_report_line").alias("schedule_line"), F.col("l2_category").alias("line_description")
+        "reporting_date", line.alias("schedule_line"), F.col("l2_category").alias("line_description")
     ).agg(F.sum(net).alias("net"))
     return _filed(lake, grouped, F.round("net", 0))
 
 
 def call_report_rc(lake: Lake) -> DataFrame:
-    return _ledger_lines(lake, "RC-")
+    return _ledger_lines(lake, ("RC-",))
 
 
 def call_report_ri(lake: Lake) -> DataFrame:
-    return _ledger_lines(lake, "RI-")
+    return _ledger_lines(lake, ("RI-",))
 
 
 def call_report_rc_r(lake: Lake) -> DataFrame:
@@ -117,10 +120,8 @@ def call_report_rc_c(lake: Lake) -> DataFrame:
 
 def fr_y9c(lake: Lake) -> DataFrame:
     """Consolidated statement: the lines of the other schedules under their consolidated codes."""
-    schedules = (
-        call_report_rc(lake).unionByName(call_report_ri(lake)).unionByName(call_report_rc_r(lake))
-        .unionByName(call_report_rc_c(lake))
-    )
+    ledger = _ledger_lines(lake, ("RC-", "RI-"))  # one pass over the postings for both schedules
+    schedules = ledger.unionByName(call_report_rc_r(lake)).unionByName(call_report_rc_c(lake))
     line = F.col("schedule_line")
     codes = F.array_compact(F.array(*[
         F.when(line.isin(*parts), F.struct(F.lit(code).alias("schedule_line"), F.lit(text).alias("line_description")))

@@ -248,16 +248,16 @@ def cross_sell_mortgage(lake: Lake) -> DataFrame:
 def cre_stress(lake: Lake) -> DataFrame:
     """Capital ratios after a five percent default of the commercial loan book."""
     loss_rate = F.lit(f"{CRE_DEFAULT_RATE * CRE_LOSS_GIVEN_DEFAULT:.4f}").cast("decimal(6,4)")
-    book = lake.silver("loans").where(F.col("loan_type") == "COMMERCIAL").agg(
-        F.sum("current_balance").alias("cre_balance"))
-    scenario = book.select("cre_balance", F.round(F.col("cre_balance") * loss_rate, 2).alias("stressed_loss"))
-    capital = latest_capital(lake).select("capital_component", "capital_amount", "risk_weighted_assets")
-    # One scenario row against the four components of one date.
-    return capital.join(F.broadcast(scenario), F.lit(True)).select(
-        "capital_component", "capital_amount", "risk_weighted_assets", "cre_balance", "stressed_loss",
-        (F.col("capital_amount") - F.col("stressed_loss")).alias("stressed_capital"),
-        ratio("capital_amount", "risk_weighted_assets", 4).alias("base_ratio"),
-        ratio(F.col("capital_amount") - F.col("stressed_loss"), "risk_weighted_assets", 4).alias("stressed_ratio"))
+    book = lake.silver("loans").where(F.col("loan_type") == "COMMERCIAL")
+    balance = book.agg(F.sum("current_balance")).scalar()
+    loss = book.agg(F.round(F.sum("current_balance") * loss_rate, 2)).scalar()
+    scenario = latest_capital(lake).select(
+        "capital_component", "capital_amount", "risk_weighted_assets", balance.alias("cre_balance"),
+        loss.alias("stressed_loss"))
+    left = F.col("capital_amount") - F.col("stressed_loss")
+    return scenario.select(
+        "*", left.alias("stressed_capital"), ratio("capital_amount", "risk_weighted_assets", 4).alias("base_ratio"),
+        ratio(left, "risk_weighted_assets", 4).alias("stressed_ratio"))
 
 
 def product_penetration(lake: Lake) -> DataFrame:

@@ -98,7 +98,15 @@ def glossary_citation(text: Column, expected: Column) -> Column:
 
 
 def metadata_types(text: Column) -> Column:
-    return named({kind: text.rlike("|".join(patterns)) for kind, patterns in METADATA_PATTERNS.items()})
+    """Kinds of metadata a text cites. Plain words are searched as text; only real patterns use a regex."""
+    found = {}
+    for kind, patterns in METADATA_PATTERNS.items():
+        cited = has_any(text, [p for p in patterns if "*" not in p])
+        for p in patterns:
+            if "*" in p:
+                cited = cited | text.rlike(p)
+        found[kind] = cited
+    return named(found)
 
 
 def metadata_citation(found: Column, expected: Column) -> Column:

@@ -122,7 +122,12 @@ def velocity_sliding(lake: Lake, stream: DataFrame | None = None) -> DataFrame:
 
 
 def sessions(lake: Lake, stream: DataFrame | None = None) -> DataFrame:
-    """Sessions of activity per user, closed after half an hour of silence."""
+    """Sessions of activity per user, closed after half an hour of silence.
+
+    Events of a user merge inside each partition before the shuffle, so a very
+    busy user arrives as sessions, not as events.
+    """
+    lake.spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     events = stream if stream is not None else arriving(lake, "events")
     closed = (
         events.select(instant("ts").alias("ts"), "user_id", "event_type").withWatermark("ts", LATENESS)
