@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 def latest(df: DataFrame, key: str | list[str], order_by: str = "created_at") -> DataFrame:
     """Keep the newest row of each key.
 
-    Equal times are settled by the remaining columns, so reruns and retries
-    keep the same row. Catalyst puts a group limit below the shuffle for the
+    Equal times are settled by a hash of the whole row, so reruns and retries
+    keep the same row while the sort and the shuffle carry one number instead
+    of every column. Catalyst puts a group limit below the shuffle for the
     `= 1` filter: each map task sends at most one row per key, so a key that
     holds a third of the table does not pile up in one task.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    rest = [c for c in df.columns if c not in keys and c != order_by]
-    order = [F.col(c).desc() for c in [order_by, *rest]]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") == 1).drop("_rank")
+    newest = Window.partitionBy(*keys).orderBy(F.col(order_by).desc(), F.xxhash64(*df.columns).desc())
+    return df.withColumn("_rank", F.row_number().over(newest)).where(F.col("_rank") == 1).drop("_rank")

@@ -10,6 +10,7 @@ from ledgerloom.functions.scalars import dbl, ratio, round_to
 
 SAMPLE_SHARE = 0.25
 SAMPLE_SEED = 7
+SAMPLE_SLOTS = 10_000
 QUARTILES = (0.25, 0.5, 0.75)
 
 
@@ -17,6 +18,12 @@ def _numeric(t: T.DataType) -> bool:
     return isinstance(t, T.NumericType)
 
 
+def hash_sample(df: DataFrame, share: float, seed: int = SAMPLE_SEED) -> DataFrame:
+    """The rows whose hash falls into the share: the same rows on every run, retry and partitioning."""
+    slot = F.pmod(F.xxhash64(*df.columns, F.lit(seed)), F.lit(SAMPLE_SLOTS))
+    return df.where(slot < int(share * SAMPLE_SLOTS))
+
+
 def profile(
     df: DataFrame, *, sample: float | None = SAMPLE_SHARE, exact: bool = False, accuracy: int = 10_000
 ) -> DataFrame:
@@ -27,7 +34,7 @@ def profile(
     stays distributed for any number of columns; otherwise by a sketch.
     """
     if sample is not None:
-        df = df.sample(sample, seed=SAMPLE_SEED)
+        df = hash_sample(df, sample)
     fields = df.schema.fields
     aggs: list[Column] = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):

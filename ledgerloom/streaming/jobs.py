@@ -33,8 +33,15 @@ def _epoch() -> Column:
 
 
 def instant(c: str) -> Column:
-    """Zone-free time as the UTC instant the watermark needs, whatever the session time zone is."""
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), F.col(c)))
+    """Zone-free time as the UTC instant the watermark needs.
+
+    Built from the date and time fields: arithmetic on zone-free times passes
+    through the session time zone and would move the hour of a clock change.
+    """
+    t = F.col(c)
+    seconds = F.hour(t) * 3600 + F.minute(t) * 60 + F.unix_date(t.cast("date")).cast("bigint") * 86400
+    fraction = F.extract(F.lit("SECOND"), t) * F.lit(1_000_000)
+    return F.timestamp_micros(seconds * F.lit(1_000_000).cast("bigint") + fraction.cast("bigint"))
 
 
 def wall(c: str) -> Column:
