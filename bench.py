@@ -73,7 +73,7 @@ def main() -> None:
         times[name] = round(statistics.median(taken), 3)
     print(json.dumps({
         "metric": "headline_queries_wall_time", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": os.path.basename(path.rstrip("/")).removeprefix("sf"), "cpus": int(cpus), "runs": runs}))
+        "queries": times, "sf": float(os.path.basename(path.rstrip("/")).removeprefix("sf")), "cpus": int(cpus), "runs": runs}))
     spark.stop()
 
 

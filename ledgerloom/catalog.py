@@ -19,6 +19,7 @@ from ledgerloom.plans.staging import STAGING
 from ledgerloom.plans.views import VIEWS
 from ledgerloom.plans.workload import BUSINESS, WORKLOAD
 from ledgerloom.streaming.jobs import STREAMS
+from ledgerloom.sources.bindings import BINDINGS
 from ledgerloom.sources.lake import Lake, lake_for
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,8 @@ def register(name: str, plan: Callable[[Lake], DataFrame]) -> None:
     QUERIES[name] = lambda spark, sf_dir: publish(plan(lake_for(spark, sf_dir)))
 
 
+for _name in BINDINGS:
+    register(f"bronze_{_name}", lambda lake, n=_name: lake.bronze(n))
 for _name in SILVER:
     register(f"silver_{_name}", lambda lake, n=_name: lake.silver(n))
 

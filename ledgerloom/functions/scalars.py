@@ -83,9 +83,31 @@ def quarter_end(c: Column | str) -> Column:
     return F.last_day(F.add_months(quarter_of(c), 2))
 
 
-def hours_between(start: str, end: str) -> Column:
-    """Whole hours elapsed, truncated toward zero."""
-    return F.timestamp_diff("HOUR", F.col(start), F.col(end))
+def micros(c: Column | str) -> Column:
+    """Microseconds of a zone-free time since 1970.
+
+    Built from the date and time fields: arithmetic on zone-free times passes
+    through the session time zone and would move the hour of a clock change.
+    """
+    t = _col(c)
+    seconds = F.unix_date(t.cast("date")).cast("bigint") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60
+    fraction = F.extract(F.lit("SECOND"), t) * F.lit(1_000_000)
+    return seconds * F.lit(1_000_000).cast("bigint") + fraction.cast("bigint")
+
+
+def elapsed(start: Column | str, end: Column | str, unit_seconds: int) -> Column:
+    """Whole units between two zone-free times, truncated toward zero."""
+    unit = F.lit(unit_seconds * 1_000_000).cast("bigint")
+    gap = micros(end) - micros(start)
+    return ((gap - gap % unit) / unit).cast("bigint")
+
+
+def hours_between(start: Column | str, end: Column | str) -> Column:
+    return elapsed(start, end, 3600)
+
+
+def minutes_between(start: Column | str, end: Column | str) -> Column:
+    return elapsed(start, end, 60)
 
 
 def parse_day(c: Column | str) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from ledgerloom.oracle import governance, quality, rollups, scoring, streams, workload
 from ledgerloom.oracle.gold import DOUBLES, published
-from ledgerloom.oracle.layers import SILVER, expand, silver_published
+from ledgerloom.oracle.layers import SILVER, bronze_published, expand, silver_published
+from ledgerloom.sources.bindings import BINDINGS
 
 ORACLE: dict[str, str] = {}
 
@@ -13,6 +14,8 @@ def twin(name: str, sql: str) -> None:
     ORACLE[name] = expand(sql)
 
 
+for _name in BINDINGS:
+    twin(f"bronze_{_name}", bronze_published(_name))
 for _name in SILVER:
     twin(f"silver_{_name}", silver_published(_name))
 

@@ -89,6 +89,12 @@ def bronze_decimals(name: str) -> set[str]:
     return {c for c, e in BINDINGS[name].columns.items() if "DECIMAL(" in e}
 
 
+def bronze_published(name: str) -> str:
+    decimals = bronze_decimals(name)
+    cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" if c in decimals else c for c in BINDINGS[name].columns)
+    return f"SELECT {cols} FROM bronze_{name}"
+
+
 def _abs2(*cols: str) -> dict[str, str]:
     return {c: f"CAST(round(abs({c}), 2) AS DECIMAL(18,2))" for c in cols}
 

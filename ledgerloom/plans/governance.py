@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.scalars import count_where, day_lit, is_true, ts_lit
+from ledgerloom.functions.scalars import count_where, day_lit, is_true, minutes_between, ts_lit
 from ledgerloom.operators.closure import closure
 from ledgerloom.operators.policy import apply_policy
 from ledgerloom.plans.silver import SILVER
@@ -158,7 +158,7 @@ def freshness_check(lake: Lake) -> DataFrame:
     newest = reduce(DataFrame.unionByName, loads)
     contract = lake.spark.createDataFrame(
         assets, "product string, asset string, every int, slack int, source string")
-    age = F.timestamp_diff("MINUTE", F.col("loaded_at"), F.col("now"))
+    age = minutes_between("loaded_at", "now")
     limit = F.col("every") + F.col("slack")
     return (
         newest.join(F.broadcast(contract), "source")  # a few dozen literal rows

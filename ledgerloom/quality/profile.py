@@ -43,17 +43,13 @@ def profile(
         if not exact:
             aggs.append(F.approx_count_distinct(c).alias(f"d{i}"))
         if _numeric(f.dataType):
-            x = c.cast(T.DecimalType(18, 6))
-            aggs += [F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}"),
+            aggs += [F.sum(c.cast(T.DecimalType(18, 6))).alias(f"s{i}"), F.stddev_samp(dbl(c)).alias(f"q{i}"),
                      F.percentile_approx(c, list(QUARTILES), accuracy).alias(f"p{i}")]
     wide = df.agg(*aggs)
 
     def row(i: int, f: T.StructField) -> Column:
         if _numeric(f.dataType):
-            n, s, q = dbl(f"n{i}"), dbl(f"s{i}"), dbl(f"q{i}")
-            var = F.greatest(F.try_divide(n * q - s * s, n * (n - 1)), F.lit(0.0))
-            numbers = [round_to(F.try_divide(s, n), 4).cast("double"),
-                       F.when(F.col(f"n{i}") > 1, round_to(F.sqrt(var), 4).cast("double")),
+            numbers = [ratio(f"s{i}", f"n{i}", 4).cast("double"), round_to(f"q{i}", 4).cast("double"),
                        *[dbl(F.col(f"p{i}")[k]) for k in range(3)]]
         else:
             numbers = [F.lit(None).cast("double")] * 5

@@ -1,7 +1,7 @@
 """The lake: bronze, silver and gold tables of one data directory as lazy DataFrames.
 
 Every table is a plan over the tables below it. `Lake.pin` puts a stored copy of
-a table in front of its plan, which is how a pipeline run reuses what an
+a table in front of its plan, which is how a full build reuses what an
 earlier layer has already written.
 """
 
@@ -71,11 +71,11 @@ def bind(landing: Landing, binding: Binding) -> DataFrame:
     return project(binding, landing.source(binding.source), branches)
 
 
-_LAKES: dict[tuple[int, str], Lake] = {}
+_LAKES: dict[tuple[str, int, str], Lake] = {}
 
 
 def lake_for(spark: SparkSession, path: str) -> Lake:
-    key = (id(spark), path)
+    key = (spark.sparkContext.applicationId, id(spark), path)
     if key not in _LAKES:
         _LAKES[key] = Lake(spark, path)
     return _LAKES[key]

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import is_true
+from ledgerloom.functions.scalars import is_true, micros
 from ledgerloom.operators.checkpoints import scratch
 from ledgerloom.operators.latest import latest
 from ledgerloom.sources.bindings import BINDINGS
@@ -33,15 +33,8 @@ def _epoch() -> Column:
 
 
 def instant(c: str) -> Column:
-    """Zone-free time as the UTC instant the watermark needs.
-
-    Built from the date and time fields: arithmetic on zone-free times passes
-    through the session time zone and would move the hour of a clock change.
-    """
-    t = F.col(c)
-    seconds = F.hour(t) * 3600 + F.minute(t) * 60 + F.unix_date(t.cast("date")).cast("bigint") * 86400
-    fraction = F.extract(F.lit("SECOND"), t) * F.lit(1_000_000)
-    return F.timestamp_micros(seconds * F.lit(1_000_000).cast("bigint") + fraction.cast("bigint"))
+    """Zone-free time as the UTC instant the watermark needs."""
+    return F.timestamp_micros(micros(c))
 
 
 def wall(c: str) -> Column:

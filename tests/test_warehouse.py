@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.gold import GOLD
-from ledgerloom.plans.pipeline import build
+from ledgerloom.plans.build import build
 from ledgerloom.sources.lake import Lake
 from ledgerloom.sources.warehouse import Warehouse, read_json_lines, write_json_lines
 from tests.conftest import SMALL
