@@ -9,8 +9,7 @@ QUERIES: dict[str, str] = {}
 _MARK = "(SELECT max({c}) - INTERVAL 10 MINUTE FROM {t})"
 QUERIES["st_cdc_latest"] = """
 SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC,
-  l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC, l_discount DESC, l_tax DESC,
-  l_returnflag DESC, l_linestatus DESC) = 1"""
+  l_partkey DESC, l_suppkey DESC) = 1"""
 QUERIES["st_fraud_tumbling"] = f"""
 SELECT date_trunc('day', alert_date) AS day_start, alert_type, count(*) AS alerts, {dbl('sum(loss_amount)')} AS losses
 FROM bronze_fraud_alerts

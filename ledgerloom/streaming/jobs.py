@@ -25,6 +25,7 @@ VELOCITY_WINDOW = "1 hour"
 VELOCITY_STEP = "10 minutes"
 VELOCITY_LIMIT = 3
 SESSION_GAP = "30 minutes"
+LINE_TIES = ("l_partkey", "l_suppkey")
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
 
 
@@ -87,10 +88,13 @@ def cdc_latest(lake: Lake, stream: DataFrame | None = None) -> DataFrame:
     A batch is reduced to one row per key before it is stored, and the current
     view is the newest row over the stored batches.
     """
-    keys = ["l_orderkey", "l_linenumber"]
+
+    def newest(rows: DataFrame) -> DataFrame:
+        return latest(rows, ["l_orderkey", "l_linenumber"], "l_shipdate", LINE_TIES)
+
     feed = stream if stream is not None else arriving(lake, "lineitem")
-    log = run_batches(lake, feed, "cdc", lambda batch: latest(batch, keys, "l_shipdate"))
-    return latest(log.select(feed.columns), keys, "l_shipdate")
+    log = run_batches(lake, feed, "cdc", newest)
+    return newest(log.select(feed.columns))
 
 
 def fraud_tumbling(lake: Lake, stream: DataFrame | None = None) -> DataFrame:

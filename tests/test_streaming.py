@@ -55,7 +55,7 @@ def test_cdc_over_many_batches_equals_latest(spark, lake, tmp_path):
     raw = lake.raw("lineitem")
     raw.repartition(5, "l_partkey").write.parquet(f"{tmp_path}/feed")
     feed = spark.readStream.schema(SCHEMAS["lineitem"]).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/feed")
-    expected = latest(raw, ["l_orderkey", "l_linenumber"], "l_shipdate")
+    expected = latest(raw, ["l_orderkey", "l_linenumber"], "l_shipdate", ("l_partkey", "l_suppkey"))
     got = cdc_latest(lake, feed)
     assert got.count() == expected.count()
     assert got.exceptAll(expected).isEmpty()
