@@ -57,7 +57,7 @@ def consume(df: DataFrame) -> None:
 def main() -> None:
     path = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     wanted = sys.argv[1:] or HEADLINE
     spark = session("bench", master=f"local[{cpus}]", partitions=int(cpus))
     spark.sparkContext.setLogLevel("ERROR")
