@@ -11,14 +11,20 @@ SETTING = "spark.checkpoint.dir"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerloom-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder that the session names.
+
+    A session on one machine (master `local…`, as in tests) gets a temporary folder where none is named. On a cluster
+    that is an error: executors would write to their own disks.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get(SETTING, None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="ledgerloom-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from ledgerloom import oracle_catalog, query_catalog
 from tests.conftest import SMALL
 from tests.support import difference
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = query_catalog()
+ORACLE = oracle_catalog()
 
 
 def test_every_query_has_a_twin():

@@ -7,10 +7,10 @@ import io
 
 import pytest
 
-import __spark_entry__ as entry
+from ledgerloom import query_catalog
 from tests.conftest import SMALL
 
-QUERIES = {n: q for n, q in entry.queries().items() if not n.startswith(("st_", "hierarchy_"))}
+QUERIES = {n: q for n, q in query_catalog().items() if not n.startswith(("st_", "hierarchy_"))}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
 
 
