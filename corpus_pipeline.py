@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, mixing, simhash
+from ledgerloom.llm import decontaminate, mixing, secret_scan, simhash
+from ledgerloom.llm import toxicity as toxic
 from ledgerloom.llm.support import read, shared_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon finds toxic go."""
+    return toxic.without_toxic(docs, read(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the smallest doc_id."""
     return simhash.keep_one(docs)
@@ -22,14 +28,21 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a secret is found go."""
+    return secret_scan.without_secrets(docs)
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix doesn't take go; the others get their words, their source's size and target, and the words taken."""
     return mixing.draw_mix(docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
+    ("secrets", secrets),
     ("mixture", mixture),
 ]
 

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, mixing, simhash
+from ledgerloom.llm import (
+    decontaminate, license_scan, mixing, quality_model, quality_rules, secret_scan, simhash, token_counts, toxicity, url_filter)
 from ledgerloom.llm.oracle import ORACLE  # noqa: F401
 from ledgerloom.llm.support import read
 
@@ -22,7 +23,14 @@ def _with(table: str, operator: Callable[[DataFrame, DataFrame], DataFrame]) ->
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_counts": _documents(token_counts.document_tokens),
     "op2_decontaminate": _with("benchmark", decontaminate.report),
     "op3_mix_sources": _documents(mixing.mix),
+    "op4_url_filter": lambda spark, sf_dir: url_filter.judged(read(spark, sf_dir, "pages")),
+    "op5_quality_model": _with("labels", quality_model.quality),
+    "op6_license_scan": _documents(license_scan.licenses),
+    "op7_quality_rules": _documents(quality_rules.judged),
+    "op8_toxicity": _with("labels", toxicity.toxicity),
     "op9_simhash": _documents(simhash.near_duplicates),
+    "op10_secret_scan": _documents(secret_scan.secrets),
 }

@@ -54,3 +54,35 @@ more AS (
 SELECT d.doc_id, d.size, p.source_size, p.target, CAST((p.copies + CAST(m.more AS INT)) * d.size AS BIGINT) AS taken
 FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
 JOIN more m ON d.source IS NOT DISTINCT FROM m.source AND d.draw = m.draw"""
+
+ORACLE["op7_quality_rules"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+grams AS (
+  SELECT r, i, array_to_string(list_slice(w, i, i + 4), ' ') AS gram
+  FROM (SELECT r, w, unnest(generate_series(1, len(w) - 4)) AS i FROM docs WHERE len(w) >= 5)),
+twice AS (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM grams),
+repeated AS (
+  SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(generate_series(i, i + 4)) AS p FROM twice WHERE n > 1) GROUP BY r),
+measured AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    len(list_distinct(w)) AS n_distinct_words, len(regexp_extract_all(text, '\p{L}')) AS n_letters,
+    len(regexp_extract_all(text, '\p{Lu}')) AS n_upper, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM docs LEFT JOIN repeated USING (r)),
+bits AS (
+  SELECT *,
+    CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 20 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > word_chars THEN 4 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END
+    + CASE WHEN word_chars > 15 * n_words THEN 16 ELSE 0 END + CASE WHEN 2 * word_chars < 3 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN n_words >= 50 AND 20 * n_distinct_words < n_words THEN 64 ELSE 0 END
+    + CASE WHEN n_letters >= 40 AND 2 * n_upper > n_letters THEN 128 ELSE 0 END
+    + CASE WHEN 2 * n_letters < word_chars THEN 256 ELSE 0 END AS failed
+  FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed,
+  (failed & 463) = 0 AS kept, CAST(failed AS BIGINT) AS failed
+FROM bits"""
