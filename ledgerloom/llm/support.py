@@ -15,7 +15,7 @@ from ledgerloom.operators.checkpoints import checkpoint_root
 #: Bytes of text whose words are held at once.
 BLOCK_BYTES = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
-_OTHER = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
+_OTHER = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")  # capitals are letters of words
 #: A-Z to a-z, and every byte that is not part of a word `[^\x00-\x2F\x3A-\x60\x7B-\x7F]` to a space.
 #: Bytes of 0x80 and above only occur inside code points that belong to words.
 PLAIN = bytes(b if b >= 0x80 or chr(b).isdigit() or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
