@@ -7,28 +7,27 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.checkpoints import cut
 
-MAX_DEPTH = 64
 
-
-def closure(edges: DataFrame, child: str, parent: str, max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """All (ancestor, descendant, depth) pairs; depth is the shortest distance.
 
     Breadth first: each round joins only the pairs found in the round before
     with the edges, drops pairs already known, and is checkpointed, so the plan
-    does not grow with the depth. A cycle adds no new pair and ends the loop.
+    does not grow with the depth. The loop ends at the first round without a new
+    pair; a cycle adds none, so it ends too.
     """
     steps = edges.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(
         F.col(child).alias("node"), F.col(parent).alias("above")).distinct()
     steps = cut(steps)
     frontier = steps.select(F.col("above").alias("ancestor"), F.col("node").alias("descendant"))
     found = frontier.withColumn("depth", F.lit(1).cast("bigint"))
-    for depth in range(2, max_depth + 1):
+    depth = 1
+    while not frontier.isEmpty():
+        depth += 1
         reached = (
             frontier.join(steps, F.col("ancestor") == F.col("node"))
             .select(F.col("above").alias("ancestor"), "descendant").distinct()
         )
         frontier = cut(reached.join(found, ["ancestor", "descendant"], "left_anti"))
-        if frontier.isEmpty():
-            return found
-        found = found.unionByName(frontier.withColumn("depth", F.lit(depth).cast("bigint")))
-    raise ValueError(f"hierarchy is deeper than {max_depth} levels")
+        found = cut(found.unionByName(frontier.withColumn("depth", F.lit(depth).cast("bigint"))))
+    return found

@@ -42,7 +42,14 @@ def at_least_one(rows: Column | str) -> Column:
 
 
 def product(factors: list[Column]) -> Column:
-    return reduce(lambda a, b: a * b, factors, F.lit(1).cast("bigint"))
+    """Factors of hot keys multiply past 64 bits, so the product has 38 digits."""
+    return reduce(lambda a, b: (a * b).cast("decimal(38,0)"), [f.cast("decimal(19,0)") for f in factors], F.lit(1).cast("decimal(38,0)"))
+
+
+def _repeated(df: DataFrame, measure: str, factor: Column) -> Column:
+    """A measure times its factor; counts stay counts."""
+    value = F.col(measure) * factor
+    return (value.cast("bigint") if df.schema[measure].dataType.typeName() in ("integer", "long") else value).alias(measure)
 
 
 def side_by_side(
@@ -59,11 +66,11 @@ def side_by_side(
     columns = [F.col(c) for c in parent.columns]
     for i, arm in enumerate(arms):
         factor = product([at_least_one(other.rows) for j, other in enumerate(arms) if j != i and repeat])
-        columns += [(F.col(c) * factor).alias(c) if repeat else F.col(c) for c in arm.scaled]
+        columns += [_repeated(joined, c, factor) if repeat else F.col(c) for c in arm.scaled]
         columns += [F.col(c) for c in arm.plain]
         columns.append(F.coalesce(F.col(arm.rows), F.lit(0)).alias(arm.rows))
     if rows_as:
-        factor = product([at_least_one(arm.rows) for arm in arms]) if repeat else F.lit(1).cast("bigint")
+        factor = product([at_least_one(arm.rows) for arm in arms] if repeat else [])
         columns.append(factor.alias(rows_as))
     return joined.select(columns)
 

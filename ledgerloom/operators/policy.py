@@ -27,24 +27,26 @@ TAGS: dict[str, dict[str, str]] = {
 }
 
 
-def _masked(c: str, tag: str, df: DataFrame) -> Column:
+def _masked(c: str, tag: str, df: DataFrame, key: str) -> Column:
     kind = df.schema[c].dataType
     if tag == "sensitive":
-        return F.sha2(F.col(c).cast("string"), 256)  # the same person keeps the same token
+        # The same value keeps the same token. Names and phones are few enough to guess, so the digest is keyed twice.
+        inner = F.sha2(F.concat(F.lit(key), F.col(c).cast("string")), 256)
+        return F.sha2(F.concat(F.lit(key), inner), 256)
     return F.lit(None).cast(kind)
 
 
-def apply_policy(df: DataFrame, table: str, clearance: str) -> DataFrame:
+def apply_policy(df: DataFrame, table: str, clearance: str, key: str) -> DataFrame:
     """Mask every tagged column above the reader's clearance.
 
     Personal names and contacts become tokens that still join; identifiers and
-    financial figures become NULL. Tags travel in the column metadata.
+    financial figures become NULL. `key` is the secret of the tokens. Tags travel in the column metadata.
     """
     tags = TAGS.get(table, {})
     allowed = LEVELS.index(clearance)
     columns = []
     for c in df.columns:
         tag = tags.get(c)
-        value = _masked(c, tag, df) if tag and LEVELS.index(tag) < allowed else F.col(c)
+        value = _masked(c, tag, df, key) if tag and LEVELS.index(tag) < allowed else F.col(c)
         columns.append(value.alias(c, metadata={"sensitivity": tag}) if tag else value.alias(c))
     return df.select(columns)

@@ -313,13 +313,13 @@ _HQLA = "coalesce(q.l1, 0) + coalesce(q.l2a, 0) + coalesce(q.l2b, 0)"
 gold("liquidity_coverage", f"""
 WITH out AS (
   SELECT {quarter('open_date')} AS quarter, sum(current_balance) AS total,
-    sum(current_balance * CASE WHEN account_type IN ('SAVINGS', 'CHECKING') THEN 0.10 ELSE 0.25 END) AS stressed
+    sum(current_balance * CASE WHEN account_type IN ('CHECKING', 'SAVINGS') THEN 0.10 ELSE 0.25 END) AS stressed
   FROM silver_accounts WHERE account_status = 'Active' GROUP BY 1),
 liquid AS (
   SELECT {quarter('h.as_of_date')} AS quarter,
-    sum(h.market_value) FILTER (s.security_type IN ('Money Market', 'Treasury Bond')) AS l1,
+    sum(h.market_value) FILTER (s.security_type IN ('Treasury Bond', 'Money Market')) AS l1,
     sum(h.market_value * 0.85) FILTER (s.security_type = 'Municipal Bond') AS l2a,
-    sum(h.market_value * 0.5) FILTER (s.security_type = 'Corporate Bond' AND s.credit_rating IN ('AA', 'AAA')) AS l2b
+    sum(h.market_value * 0.5) FILTER (s.security_type = 'Corporate Bond' AND s.credit_rating IN ('AAA', 'AA')) AS l2b
   FROM silver_holdings h JOIN silver_securities s USING (security_id) GROUP BY 1)
 SELECT o.quarter, o.total AS total_deposits, o.stressed AS stressed_outflows,
   coalesce(q.l1, 0) AS level_1_hqla, coalesce(q.l2a, 0) AS level_2a_hqla, coalesce(q.l2b, 0) AS level_2b_hqla,
@@ -345,7 +345,7 @@ FROM silver_regulatory_filings GROUP BY report_name""")
 
 gold("balance_sheet_summary", f"""
 SELECT 'Assets' AS category, 'Cash and Due From Banks' AS line_item,
-  {dbl("round(sum(current_balance * 0.05) FILTER (account_type IN ('SAVINGS', 'CHECKING')), 0)")} AS amount
+  {dbl("round(sum(current_balance * 0.05) FILTER (account_type IN ('CHECKING', 'SAVINGS')), 0)")} AS amount
 FROM silver_accounts WHERE account_status = 'Active'
 UNION ALL SELECT 'Assets', 'Total Loans and Leases', {dbl('round(sum(current_balance), 0)')} FROM silver_loans
 UNION ALL SELECT 'Assets', 'Investment Securities', {dbl('round(sum(market_value), 0)')} FROM silver_holdings

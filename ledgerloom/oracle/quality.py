@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from ledgerloom.oracle.layers import BOOK_DAY, avg, dbl, define, div, ratio, rnd
+from ledgerloom.quality.rules import (
+    ACCOUNT_ID, ACCOUNT_TYPES, CUSIP, CUSTOMER_ID, ISIN, KYC_STATUSES, MASKED_SSN, MIN_CUSTOMERS, RISK_RATINGS, SSN)
 from ledgerloom.sources.bindings import BINDINGS, INJECTIONS
 
 QUERIES: dict[str, str] = {}
@@ -51,13 +53,13 @@ def valid(column: str | None, name: str, ok: str, threshold=1, term=None, dimens
 
 CUSTOMER_RULES = [
     present("customer_id", "customer-id-not-null"),
-    valid("customer_id", "customer-id-format", "regexp_matches(customer_id, '^CUST-[0-9]{8}$')"),
+    valid("customer_id", "customer-id-format", f"regexp_matches(customer_id, '{CUSTOMER_ID}')"),
     present("first_name", "first-name-not-null"), present("last_name", "last-name-not-null"),
-    valid("kyc_status", "kyc-status-valid", "kyc_status IN ('Pending', 'Verified')"),
-    ("min-row-count", "VOLUME", None, "table:count(*) >= 10000", 1, None)]
+    valid("kyc_status", "kyc-status-valid", f"kyc_status IN {KYC_STATUSES}"),
+    ("min-row-count", "VOLUME", None, f"table:count(*) >= {MIN_CUSTOMERS}", 1, None)]
 ACCOUNT_RULES = [
     present("account_id", "account-id-not-null"), present("customer_id", "customer-id-not-null"),
-    valid("account_type", "account-type-valid", "account_type IN ('CD', 'CHECKING', 'IRA', 'MONEY_MARKET', 'SAVINGS')"),
+    valid("account_type", "account-type-valid", f"account_type IN {ACCOUNT_TYPES}"),
     valid("current_balance", "balance-non-negative", "current_balance >= 0", term="account-balance")]
 LOAN_RULES = [
     present("loan_id", "loan-id-not-null"), present("customer_id", "customer-id-not-null"),
@@ -65,13 +67,13 @@ LOAN_RULES = [
     valid("interest_rate", "rate-range", "interest_rate BETWEEN 0 AND 0.30"),
     valid("fico_score_at_origination", "fico-range", "fico_score_at_origination BETWEEN 300 AND 850", term="fico-score"),
     valid("risk_rating", "risk-rating-valid",
-          "risk_rating IN ('Doubtful', 'Loss', 'Pass', 'Special Mention', 'Substandard')")]
+          f"risk_rating IN {RISK_RATINGS}")]
 TABLE_RULES = [
     ("bronze", "customers", CUSTOMER_RULES), ("bronze", "accounts", ACCOUNT_RULES), ("bronze", "loans", LOAN_RULES),
     ("silver", "customers", [
         present("customer_id", "pk-not-null"), ("pk-unique", "UNIQUENESS", "customer_id", "unique", 1, None),
         valid("ssn_masked", "ssn-masked-format",
-              "ssn_masked IS NULL OR regexp_matches(ssn_masked, '^XXX-XX-[0-9]{4}$')", term="tin"),
+              f"ssn_masked IS NULL OR regexp_matches(ssn_masked, '{MASKED_SSN}')", term="tin"),
         valid(None, "dob-not-future", f"date_of_birth <= {BOOK_DAY}")]),
     ("silver", "loans", [
         present("loan_id", "pk-not-null"), ("pk-unique", "UNIQUENESS", "loan_id", "unique", 1, None),
@@ -107,12 +109,12 @@ INJECTED = {
     "loans": LOAN_RULES,
     "accounts": ACCOUNT_RULES,
     "customers": CUSTOMER_RULES + [
-        valid(None, "ssn-format", "regexp_matches(ssn, '^([0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9})$')"),
+        valid(None, "ssn-format", f"regexp_matches(ssn, '{SSN}')"),
         valid(None, "dob-not-future", f"TRY_CAST(date_of_birth AS DATE) <= {BOOK_DAY}")],
     "securities": [
         present("security_id", "pk-not-null"), present("ticker", "ticker-not-null"),
-        valid("cusip", "cusip-format", "regexp_matches(cusip, '^[0-9A-Z]{9}$')", term="cusip"),
-        valid("isin", "isin-format", "regexp_matches(isin, '^[A-Z][A-Z][0-9A-Z]{9}[0-9]$')", term="isin")],
+        valid("cusip", "cusip-format", f"regexp_matches(cusip, '{CUSIP}')", term="cusip"),
+        valid("isin", "isin-format", f"regexp_matches(isin, '{ISIN}')", term="isin")],
     "credit_cards": [
         present("card_id", "pk-not-null"), valid("apr", "apr-range", "apr BETWEEN 0 AND 0.3"),
         valid("fico_score", "fico-range", "fico_score BETWEEN 300 AND 850", term="fico-score")],
@@ -135,7 +137,8 @@ FROM rule_before b JOIN rule_after a USING (table_name, rule_name)"""
 QUERIES["dq_by_term"] = f"""
 SELECT term, count(*) AS rules, CAST(sum(rows_evaluated) AS BIGINT) AS rows_evaluated,
   CAST(sum(rows_failed) AS BIGINT) AS rows_failed, {dbl('min(pass_rate)')} AS worst_pass_rate
-FROM rule_after WHERE term IS NOT NULL GROUP BY 1"""
+FROM (SELECT * FROM rule_after UNION ALL SELECT * FROM rule_results WHERE table_name = 'silver_customers')
+WHERE term IS NOT NULL GROUP BY 1"""
 
 _FICO = "fico_score_at_origination"
 _GOOD = f"{_FICO} BETWEEN 300 AND 850"
@@ -167,16 +170,21 @@ def failing(columns: str, table: str, broken: str, doubles: str = "") -> str:
 
 
 QUERIES["dq_cusip_format"] = failing(
-    "security_id cusip", "dirty_securities", "cusip IS NULL OR NOT regexp_matches(cusip, '^[0-9A-Z]{9}$')")
+    "security_id cusip", "dirty_securities", f"cusip IS NULL OR NOT regexp_matches(cusip, '{CUSIP}')")
 QUERIES["dq_isin_format"] = failing(
-    "security_id isin", "dirty_securities", "isin IS NULL OR NOT regexp_matches(isin, '^[A-Z]{2}[0-9A-Z]{9}[0-9]$')")
-_UNMASKED = "{0} IS NULL OR NOT regexp_matches({0}, '^XXX-XX-[0-9][0-9][0-9][0-9]$')"
+    "security_id isin", "dirty_securities", f"isin IS NULL OR NOT regexp_matches(isin, '{ISIN}')")
+
+
+def _unmasked(column: str) -> str:
+    return f"{column} IS NULL OR NOT regexp_matches({column}, '{MASKED_SSN}')"
+
+
 QUERIES["dq_masked_ssn"] = (
-    failing("customer_id ssn_masked", "silver_customers", _UNMASKED.format("ssn_masked")) + " UNION ALL "
-    + failing("customer_id ssn", "dirty_customers", _UNMASKED.format("ssn")))
+    failing("customer_id ssn_masked", "silver_customers", _unmasked("ssn_masked")) + " UNION ALL "
+    + failing("customer_id ssn", "dirty_customers", _unmasked("ssn")))
 QUERIES["dq_account_id_format"] = failing(
     "account_id customer_id", "dirty_accounts",
-    "account_id IS NULL OR NOT regexp_matches(account_id, '^ACCT-[0-9]{10}$')")
+    f"account_id IS NULL OR NOT regexp_matches(account_id, '{ACCOUNT_ID}')")
 QUERIES["dq_balance_non_negative"] = failing(
     "account_id current_balance", "dirty_accounts", "current_balance < 0", "current_balance")
 QUERIES["dq_interest_rate_range"] = failing(

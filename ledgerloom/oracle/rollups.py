@@ -142,12 +142,20 @@ FROM silver_accounts a JOIN {_days(month_ends(CLOCK.book_day, MONTHS))} ON a.ope
 LEFT JOIN silver_transactions t ON t.account_id = a.account_id AND CAST(t.transaction_date AS DATE) <= g.d
 GROUP BY 1, 2"""
 
+_ENDS = quarter_ends(CLOCK.book_day, QUARTERS)
 QUERIES["snapshot_quarterly_positions"] = f"""
-WITH pos AS (
-  SELECT h.portfolio_id, g.d, h.market_value, h.cost_basis
-  FROM silver_holdings h JOIN {_days(quarter_ends(CLOCK.book_day, QUARTERS))} ON h.as_of_date <= g.d
-  QUALIFY row_number() OVER (PARTITION BY h.portfolio_id, h.security_id, g.d
-    ORDER BY h.as_of_date DESC, h.holding_id DESC) = 1),
+WITH lots AS (
+  SELECT portfolio_id, security_id, as_of_date, holding_id, market_value, cost_basis,
+    greatest({quarter_end('as_of_date')}, DATE '{_ENDS[0]}') AS bucket
+  FROM silver_holdings WHERE as_of_date <= DATE '{_ENDS[-1]}'),
+newest AS (
+  SELECT * FROM lots QUALIFY row_number() OVER (PARTITION BY portfolio_id, security_id, bucket
+    ORDER BY as_of_date DESC, holding_id DESC) = 1),
+spans AS (
+  SELECT *, lead(bucket) OVER (PARTITION BY portfolio_id, security_id ORDER BY bucket) AS next_bucket FROM newest),
+pos AS (
+  SELECT portfolio_id, g.d, market_value, cost_basis
+  FROM spans JOIN {_days(_ENDS)} ON g.d >= bucket AND (next_bucket IS NULL OR g.d < next_bucket)),
 tot AS (SELECT portfolio_id, d, sum(market_value) AS mv, sum(cost_basis) AS cb, count(*) AS n FROM pos GROUP BY 1, 2)
 SELECT t.portfolio_id, t.d AS snapshot_date, {dbl('t.mv')} AS market_value, {dbl('t.cb')} AS cost_basis,
   {dbl(ratio('t.mv - q.mv', 'q.mv', 4))} AS qtd_return, {dbl(ratio('t.mv - y.mv', 'y.mv', 4))} AS ytd_return,

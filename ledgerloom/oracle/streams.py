@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerloom.oracle.layers import dbl
+from ledgerloom.streaming.jobs import EVENT_TYPES
 
 QUERIES: dict[str, str] = {}
 
@@ -30,7 +31,7 @@ SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, us
 FROM s GROUP BY user_id, n HAVING max(ts) + INTERVAL 30 MINUTE <= {_EVENT_MARK}"""
 QUERIES["st_dq_monitor"] = f"""
 SELECT date_trunc('day', ts) AS day_start, count(*) AS rows_evaluated, count(user_id) AS user_present,
-  count(*) FILTER (event_type IN ('view', 'signup', 'purchase', 'error', 'click')) AS known_type,
+  count(*) FILTER (event_type IN {EVENT_TYPES}) AS known_type,
   count(*) FILTER (value BETWEEN 0 AND 50) AS value_in_range,
   count(json_extract_string(props, '$.k')) AS props_readable
 FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_EVENT_MARK} GROUP BY 1"""

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import functions as F
-
 from ledgerloom.functions.scalars import month_of
 from ledgerloom.plans.gold import GOLD
 from ledgerloom.plans.governance import GOLD_INPUTS
@@ -35,8 +33,8 @@ def build(lake: Lake, warehouse: Warehouse, gold: Iterable[str] = tuple(GOLD)) -
         rows = lake.silver(name)
         date = FACT_DATES.get(name)
         if date:
-            # one writer per month and hash slice: no small files, and a heavy month still has many writers
-            rows = rows.withColumn(MONTH, month_of(date)).repartition(MONTH, F.pmod(F.xxhash64(SILVER[name].key), F.lit(16)))
+            # rows of a month come together; the rebalance splits a heavy month and joins light ones by measured size
+            rows = rows.withColumn(MONTH, month_of(date)).hint("rebalance", MONTH)
         stored = warehouse.replace("silver", name, rows, MONTH if date else None)
         lake.pin(f"silver_{name}", stored.drop(MONTH))
     for name in gold:

@@ -165,8 +165,9 @@ def aml_risk_scoring(lake: Lake, repeat: bool = True) -> DataFrame:
         kyc, "customer_id", "left")
     joined = side_by_side(units, "customer_id", [
         Arm(cases, "cases", ("sars",)), Arm(wires, "wires", ("large_wires",))], repeat=repeat)
-    k, w, c = at_least_one("kyc_rows"), at_least_one("wires"), at_least_one("cases")
-    others = c * w if repeat else F.lit(1)
+    # Factors of hot customers multiply past 64 bits, so products and their sums are decimals.
+    k, w, c = (at_least_one(n).cast("decimal(19,0)") for n in ("kyc_rows", "wires", "cases"))
+    others = (c * w).cast("decimal(38,0)") if repeat else F.lit(1).cast("decimal(1,0)")
     own = k if repeat else F.lit(1)
     grouped = joined.groupBy("customer_segment", "kyc_risk_rating", "due_diligence_level", "risk_score_category").agg(
         F.count(F.lit(1)).alias("customer_count"),
@@ -181,13 +182,13 @@ def aml_risk_scoring(lake: Lake, repeat: bool = True) -> DataFrame:
     return grouped.select(
         "customer_segment", "kyc_risk_rating", "due_diligence_level", "risk_score_category", "customer_count",
         ratio("score_sum", "score_rows", 0).alias("avg_risk_score"),
-        F.col("pep_flag").alias("pep_count"),
-        F.col("sanctions_flag").alias("sanctions_hit_count"),
-        F.col("adverse_media_flag").alias("adverse_media_count"),
-        F.col("review_overdue").alias("overdue_reviews"),
+        F.col("pep_flag").cast("bigint").alias("pep_count"),
+        F.col("sanctions_flag").cast("bigint").alias("sanctions_hit_count"),
+        F.col("adverse_media_flag").cast("bigint").alias("adverse_media_count"),
+        F.col("review_overdue").cast("bigint").alias("overdue_reviews"),
         percent("review_overdue", "joined_rows").alias("overdue_rate_pct"),
         "compliance_cases",
-        "sar_filings",
+        F.col("sar_filings").cast("bigint").alias("sar_filings"),
         F.round("large_wires", 2).alias("large_wire_volume"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,21 +55,41 @@ PRODUCTS = (
      ("gold_net_interest_margin", "gold_fee_revenue", "gold_branch_performance", "gold_balance_sheet_summary")),
 )
 
-# Retention in years by table family, and the date that starts the period.
-LONG_RETENTION = ("fraud", "kyc", "compliance", "sar", "gl_", "capital", "stress", "regulatory")
-RETAINED = {
-    "transactions": "transaction_date",
-    "loans": "origination_date",
-    "loan_payments": "payment_date",
-    "accounts": "open_date",
-    "wire_transfers": "initiation_date",
-    "ach_transfers": "effective_date",
-    "trades": "trade_date",
-    "gl_entries": "posting_date",
-    "regulatory_capital": "reporting_date",
-    "regulatory_filings": "reporting_period_end",
-    "stress_tests": "projection_quarter",
-    "kyc_records": "last_review_date",
+# Words in table names that set the retention family, in years.
+CREATION_FAMILY = ("fraud", "kyc", "compliance", "sar")
+FISCAL_FAMILY = ("gl_", "capital", "stress", "regulatory")
+LONG_YEARS, USUAL_YEARS = 7, 5
+# The date of a table's rows: the one whose fiscal year counts, or the one that ended a relation or was its last
+# activity. Tables that are not named record no end, so the period of their rows has not started.
+ROW_DATES: dict[str, tuple[str, ...]] = {
+    "ach_transfers": ("effective_date", "settlement_date"),
+    "atm_transactions": ("transaction_date",),
+    "audit_events": ("event_timestamp",),
+    "benchmarks": ("as_of_date",),
+    "card_transactions": ("transaction_date",),
+    "client_goals": ("target_date",),
+    "counterparties": ("last_review_date",),
+    "credit_cards": ("expiration_date",),
+    "custodian_feeds": ("as_of_date",),
+    "distributions": ("distribution_date", "settlement_date"),
+    "fee_schedules": ("end_date", "last_billing_date"),
+    "fx_rates": ("as_of_date",),
+    "gl_accounts": ("created_at",),
+    "gl_entries": ("posting_date",),
+    "holdings": ("as_of_date",),
+    "interest_rates": ("as_of_date",),
+    "loan_payments": ("payment_date",),
+    "market_data": ("as_of_date",),
+    "performance": ("as_of_date",),
+    "regulatory_capital": ("reporting_date",),
+    "regulatory_filings": ("reporting_period_end",),
+    "risk_exposures": ("as_of_date",),
+    "risk_profiles": ("assessment_date",),
+    "securities": ("maturity_date",),
+    "stress_tests": ("projection_quarter",),
+    "trades": ("trade_date", "settlement_date"),
+    "transactions": ("transaction_date",),
+    "wire_transfers": ("initiation_date",),
 }
 # What unmasked personal data looks like.
 LEAK_PATTERNS = {
@@ -77,17 +97,19 @@ LEAK_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "phone": r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}",
 }
+# Key of the registered queries' tokens; a deployment passes its own.
+MASKING_KEY = "registered-query"
 LEAK_TABLES = ("silver_customers", "silver_wm_clients", "silver_employees", "gold_customer_360")
 
 
 def masked_customers(lake: Lake) -> DataFrame:
     """Customers as a reader without personal-data clearance sees them."""
-    return apply_policy(lake.silver("customers"), "silver_customers", "internal")
+    return apply_policy(lake.silver("customers"), "silver_customers", "internal", MASKING_KEY)
 
 
 def masked_customer_360(lake: Lake) -> DataFrame:
     """Customer 360 for a reader who may see financial figures but no names."""
-    return apply_policy(lake.gold("customer_360"), "gold_customer_360", "confidential")
+    return apply_policy(lake.gold("customer_360"), "gold_customer_360", "confidential", MASKING_KEY)
 
 
 def employee_closure(lake: Lake) -> DataFrame:
@@ -112,22 +134,55 @@ def impact(spark, table: str) -> DataFrame:
     return closure(lineage_edges(spark), "dst", "src").where(F.col("ancestor") == table)
 
 
+def retention_family(table: str) -> str:
+    if any(word in table for word in CREATION_FAMILY):
+        return "creation"
+    return "fiscal" if any(word in table for word in FISCAL_FAMILY) else "activity"
+
+
 def retention_years(table: str) -> int:
-    return 7 if any(part in table for part in LONG_RETENTION) else 5
+    return USUAL_YEARS if retention_family(table) == "activity" else LONG_YEARS
+
+
+def _newest(columns: tuple[str, ...]) -> Column:
+    dates = [F.col(c).cast("date") for c in columns]
+    return F.greatest(*dates) if len(dates) > 1 else dates[0]
+
+
+def retention_starts(lake: Lake, table: str) -> DataFrame:
+    """The day on which the retention period of each row of a silver table starts; NULL while it has not.
+
+    The period starts at the creation of the record, at the end of the fiscal year of the row, or at the end or last
+    activity of the relation. An account runs until it is no longer active, then counts from its closure or last
+    transaction; a loan counts from its maturity or last payment, whichever is later.
+    """
+    rows = lake.silver(table)
+    if retention_family(table) == "creation":
+        return rows.select(F.col("created_at").cast("date").alias("start"))
+    if retention_family(table) == "fiscal":
+        return rows.select(F.make_date(F.year(_newest(ROW_DATES[table])), F.lit(12), F.lit(31)).alias("start"))
+    if table == "accounts":
+        moved = lake.silver("transactions").groupBy("account_id").agg(F.max(F.col("transaction_date").cast("date")).alias("moved"))
+        return rows.join(moved, "account_id", "left").select(
+            F.when(~is_true(F.col("account_status") == "Active"), _newest(("close_date", "moved"))).alias("start"))
+    if table == "loans":
+        paid = lake.silver("loan_payments").groupBy("loan_id").agg(F.max(F.col("payment_date").cast("date")).alias("paid"))
+        return rows.join(paid, "loan_id", "left").select(_newest(("maturity_date", "paid")).alias("start"))
+    if table in ROW_DATES:
+        return rows.select(_newest(ROW_DATES[table]).alias("start"))
+    return rows.select(F.lit(None).cast("date").alias("start"))
 
 
 def retention_due(lake: Lake) -> DataFrame:
-    """Rows past their retention period, per table."""
+    """Rows past their retention period, for every silver table."""
     today = day_lit(lake.clock.book_day)
     parts = []
-    for table, column in RETAINED.items():
+    for table in SILVER:
         years = retention_years(table)
-        due = F.add_months(F.col(column).cast("date"), 12 * years) < today
-        parts.append(lake.silver(table).agg(
-            F.count(F.lit(1)).alias("rows_total"), count_where(due).alias("rows_due"),
-            F.min(F.col(column).cast("date")).alias("oldest"),
-        ).select(F.lit(table).alias("table_name"), F.lit(years).alias("retention_years"), "rows_total", "rows_due",
-                 "oldest"))
+        due = F.add_months("start", 12 * years) < today
+        parts.append(retention_starts(lake, table).agg(
+            F.count(F.lit(1)).alias("rows_total"), count_where(due).alias("rows_due"), F.min("start").alias("oldest"),
+        ).select(F.lit(table).alias("table_name"), F.lit(years).alias("retention_years"), "rows_total", "rows_due", "oldest"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -145,7 +200,8 @@ def asset_sources() -> list[tuple[str, str, int, int, str]]:
 def freshness_check(lake: Lake) -> DataFrame:
     """Whether every asset of every data product was loaded within its contract.
 
-    An asset is as old as the stalest of the silver tables behind it.
+    An asset is as old as the stalest of the tables behind it. One that was never
+    loaded has no age, so the asset has none either and is not fresh.
     """
     assets = asset_sources()
     loads = []
@@ -163,7 +219,7 @@ def freshness_check(lake: Lake) -> DataFrame:
     return (
         newest.join(F.broadcast(contract), "source")  # a few dozen literal rows
         .groupBy("product", "asset")
-        .agg(F.max(age).alias("age_minutes"), F.max(limit.cast("bigint")).alias("limit_minutes"),
+        .agg(F.when(F.count("loaded_at") == F.count(F.lit(1)), F.max(age)).alias("age_minutes"), F.max(limit.cast("bigint")).alias("limit_minutes"),
              F.min("loaded_at").alias("loaded_at"))
         .withColumn("fresh", is_true(F.col("age_minutes") <= F.col("limit_minutes")))
     )

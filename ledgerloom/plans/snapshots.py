@@ -78,10 +78,12 @@ def quarterly_positions(lake: Lake) -> DataFrame:
     """
     ends = quarter_ends(lake.clock.book_day, QUARTERS)
     first, last = F.lit(ends[0]).cast("date"), F.lit(ends[-1]).cast("date")
+    lots = Window.partitionBy("portfolio_id", "security_id", "bucket").orderBy(F.desc("as_of_date"), F.desc("holding_id"))
     newest = (
         lake.silver("holdings").where(F.col("as_of_date") <= last)
-        .groupBy("portfolio_id", "security_id", F.greatest(quarter_end("as_of_date"), first).alias("bucket"))
-        .agg(F.max_by(F.struct("market_value", "cost_basis"), F.struct("as_of_date", "holding_id")).alias("position"))
+        .select("portfolio_id", "security_id", "market_value", "cost_basis", "as_of_date", "holding_id",
+                F.greatest(quarter_end("as_of_date"), first).alias("bucket"))
+        .withColumn("lot", F.row_number().over(lots)).where("lot = 1")
     )
     # A position holds from its own quarter end up to the one before its successor.
     pair = Window.partitionBy("portfolio_id", "security_id").orderBy("bucket")
@@ -89,7 +91,7 @@ def quarterly_positions(lake: Lake) -> DataFrame:
     stop = F.coalesce(
         F.lead(_quarter_number("bucket")).over(pair) - _quarter_number(first), F.lit(len(ends)))
     held = newest.withColumns({"start": start, "stop": stop}).select(
-        "portfolio_id", "position.market_value", "position.cost_basis",
+        "portfolio_id", "market_value", "cost_basis",
         F.explode(F.slice(_grid(ends), F.col("start") + 1, F.col("stop") - F.col("start"))).alias("snapshot_date"))
     totals = held.groupBy("portfolio_id", "snapshot_date").agg(
         F.sum("market_value").alias("market_value"), F.sum("cost_basis").alias("cost_basis"),

@@ -78,23 +78,28 @@ MASKED_SSN = r"^XXX-XX-\d{4}$"
 CUSIP = r"^[A-Z0-9]{9}$"
 ISIN = r"^[A-Z]{2}[A-Z0-9]{9}[0-9]$"
 ACCOUNT_ID = r"^ACCT-\d{10}$"
+SSN = r"^\d{3}-\d{2}-\d{4}$|^\d{9}$"
+KYC_STATUSES = ("Verified", "Pending")
+ACCOUNT_TYPES = ("CHECKING", "SAVINGS", "MONEY_MARKET", "CD", "IRA")
+RISK_RATINGS = ("Pass", "Special Mention", "Substandard", "Doubtful", "Loss")
 MIN_CUSTOMERS = 10_000
 MAX_RATE = 0.30
 FICO = (300, 850)
 
+# Which rules each table has, with their names, columns and limits.
 RULES: dict[str, tuple[Rule, ...]] = {
     "bronze_customers": (
         not_null("customer_id", "customer-id-not-null"),
         matches("customer_id", CUSTOMER_ID, "customer-id-format"),
         not_null("first_name", "first-name-not-null"),
         not_null("last_name", "last-name-not-null"),
-        one_of("kyc_status", ("Verified", "Pending"), "kyc-status-valid"),
+        one_of("kyc_status", KYC_STATUSES, "kyc-status-valid"),
         min_rows(MIN_CUSTOMERS, "min-row-count"),
     ),
     "bronze_accounts": (
         not_null("account_id", "account-id-not-null"),
         not_null("customer_id", "customer-id-not-null"),
-        one_of("account_type", ("CHECKING", "SAVINGS", "MONEY_MARKET", "CD", "IRA"), "account-type-valid"),
+        one_of("account_type", ACCOUNT_TYPES, "account-type-valid"),
         between("current_balance", 0, None, "balance-non-negative", term="account-balance"),
     ),
     "bronze_loans": (
@@ -103,7 +108,7 @@ RULES: dict[str, tuple[Rule, ...]] = {
         between("original_amount", 0, None, "amount-positive", strict=True),
         between("interest_rate", 0, MAX_RATE, "rate-range"),
         between("fico_score_at_origination", *FICO, "fico-range", term="fico-score"),
-        one_of("risk_rating", ("Pass", "Special Mention", "Substandard", "Doubtful", "Loss"), "risk-rating-valid"),
+        one_of("risk_rating", RISK_RATINGS, "risk-rating-valid"),
     ),
     "silver_customers": (
         not_null("customer_id", "pk-not-null"),
@@ -136,7 +141,7 @@ INJECTION_RULES: dict[str, tuple[Rule, ...]] = {
     "loans": RULES["bronze_loans"],
     "accounts": RULES["bronze_accounts"],
     "customers": RULES["bronze_customers"] + (
-        row_condition("ssn-format", "VALIDITY", lambda today: F.col("ssn").rlike(r"^\d{3}-\d{2}-\d{4}$|^\d{9}$")),
+        row_condition("ssn-format", "VALIDITY", lambda today: F.col("ssn").rlike(SSN)),
         row_condition("dob-not-future", "VALIDITY",
                       lambda today: F.try_to_date(F.col("date_of_birth"), "yyyy-MM-dd") <= day_lit(today)),
     ),

@@ -32,20 +32,6 @@ FILING_SLOTS = 8
 STRESS_SLOTS = 24
 
 
-# A table landed in fewer splits than the session has cores is dealt out by its key before the
-# projection above it runs; tables above this size have enough splits and are read as they are.
-SMALL_TABLE_BYTES = 256 << 20
-SPREAD_BYTES = 512 << 10
-KEYS = {
-    "customer": ("c_custkey",),
-    "orders": ("o_orderkey",),
-    "lineitem": ("l_orderkey", "l_linenumber"),
-    "events": ("event_id",),
-    "documents": ("doc_id",),
-    "conversations": ("conv_id", "turn"),
-}
-
-
 class Landing:
     """Read access to one data directory."""
 
@@ -57,26 +43,9 @@ class Landing:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._scans:
-            self._scans[name] = self._spread(name, self.spark.read.schema(SCHEMAS[name]).parquet(self._file(name)))
+            self._scans[name] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}.parquet")
         return self._scans[name]
 
-    def _file(self, name: str) -> str:
-        return f"{self.path}/{name}.parquet"
-
-    def _spread(self, name: str, frame: DataFrame) -> DataFrame:
-        """Use all cores on a small table that one or two tasks would otherwise read and project alone.
-
-        Only the columns and rows the query needs are moved, at most a quarter of a gigabyte.
-        """
-        if name not in KEYS:
-            return frame
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(self._file(name))
-        count, size = files.agg(F.count(F.lit(1)), F.sum("length")).first()
-        parts = min(self.spark.sparkContext.defaultParallelism, (size or 0) // SPREAD_BYTES)
-        if (size or 0) > SMALL_TABLE_BYTES or parts <= count:
-            return frame
-        return frame.repartition(int(parts), *KEYS[name])
-
     @property
     def branch_count(self) -> int:
         """Size of the branch dimension; one footer-only count per data directory."""

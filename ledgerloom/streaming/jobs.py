@@ -1,20 +1,20 @@
 """Structured Streaming twins of the ingest and monitoring operators.
 
 Every job runs with an available-now trigger: it processes what has arrived and
-stops, and a later start goes on from its checkpoint. Sinks are parquet folders
-under the checkpoint folder; a batch that is retried after a failure leaves the
-same rows.
+stops, and a later start with the same folder goes on from its checkpoint. Sinks
+are parquet folders; a batch that is retried after a failure leaves the same rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import is_true, micros
-from ledgerloom.operators.checkpoints import scratch
+from ledgerloom.operators.checkpoints import checkpoint_root, scratch
 from ledgerloom.operators.latest import latest
 from ledgerloom.sources.bindings import BINDINGS
 from ledgerloom.sources.lake import Lake, project
@@ -44,60 +44,94 @@ def wall(c: str) -> Column:
     return _epoch() + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
-def arriving(lake: Lake, table: str, files_per_trigger: int | None = None, pattern: str | None = None) -> DataFrame:
-    """The files of a landing table as a stream."""
-    reader = lake.spark.readStream.schema(SCHEMAS[table]).option("pathGlobFilter", pattern or f"{table}.parquet")
+def arriving(lake: Lake, table: str, files_per_trigger: int | None = None) -> DataFrame:
+    """A landing table as a stream, whether it lands as one file or as a folder of part files."""
+    reader = lake.spark.readStream.schema(SCHEMAS[table])
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(lake.landing.path)
+    path = lake.spark._jvm.org.apache.hadoop.fs.Path(f"{lake.landing.path}/{table}.parquet")
+    if not path.getFileSystem(lake.spark._jsc.hadoopConfiguration()).exists(path):
+        raise FileNotFoundError(f"no landing table at {path}")
+    # A pattern that fits this name alone: the reader takes a pattern for a file, but no plain path to one.
+    return reader.parquet(f"{lake.landing.path}/{table}.parque[t]")
 
 
-def run_append(lake: Lake, stream: DataFrame, name: str) -> DataFrame:
-    """Run to the end of the input; the exactly-once parquet sink as a DataFrame."""
-    folder = scratch(lake.spark, name)
+def job_folder(lake: Lake, name: str, folder: str | None, stream: DataFrame | None) -> str:
+    """The folder of a job's state and rows: the one given, or one that stays the same for this job over this landing path.
+
+    A job over any other stream has no identity to find its folder by, so it gets a new one.
+    """
+    if folder:
+        return folder
+    if stream is not None:
+        return scratch(lake.spark, name)
+    digest = hashlib.sha256(lake.landing.path.encode()).hexdigest()[:16]
+    return f"{checkpoint_root(lake.spark)}/streams/{name}-{digest}"
+
+
+def run_append(lake: Lake, rows: DataFrame, folder: str) -> DataFrame:
+    """Run to the end of the input; the exactly-once parquet sink as a DataFrame.
+
+    A later run with the same folder processes only files that came since, and adds their rows.
+    """
     query = (
-        stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+        rows.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
         .option("checkpointLocation", f"{folder}/state").start(f"{folder}/rows")
     )
     query.awaitTermination()
-    return lake.spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return lake.spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
-def run_batches(lake: Lake, stream: DataFrame, name: str, reduce_batch: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run to the end of the input, appending the reduced form of every batch to a change log.
+def _versions(lake: Lake, path: str) -> list[int]:
+    folder = lake.spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(lake.spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(folder)]
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
 
-    Each batch owns one folder and overwrites it, so a retried batch does not
-    add its rows twice.
-    """
-    folder = scratch(lake.spark, name)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        reduce_batch(batch).write.mode("overwrite").parquet(f"{folder}/log/batch={batch_id}")
+def run_merge(lake: Lake, rows: DataFrame, folder: str, newest: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run to the end of the input, merging every batch into one current table of the newest row per key.
+
+    A batch writes the table's next version from the one before, and versions before that are dropped. The version
+    carries the batch's number, so a retried batch writes it again from the same start and adds nothing twice.
+    """
+    current = f"{folder}/current"
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        before = [v for v in _versions(lake, current) if v < batch_id]
+        merged = newest(batch)
+        if before:
+            stored = lake.spark.read.schema(rows.schema).parquet(f"{current}/version={before[-1]}")
+            merged = newest(stored.unionByName(merged.select(rows.columns)))
+        merged.write.mode("overwrite").parquet(f"{current}/version={batch_id}")
+        for old in before[:-1]:
+            path = lake.spark._jvm.org.apache.hadoop.fs.Path(f"{current}/version={old}")
+            path.getFileSystem(lake.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     query = (
-        stream.writeStream.outputMode("append").trigger(availableNow=True)
-        .option("checkpointLocation", f"{folder}/state").foreachBatch(write).start()
+        rows.writeStream.outputMode("append").trigger(availableNow=True)
+        .option("checkpointLocation", f"{folder}/state").foreachBatch(merge).start()
     )
     query.awaitTermination()
-    return lake.spark.read.schema(stream.schema).parquet(f"{folder}/log")
+    versions = _versions(lake, current)
+    if not versions:
+        return lake.spark.createDataFrame([], rows.schema)
+    return lake.spark.read.schema(rows.schema).parquet(f"{current}/version={versions[-1]}")
 
 
-def cdc_latest(lake: Lake, stream: DataFrame | None = None) -> DataFrame:
-    """Newest version of every order line of a change feed.
-
-    A batch is reduced to one row per key before it is stored, and the current
-    view is the newest row over the stored batches.
-    """
+def cdc_latest(lake: Lake, stream: DataFrame | None = None, folder: str | None = None) -> DataFrame:
+    """Newest version of every order line of a change feed."""
 
     def newest(rows: DataFrame) -> DataFrame:
         return latest(rows, ["l_orderkey", "l_linenumber"], "l_shipdate", LINE_TIES)
 
     feed = stream if stream is not None else arriving(lake, "lineitem")
-    log = run_batches(lake, feed, "cdc", newest)
-    return newest(log.select(feed.columns))
+    return run_merge(lake, feed, job_folder(lake, "cdc", folder, stream), newest)
 
 
-def fraud_tumbling(lake: Lake, stream: DataFrame | None = None) -> DataFrame:
+def fraud_tumbling(lake: Lake, stream: DataFrame | None = None, folder: str | None = None) -> DataFrame:
     """Fraud alerts per day and type; a day is emitted once the watermark has passed it."""
     events = stream if stream is not None else arriving(lake, "events")
     alerts = project(BINDINGS["fraud_alerts"], events)
@@ -108,10 +142,10 @@ def fraud_tumbling(lake: Lake, stream: DataFrame | None = None) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("alerts"), F.sum("loss_amount").alias("losses"))
         .select(wall("window.start").alias("day_start"), "alert_type", "alerts", "losses")
     )
-    return run_append(lake, counted, "fraud-tumbling")
+    return run_append(lake, counted, job_folder(lake, "fraud-tumbling", folder, stream))
 
 
-def velocity_sliding(lake: Lake, stream: DataFrame | None = None) -> DataFrame:
+def velocity_sliding(lake: Lake, stream: DataFrame | None = None, folder: str | None = None) -> DataFrame:
     """Users with many events inside any sliding hour."""
     events = stream if stream is not None else arriving(lake, "events")
     busy = (
@@ -122,16 +156,15 @@ def velocity_sliding(lake: Lake, stream: DataFrame | None = None) -> DataFrame:
         .where(F.col("events") >= VELOCITY_LIMIT)
         .select(wall("window.start").alias("window_start"), "user_id", "events", "amount")
     )
-    return run_append(lake, busy, "velocity")
+    return run_append(lake, busy, job_folder(lake, "velocity", folder, stream))
 
 
-def sessions(lake: Lake, stream: DataFrame | None = None) -> DataFrame:
+def sessions(lake: Lake, stream: DataFrame | None = None, folder: str | None = None) -> DataFrame:
     """Sessions of activity per user, closed after half an hour of silence.
 
-    Events of a user merge inside each partition before the shuffle, so a very
-    busy user arrives as sessions, not as events.
+    The session setting of `config.session` merges a user's events inside each
+    partition before the shuffle, so a very busy user arrives as sessions.
     """
-    lake.spark.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     events = stream if stream is not None else arriving(lake, "events")
     closed = (
         events.select(instant("ts").alias("ts"), "user_id", "event_type").withWatermark("ts", LATENESS)
@@ -140,10 +173,10 @@ def sessions(lake: Lake, stream: DataFrame | None = None) -> DataFrame:
         .select(wall("session_window.start").alias("session_start"), wall("session_window.end").alias("session_end"),
                 "user_id", "events", "errors")
     )
-    return run_append(lake, closed, "sessions")
+    return run_append(lake, closed, job_folder(lake, "sessions", folder, stream))
 
 
-def dq_monitor(lake: Lake, stream: DataFrame | None = None) -> DataFrame:
+def dq_monitor(lake: Lake, stream: DataFrame | None = None, folder: str | None = None) -> DataFrame:
     """Rule pass counts of the arriving events per day."""
     events = stream if stream is not None else arriving(lake, "events")
     rules = {
@@ -157,7 +190,7 @@ def dq_monitor(lake: Lake, stream: DataFrame | None = None) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("rows_evaluated"), *[F.count_if(is_true(ok)).alias(n) for n, ok in rules.items()])
         .select(wall("window.start").alias("day_start"), "rows_evaluated", *rules)
     )
-    return run_append(lake, monitored, "dq-monitor")
+    return run_append(lake, monitored, job_folder(lake, "dq-monitor", folder, stream))
 
 
 STREAMS = {

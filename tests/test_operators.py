@@ -95,11 +95,11 @@ def test_append_aligned_fills_and_refuses(spark):
 
 def test_policy_masks_by_clearance(spark, lake):
     customers = lake.silver("customers")
-    low = apply_policy(customers, "silver_customers", "internal")
+    low = apply_policy(customers, "silver_customers", "internal", "key")
     assert low.where(F.col("ssn_masked").isNotNull() | F.col("date_of_birth").isNotNull()).isEmpty()
     assert low.join(customers, ["customer_id", "first_name"], "left_semi").isEmpty()
     assert low.schema["first_name"].metadata == {"sensitivity": "sensitive"}
-    assert rows(apply_policy(customers, "silver_customers", "highly-sensitive")) == rows(customers)
+    assert rows(apply_policy(customers, "silver_customers", "highly-sensitive", "key")) == rows(customers)
 
 
 @pytest.mark.parametrize(("aum", "tier"), [
@@ -112,3 +112,16 @@ def test_ranges_are_closed(spark, aum, tier):
 def test_range_gap_has_no_tier(spark):
     df = spark.createDataFrame([(Decimal("249999.50"),)], "v decimal(18,2)")
     assert df.select(in_range(F.col("v"), [(r[1], r[2], r[0]) for r in FEE_TIERS]).alias("t")).first().t is None
+
+
+def test_closure_of_a_long_chain_ends_at_its_fixpoint(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i - 1}") for i in range(1, 71)], "child string, parent string")
+    pairs = closure(edges, "child", "parent")
+    assert pairs.count() == 70 * 71 // 2
+    assert pairs.agg(F.max("depth")).first()[0] == 70
+
+
+def test_factors_of_hot_keys_do_not_overflow(spark):
+    parent = spark.createDataFrame([(1,)], "k int")
+    arms = [Arm(spark.createDataFrame([(1, 4_000_000)], "k int, n long").withColumnRenamed("n", f"n{i}"), f"n{i}") for i in range(3)]
+    assert side_by_side(parent, "k", arms, rows_as="joined").first().joined == 4_000_000 ** 3

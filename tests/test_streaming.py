@@ -6,18 +6,20 @@ import os
 import time
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.latest import latest
 from ledgerloom.sources.lake import Lake
 from ledgerloom.sources.landing import SCHEMAS
-from ledgerloom.streaming.jobs import arriving, cdc_latest, dq_monitor, fraud_tumbling, instant, wall
+from ledgerloom.streaming.jobs import arriving, cdc_latest, dq_monitor, fraud_tumbling, instant, sessions, velocity_sliding, wall
 
 
 def drop_file(spark, folder, n, rows):
     """One landing file, older files first."""
     df = spark.createDataFrame(rows, SCHEMAS["events"]).coalesce(1).toPandas()
-    path = f"{folder}/part-{n}.parquet"
+    os.makedirs(f"{folder}/events.parquet", exist_ok=True)
+    path = f"{folder}/events.parquet/part-{n}.parquet"
     df.to_parquet(path, coerce_timestamps="us", allow_truncated_timestamps=True)
     os.utime(path, (time.time() - 1000 + n, time.time() - 1000 + n))
 
@@ -34,7 +36,7 @@ def test_late_rows_are_dropped(spark, tmp_path):
     drop_file(spark, tmp_path, 2, [event(48, day + timedelta(days=2, minutes=5))])
     drop_file(spark, tmp_path, 3, [event(32, day + timedelta(hours=3)), event(40, day + timedelta(days=5))])
     lake = Lake(spark, str(tmp_path))
-    stream = arriving(lake, "events", files_per_trigger=1, pattern="*.parquet")
+    stream = arriving(lake, "events", files_per_trigger=1)
     got = {r.day_start: r.alerts for r in fraud_tumbling(lake, stream).collect()}
     # event 32 belongs to the first day but comes after the watermark has passed it
     assert got == {day: 2, day + timedelta(days=2): 2}
@@ -46,7 +48,7 @@ def test_micro_batches_equal_one_batch(spark, lake, tmp_path):
     for n in range(4):
         drop_file(spark, tmp_path, n, rows[n * step: (n + 1) * step])
     split = Lake(spark, str(tmp_path))
-    stream = arriving(split, "events", files_per_trigger=1, pattern="*.parquet")
+    stream = arriving(split, "events", files_per_trigger=1)
     once = {tuple(r) for r in dq_monitor(lake).collect()}
     assert {tuple(r) for r in dq_monitor(split, stream).collect()} == once
 
@@ -61,6 +63,42 @@ def test_cdc_over_many_batches_equals_latest(spark, lake, tmp_path):
     assert got.exceptAll(expected).isEmpty()
 
 
+def test_file_and_folder_landings_give_the_same(spark, lake, tmp_path):
+    lake.raw("events").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    folder = Lake(spark, str(tmp_path))
+    for job in (dq_monitor, velocity_sliding, sessions, fraud_tumbling):
+        assert sorted(map(str, job(folder).collect())) == sorted(map(str, job(lake).collect())) != []
+
+
+def test_missing_landing_is_an_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        dq_monitor(Lake(spark, str(tmp_path)))
+
+
+def test_later_run_processes_new_files_only(spark, tmp_path):
+    day = datetime(2024, 1, 1)
+    at = str(tmp_path / "job")
+    lake = Lake(spark, str(tmp_path))
+    drop_file(spark, tmp_path, 0, [event(8, day), event(16, day + timedelta(days=2))])
+    assert {r.day_start for r in dq_monitor(lake, folder=at).collect()} == {day}
+    assert dq_monitor(lake, folder=at).count() == 1
+    drop_file(spark, tmp_path, 1, [event(24, day + timedelta(days=4))])
+    assert sorted(r.day_start for r in dq_monitor(lake, folder=at).collect()) == [day, day + timedelta(days=2)]
+
+
+def test_cdc_merges_into_one_table(spark, lake, tmp_path):
+    raw = lake.raw("lineitem")
+    parts = raw.randomSplit([0.5, 0.3, 0.2], seed=1)
+    target = f"{tmp_path}/lineitem.parquet"
+    fed = Lake(spark, str(tmp_path))
+    for n, part in enumerate(parts):
+        part.write.mode("append").parquet(target)
+        rows = cdc_latest(fed, folder=f"{tmp_path}/job")
+        expected = latest(spark.read.schema(SCHEMAS["lineitem"]).parquet(target), ["l_orderkey", "l_linenumber"], "l_shipdate", ("l_partkey", "l_suppkey"))
+        assert rows.count() == expected.count() and rows.exceptAll(expected).isEmpty()
+        assert len(os.listdir(f"{tmp_path}/job/current")) <= 2
+
+
 def test_instant_and_wall_do_not_depend_on_the_session_zone(spark):
     t = datetime(2024, 3, 10, 2, 30, 0, 123456)
     df = spark.createDataFrame([(t,)], "t timestamp_ntz")
