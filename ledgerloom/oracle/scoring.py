@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from ledgerloom.oracle.layers import STREAM_TS, avg, bound_sql, dbl, define, ratio, rnd
 from ledgerloom.scoring.lexicon import (
-    CASES,
     CATALOG_MARKERS,
     CONTEXT_MARKERS,
     DOLLARS,
@@ -17,6 +16,7 @@ from ledgerloom.scoring.lexicon import (
     PROBLEM_MARKERS,
     SECTIONS,
     TABLE_NAMES,
+    expectations,
 )
 from ledgerloom.sources.bindings import AGENT_LINES, RESPONSES
 
@@ -56,8 +56,7 @@ QUERIES["ev_tool_pivot"] = "SELECT tool_name, " + ", ".join(
 
 define("ev_responses", bound_sql(RESPONSES))
 _CASES = ", ".join(
-    f"({c.no}, '{c.complexity}', '{c.outcome}', {strings(c.tables)}, {strings(c.wrong_tables)}, "
-    f"{strings(c.glossary)}, {strings(c.metadata)})" for c in CASES)
+    f"({no}, '{agent}', '{kind}', '{outcome}', {', '.join(map(strings, lists))})" for no, agent, kind, outcome, *lists in expectations())
 _TABLES = f"list_filter({strings(TABLE_NAMES)}, lambda t: contains(low, t))"
 _TERMS = ("list_sort(list_distinct(flatten([" + ", ".join(
     f"CASE WHEN contains(low, {q(w)}) THEN {strings(terms)} ELSE CAST([] AS VARCHAR[]) END"
@@ -72,10 +71,10 @@ _SIGNALS = " + ".join(f"CAST({s} AS INTEGER)" for s in (
     f"regexp_matches(raw, {q(DOLLARS)})", f"regexp_matches(raw, {q(PERCENTAGES)})",
     "(contains(raw, '|') AND contains(raw, '---'))", f"regexp_matches(raw, {q(LONG_NUMBER)})"))
 define("ev_base", f"""
-SELECT r.response_id, r.agent, r.case_no, r.latency_s, c.*  EXCLUDE (no), r.response_text AS raw,
+SELECT r.response_id, r.agent, r.case_no, r.latency_s, c.* EXCLUDE (no, of), r.response_text AS raw,
   lower(r.response_text) AS low
-FROM ev_responses r JOIN (VALUES {_CASES}) AS c(no, complexity, expected_outcome, rt, wt, terms_due, meta_due)
-ON c.no = r.case_no""")
+FROM ev_responses r JOIN (VALUES {_CASES}) AS c(no, of, complexity, expected_outcome, rt, wt, terms_due, meta_due)
+ON c.no = r.case_no AND c.of = r.agent""")
 define("ev_found", f"""
 SELECT *, {_TABLES} AS tables, {_TERMS} AS terms, {_META} AS found, {_KNOWN} AS known,
   {sc(f'least(1.0, ({_SIGNALS}) / CAST(2 AS DOUBLE))')} AS data_in_response,
@@ -128,9 +127,14 @@ _METRICS = ("outcome", "table_selection", "data_in_response", "response_structur
             "glossary_citation", "metadata_citation", "latency_s")
 
 
+_APPLIES = {"graceful_failure": "expected_outcome = 'fail_gracefully'", "glossary_citation": "len(terms_due) > 0",
+            "metadata_citation": "len(meta_due) > 0"}
+
+
 def _mean(metric: str, agent: str) -> str:
     v = f"CAST({metric} AS DECIMAL(18,6))"
-    return dbl(ratio(f"sum({v}) FILTER (agent = '{agent}')", f"count(*) FILTER (agent = '{agent}')", 4))
+    rows = f"FILTER (agent = '{agent}' AND {_APPLIES.get(metric, 'TRUE')})"
+    return dbl(ratio(f"sum({v}) {rows}", f"count(*) {rows}", 4))
 
 
 QUERIES["ev_report"] = " UNION ALL ".join(

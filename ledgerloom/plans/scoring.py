@@ -85,9 +85,11 @@ def metadata_rows(lake: Lake) -> DataFrame:
 
 
 def report(lake: Lake) -> DataFrame:
-    """Mean of every metric and of the latency, one column per agent."""
+    """Mean of every metric over the responses it applies to, and of the latency, one column per agent."""
+    applies = {"graceful_failure": F.col("expected_outcome") == "fail_gracefully", "glossary_citation": F.col("terms_expected"),
+               "metadata_citation": F.col("metadata_expected")}
     values = F.array(*[
-        F.struct(F.lit(m).alias("metric"), F.col(m).cast("decimal(18,6)").alias("value"))
+        F.struct(F.lit(m).alias("metric"), F.when(applies.get(m, F.lit(True)), F.col(m).cast("decimal(18,6)")).alias("value"))
         for m in (*METRICS, "latency_s")])
     long = scored(lake).select("agent", F.inline(values))
     averages = long.groupBy("agent", "metric").agg(mean("value", 4).cast("double").alias("mean"))

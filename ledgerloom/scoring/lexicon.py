@@ -68,25 +68,87 @@ TABLE_PREFIXES = ("bronze_", "silver_", "gold_", "vw_")
 
 
 @dataclass(frozen=True)
-class Case:
-    """What one evaluation question expects of an answer."""
+class Expected:
+    """What one agent's answer to a question should hold; `lineage` asks for a citation of lineage as well."""
 
-    no: int
-    complexity: str
     outcome: str
     tables: tuple[str, ...] = ()
     wrong_tables: tuple[str, ...] = ()
     glossary: tuple[str, ...] = ()
     metadata: tuple[str, ...] = ()
+    lineage: bool = False
+
+    @property
+    def cited(self) -> tuple[str, ...]:
+        return (*self.metadata, "lineage") if self.lineage and "lineage" not in self.metadata else self.metadata
+
 
+@dataclass(frozen=True)
+class Case:
+    """One evaluation question and what each agent is expected to make of it."""
+
+    name: str
+    complexity: str
+    basic: Expected
+    scaled: Expected
+    kc: Expected
 
+
+FAILS, PARTIAL = Expected("fail_gracefully"), Expected("partial")
+
+
+def _all_succeed(table: str, *glossary: str) -> tuple[Expected, Expected, Expected]:
+    plain = Expected("success", (table,))
+    return plain, plain, Expected("success", (table,), glossary=glossary)
+
+
+# The evaluation cases.
 CASES = (
-    Case(0, "simple", "success", ("gold_customer_360",), ("bronze_customers",), ("Customer ID",), ("data_quality",)),
-    Case(1, "simple", "success", ("silver_loans", "gold_loan_portfolio_summary"), (), ("FICO Score", "Delinquency")),
-    Case(2, "ambiguous", "partial", ("gold_fraud_analytics",), ("bronze_loans",), ("SAR", "KYC"), ("regulatory",)),
-    Case(3, "multi_table", "success", ("silver_accounts", "gold_customer_360", "silver_loans"), (), ("AUM", "Branch")),
-    Case(4, "cross_domain", "partial", ("silver_kyc_records",), (), ("KYC",), ("lineage", "classification")),
-    Case(5, "governance", "success", (), ("bronze_customers",), (), ("lineage", "data_quality", "classification")),
-    Case(6, "impossible", "fail_gracefully"),
-    Case(7, "cross_domain", "success", (), (), ("CET1 Ratio", "NIM", "Swap Spread"), ("regulatory",)),
+    Case("top_customers", "simple", *_all_succeed("gold_customer_360", "Customer ID")),
+    Case("loan_portfolio_summary", "simple", *_all_succeed("gold_loan_portfolio_summary", "Risk Rating")),
+    Case("balance_sheet_overview", "simple", *_all_succeed("gold_balance_sheet_summary")),
+    Case("portfolio_performance", "simple", *_all_succeed("gold_portfolio_performance")),
+    Case("suspicious_activity_trends", "ambiguous", FAILS,
+         Expected("partial", wrong_tables=("bronze_fraud_alerts", "silver_fraud_alerts", "bronze_compliance_cases")),
+         Expected("success", ("gold_fraud_analytics", "gold_aml_risk_scoring", "silver_fraud_alerts"), glossary=("SAR",))),
+    Case("interest_rate_exposure", "ambiguous", FAILS, Expected("partial", wrong_tables=("bronze_interest_rates",)),
+         Expected("success", ("gold_net_interest_margin", "gold_balance_sheet_summary"), glossary=("NIM",))),
+    Case("customer_risk_overview", "ambiguous", PARTIAL, Expected("partial", wrong_tables=("bronze_risk_exposures", "bronze_risk_profiles")),
+         Expected("success", ("gold_customer_360", "gold_aml_risk_scoring"), glossary=("Risk Rating", "KYC"))),
+    Case("delinquency_trends", "ambiguous", PARTIAL, Expected("partial", wrong_tables=("silver_loans", "bronze_loans")),
+         Expected("success", ("gold_delinquency_analysis", "gold_loan_portfolio_summary"), glossary=("Delinquency",))),
+    Case("branch_performance_full", "multi_table", FAILS, PARTIAL, Expected("success", ("gold_branch_performance",), glossary=("Branch",))),
+    Case("advisor_revenue_analysis", "multi_table", FAILS, PARTIAL, Expected("success", ("gold_advisor_scorecard", "gold_client_revenue"))),
+    Case("aml_investigation", "multi_table", FAILS, PARTIAL,
+         Expected("success", ("gold_aml_risk_scoring", "gold_customer_360"), glossary=("KYC", "SAR"))),
+    Case("operational_risk_audit", "multi_table", FAILS, PARTIAL, Expected("success", ("gold_operational_risk",), lineage=True)),
+    Case("hnw_total_exposure", "cross_domain", Expected("success", ("gold_customer_360",)), PARTIAL,
+         Expected("success", ("gold_customer_360",), glossary=("AUM", "Customer ID"), lineage=True)),
+    Case("branch_retail_wealth_revenue", "cross_domain", FAILS, PARTIAL,
+         Expected("success", ("gold_branch_performance", "gold_client_revenue"), glossary=("Branch",))),
+    Case("customer_product_penetration", "cross_domain", Expected("partial", ("gold_customer_360",)), PARTIAL,
+         Expected("success", ("gold_customer_360",), glossary=("Customer ID", "AUM"))),
+    Case("cross_sell_opportunities", "cross_domain", Expected("partial", ("gold_customer_360",)), PARTIAL, Expected("success", ("gold_customer_360",))),
+    Case("fico_trust", "governance_dependent", PARTIAL, PARTIAL,
+         Expected("success", ("gold_loan_portfolio_summary",), glossary=("FICO Score",), metadata=("data_quality",))),
+    Case("cusip_data_quality", "governance_dependent", FAILS, PARTIAL, Expected("success", glossary=("CUSIP",), metadata=("data_quality",))),
+    Case("basel_capital_requirements", "governance_dependent", FAILS, Expected("partial", wrong_tables=("bronze_regulatory_capital",)),
+         Expected("success", ("gold_capital_adequacy",), glossary=("CET1 Ratio",), metadata=("regulatory",))),
+    Case("data_lineage_question", "governance_dependent", FAILS, FAILS, Expected("success", metadata=("lineage",), lineage=True)),
+    Case("cre_stress_test", "impossible_without_metadata", FAILS, PARTIAL,
+         Expected("success", ("gold_capital_adequacy", "gold_loan_portfolio_summary"), glossary=("CET1 Ratio",), lineage=True)),
+    Case("market_risk_var_analysis", "impossible_without_metadata", PARTIAL, PARTIAL,
+         Expected("success", ("gold_market_risk_var",), glossary=("VaR",), metadata=("data_quality",))),
+    Case("liquidity_coverage_ratio", "impossible_without_metadata", FAILS, PARTIAL, Expected("success", ("gold_liquidity_coverage",))),
+    Case("regulatory_filing_readiness", "impossible_without_metadata", FAILS, PARTIAL,
+         Expected("success", ("gold_regulatory_dashboard", "silver_regulatory_filings", "bronze_regulatory_filings", "gold_capital_adequacy"),
+                  lineage=True)),
 )
+AGENTS = ("basic", "scaled", "kc")
+
+
+def expectations() -> list[tuple]:
+    """(case number, agent, complexity, outcome, right tables, wrong tables, terms, kinds of metadata), one for each case and agent."""
+    return [
+        (no, agent, case.complexity, e.outcome, e.tables, e.wrong_tables, e.glossary, e.cited)
+        for no, case in enumerate(CASES) for agent in AGENTS for e in [getattr(case, agent)]]

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import round_to
 from ledgerloom.scoring.lexicon import (
-    CASES,
     CATALOG_MARKERS,
     CONTEXT_MARKERS,
     DOLLARS,
@@ -23,6 +22,7 @@ from ledgerloom.scoring.lexicon import (
     SECTIONS,
     TABLE_NAMES,
     TABLE_PREFIXES,
+    expectations,
 )
 
 SUBSTANCE_CHARS = 200
@@ -148,18 +148,17 @@ def heuristic(text: Column, agent: Column, expected: Column) -> Column:
 
 
 def case_table(spark: SparkSession) -> DataFrame:
-    rows = [(c.no, c.complexity, c.outcome, list(c.tables), list(c.wrong_tables), list(c.glossary), list(c.metadata))
-            for c in CASES]
+    rows = [(no, agent, kind, outcome_, *map(list, lists)) for no, agent, kind, outcome_, *lists in expectations()]
     return spark.createDataFrame(
-        rows, "case_no bigint, complexity string, expected_outcome string, right_tables array<string>, "
+        rows, "case_no bigint, agent string, complexity string, expected_outcome string, right_tables array<string>, "
               "wrong_tables array<string>, expected_terms array<string>, expected_metadata array<string>")
 
 
 def score(responses: DataFrame) -> DataFrame:
-    """Every score of every response, in one projection after joining the handful of cases."""
+    """Every score of every response, in one projection after joining the expectations of each case and agent."""
     raw, text, agent = F.col("response_text"), F.col("text_lower"), F.col("agent")
     base = (
-        responses.join(F.broadcast(case_table(responses.sparkSession)), "case_no")
+        responses.join(F.broadcast(case_table(responses.sparkSession)), ["case_no", "agent"])
         .withColumn("text_lower", F.lower("response_text"))
         .withColumns({"tables": table_mentions(text), "found_metadata": metadata_types(text),
                       "data_in_response": data_signals(raw), "graceful_failure": graceful_failure(text, raw)})
@@ -176,6 +175,8 @@ def score(responses: DataFrame) -> DataFrame:
                 F.col("graceful_failure")).alias("outcome"),
         heuristic(text, agent, F.col("right_tables")).alias("heuristic_score"),
         glossary_mentions(text).alias("terms"),
+        # What a report averages: a citation only where one is expected, a failure only where failing is right.
+        (F.size("expected_terms") > 0).alias("terms_expected"), (F.size("expected_metadata") > 0).alias("metadata_expected"),
     )
 
 
