@@ -6,6 +6,7 @@ from ledgerloom.config import CLOCK
 from ledgerloom.oracle.layers import BOOK_TS, avg, dbl, define, pct, quarter_end, ratio
 from ledgerloom.plans.snapshots import MONTHS, QUARTERS, month_ends, quarter_ends
 from ledgerloom.plans.staging import CONSOLIDATED, LOAN_LINES
+from ledgerloom.quality.rules import CUSIP, ISIN
 from ledgerloom.sources.refdata import SCHEMAS
 
 
@@ -35,19 +36,32 @@ SELECT w.currency, d.currency_name, d.symbol, d.decimals, count(*) AS wire_count
   {dbl('sum(CASE WHEN d.decimals = 0 THEN round(w.amount, 0) ELSE w.amount END)')} AS total_amount
 FROM silver_wire_transfers w LEFT JOIN {ref_table('currency_codes')} ON d.currency_code = w.currency
 GROUP BY ALL"""
-_CUSIP = "lpad(CAST(p_partkey * 7 % 1000000000 AS VARCHAR), 9, '0')"
+_SIGNS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _adds_up(values: str, length: str, doubled: int, digit: str) -> str:
+    """Sum of digits with every second value doubled, against the check digit."""
+    v = f"({values})[i + 1] * CASE WHEN i % 2 = {doubled} THEN 2 ELSE 1 END"
+    total = f"list_sum(list_transform(range({length}), lambda i: ({v}) // 10 + ({v}) % 10))"
+    return f"(10 - {total} % 10) % 10 = TRY_CAST({digit} AS INTEGER)"
+
+
+_CUSIP_VALUES = f"list_transform(range(1, 9), lambda k: instr('{_SIGNS}', cusip[k]) - 1)"
 QUERIES["ref_cusip_master"] = f"""
-SELECT {_CUSIP} AS cusip, 'Security-' || p_partkey AS issuer_name,
-  ['Equity', 'Corporate Bond', 'Treasury', 'Municipal', 'ETF'][p_partkey % 5 + 1] AS security_type,
-  'US' AS country, 'Active' AS status FROM part"""
+SELECT cusip, min(security_name) AS issuer_name, min(security_type) AS security_type, min(country) AS country, count(*) AS securities,
+  coalesce(regexp_matches(cusip, '{CUSIP}'), FALSE) AS well_formed,
+  CASE WHEN regexp_matches(cusip, '{CUSIP}') THEN {_adds_up(_CUSIP_VALUES, '8', 1, 'cusip[9]')} END AS check_digit_ok
+FROM silver_securities GROUP BY cusip"""
 QUERIES["ref_isin_mapping"] = f"""
-SELECT 'US' || {_CUSIP} || (p_partkey % 10) AS isin, {_CUSIP} AS cusip, 'US' AS country_code,
-  ['NYSE', 'NASDAQ', 'OTC'][p_partkey % 3 + 1] AS exchange FROM part"""
-QUERIES["ref_lei_registry"] = """
-SELECT 'LEI-' || lpad(CAST(s_suppkey AS VARCHAR), 20, '0') AS lei, 'Entity-' || s_suppkey AS legal_name,
-  ['US', 'GB', 'DE', 'JP', 'CA'][s_suppkey % 5 + 1] AS jurisdiction,
-  ['Active', 'Active', 'Active', 'Lapsed'][s_suppkey % 4 + 1] AS status,
-  DATE '2020-01-01' + CAST(s_suppkey * 37 % 2000 AS INTEGER) AS registration_date FROM supplier"""
+WITH d AS (SELECT DISTINCT isin, cusip FROM silver_securities),
+n AS (SELECT *, reverse(array_to_string(list_transform(range(1, 12), lambda k: instr('{_SIGNS}', isin[k]) - 1), '')) AS digits FROM d),
+v AS (SELECT *, list_transform(range(1, length(digits) + 1), lambda k: TRY_CAST(digits[k] AS INTEGER)) AS vals FROM n)
+SELECT isin, cusip, isin[1:2] AS country_code, coalesce(isin[3:11] = cusip, FALSE) AS holds_cusip,
+  CASE WHEN regexp_matches(isin, '{ISIN}') THEN {_adds_up('vals', 'len(vals)', 0, 'isin[12]')} END AS check_digit_ok
+FROM v"""
+QUERIES["ref_lei_registry"] = f"""
+SELECT lei, min(counterparty_name) AS legal_name, min(country) AS jurisdiction, min(status) AS status, count(*) AS counterparties,
+  {dbl('sum(total_exposure)')} AS total_exposure FROM silver_counterparties GROUP BY lei"""
 QUERIES["ref_fed_district_codes"] = f"""
 SELECT left(a.routing_number, 2) AS prefix, d.district_number, d.district_name, count(*) AS account_count,
   {dbl('sum(a.current_balance)')} AS total_balance

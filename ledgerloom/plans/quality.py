@@ -86,9 +86,10 @@ def profile_summary(lake: Lake) -> DataFrame:
 
 
 def injected_rows(lake: Lake, table: str) -> DataFrame:
+    """Copies of some rows of a bronze table with bad values in them."""
     spec = INJECTIONS[table]
-    numbered = lake.spark.range(1, spec.rows + 1).withColumnRenamed("id", "n")
-    return numbered.select([F.expr(e.format(ts="timestamp_ntz")).alias(c) for c, e in spec.columns.items()])
+    # All bad values are made from the row as it was, so the key is replaced together with them.
+    return lake.bronze(table).where(F.expr(spec.chosen)).withColumns({c: F.expr(e) for c, e in spec.values.items()})
 
 
 def dirty(lake: Lake, table: str) -> DataFrame:

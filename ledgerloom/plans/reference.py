@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import or_zero, total
+from ledgerloom.functions.scalars import is_true, or_zero, total
+from ledgerloom.quality.rules import CUSIP, ISIN
 from ledgerloom.sources.lake import Lake
 from ledgerloom.sources.refdata import FEE_TIERS, decode, gl_label, in_range, ref
 
@@ -33,46 +34,53 @@ def wires_by_currency(lake: Lake) -> DataFrame:
         F.count(F.lit(1)).alias("wire_count"), F.sum(minor).alias("total_amount"))
 
 
+ALPHANUMERIC = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _value(c: Column) -> Column:
+    """Digits count as themselves, letters from 10 on; -1 for anything else."""
+    return F.call_function("instr", F.lit(ALPHANUMERIC), c) - 1
+
+
+def _digit_sum(values: Column, doubled: int) -> Column:
+    """Sum of the digits of the values, every second one doubled from place `doubled` (0 or 1) on."""
+    weighed = F.transform(values, lambda v, i: F.when(i % 2 == doubled, v * 2).otherwise(v))
+    return F.aggregate(weighed, F.lit(0), lambda s, v: s + F.floor(v / 10).cast("int") + v % 10)
+
+
+def cusip_check(cusip: Column) -> Column:
+    """Whether the ninth character of a well-formed CUSIP is its check digit; NULL for other texts."""
+    values = F.transform(F.split(F.substring(cusip, 1, 8), ""), _value)
+    return F.when(cusip.rlike(CUSIP), (10 - _digit_sum(values, 1) % 10) % 10 == F.substring(cusip, 9, 1).try_cast("int"))
+
+
+def isin_check(isin: Column) -> Column:
+    """Whether the last digit of a well-formed ISIN is its check digit; NULL for other texts."""
+    digits = F.array_join(F.transform(F.split(F.substring(isin, 1, 11), ""), lambda c: _value(c).cast("string")), "")
+    values = F.transform(F.reverse(F.split(digits, "")), lambda d: d.cast("int"))
+    return F.when(isin.rlike(ISIN), (10 - _digit_sum(values, 0) % 10) % 10 == F.substring(isin, 12, 1).cast("int"))
+
+
 def cusip_master(lake: Lake) -> DataFrame:
-    """Security master of the listed parts."""
-    n = F.col("p_partkey")
-    kinds = ("Equity", "Corporate Bond", "Treasury", "Municipal")
-    kind = F.when(n % 5 == 4, "ETF")
-    for i, label in enumerate(kinds):
-        kind = kind.when(n % 5 == i, label)
-    return lake.raw("part").select(
-        F.lpad((n * 7 % 1_000_000_000).cast("string"), 9, "0").alias("cusip"),
-        F.concat(F.lit("Security-"), n.cast("string")).alias("issuer_name"),
-        kind.alias("security_type"),
-        F.lit("US").alias("country"),
-        F.lit("Active").alias("status"),
-    )
+    """One row per CUSIP of the securities: what it stands for, and whether it is well formed and checks."""
+    return lake.silver("securities").groupBy("cusip").agg(
+        F.min("security_name").alias("issuer_name"), F.min("security_type").alias("security_type"), F.min("country").alias("country"),
+        F.count(F.lit(1)).alias("securities"),
+    ).withColumns({"well_formed": is_true(F.col("cusip").rlike(CUSIP)), "check_digit_ok": cusip_check(F.col("cusip"))})
 
 
 def isin_mapping(lake: Lake) -> DataFrame:
-    n = F.col("p_partkey")
-    cusip = F.lpad((n * 7 % 1_000_000_000).cast("string"), 9, "0")
-    return lake.raw("part").select(
-        F.concat(F.lit("US"), cusip, (n % 10).cast("string")).alias("isin"),
-        cusip.alias("cusip"),
-        F.lit("US").alias("country_code"),
-        F.when(n % 3 == 0, "NYSE").when(n % 3 == 1, "NASDAQ").otherwise("OTC").alias("exchange"),
-    )
+    """ISIN to CUSIP of the securities, and whether the ISIN holds the CUSIP and checks."""
+    return lake.silver("securities").select("isin", "cusip").distinct().select(
+        "isin", "cusip", F.substring("isin", 1, 2).alias("country_code"),
+        is_true(F.substring("isin", 3, 9) == F.col("cusip")).alias("holds_cusip"), isin_check(F.col("isin")).alias("check_digit_ok"))
 
 
 def lei_registry(lake: Lake) -> DataFrame:
-    """Legal entities behind the suppliers."""
-    n = F.col("s_suppkey")
-    place = F.when(n % 5 == 4, "CA")
-    for i, label in enumerate(("US", "GB", "DE", "JP")):
-        place = place.when(n % 5 == i, label)
-    return lake.raw("supplier").select(
-        F.concat(F.lit("LEI-"), F.lpad(n.cast("string"), 20, "0")).alias("lei"),
-        F.concat(F.lit("Entity-"), n.cast("string")).alias("legal_name"),
-        place.alias("jurisdiction"),
-        F.when(n % 4 == 3, "Lapsed").otherwise("Active").alias("status"),
-        F.date_add(F.lit("2020-01-01").cast("date"), (n * 37 % 2000).cast("int")).alias("registration_date"),
-    )
+    """Legal entities behind the counterparties, with what is exposed to them."""
+    return lake.silver("counterparties").groupBy("lei").agg(
+        F.min("counterparty_name").alias("legal_name"), F.min("country").alias("jurisdiction"), F.min("status").alias("status"),
+        F.count(F.lit(1)).alias("counterparties"), total("total_exposure").alias("total_exposure"))
 
 
 def accounts_by_district(lake: Lake) -> DataFrame:

@@ -6,6 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.reference import cusip_check, isin_check
 from ledgerloom.functions import scalars as s
 
 
@@ -68,3 +69,10 @@ def test_publish_turns_decimals_into_doubles(spark):
     df = spark.createDataFrame([(Decimal("1.25"), 3)], "a decimal(18,2), b bigint")
     assert s.publish(df).dtypes == [("a", "double"), ("b", "bigint")]
     assert s.publish(df.select(F.col("b"))).dtypes == [("b", "bigint")]
+
+
+def test_check_digits_of_security_numbers(spark):
+    rows = [("037833100", "US0378331005"), ("037833101", "US0378331004"), ("38259P508", "US38259P5089"), ("12345", "123"), (None, None)]
+    df = spark.createDataFrame(rows, "cusip string, isin string")
+    got = df.select(cusip_check(F.col("cusip")).alias("c"), isin_check(F.col("isin")).alias("i")).collect()
+    assert [(r.c, r.i) for r in got] == [(True, True), (False, False), (True, True), (None, None), (None, None)]

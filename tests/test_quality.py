@@ -42,12 +42,15 @@ def test_thirty_one_declared_rules():
     assert sum(len(r) for r in RULES.values()) == 31
 
 
-@pytest.mark.parametrize(("table", "rule", "failures"), [
-    ("loans", "fico-range", 150), ("accounts", "balance-non-negative", 50), ("accounts", "account-type-valid", 10),
-    ("securities", "cusip-format", 75), ("credit_cards", "apr-range", 50), ("wire_transfers", "structuring-amount", 20)])
-def test_injected_rows_raise_exactly_the_expected_failures(lake, table, rule, failures):
+@pytest.mark.parametrize(("table", "rule", "broken"), [
+    ("loans", "fico-range", "true"), ("accounts", "balance-non-negative", "true"), ("accounts", "account-type-valid", "account_type is null"),
+    ("securities", "cusip-format", "true"), ("credit_cards", "apr-range", "true"), ("wire_transfers", "structuring-amount", "true")])
+def test_injected_rows_raise_exactly_the_expected_failures(lake, table, rule, broken):
+    rows = injected_rows(lake, table)
+    failures = rows.where(broken).count()
+    assert 0 < failures < lake.bronze(table).count()
     bad = {r.rule_name: r.rows_failed for r in evaluate(
-        align(injected_rows(lake, table), lake.bronze(table)), "d", "t", INJECTION_RULES[table], TODAY).collect()}
+        align(rows, lake.bronze(table)), "d", "t", INJECTION_RULES[table], TODAY).collect()}
     assert bad[rule] == failures
     delta = {(r.table_name, r.rule_name): r.new_failures for r in rerun_delta(lake).collect()}
     assert delta[(f"bronze_{table}", rule)] == failures
@@ -56,7 +59,7 @@ def test_injected_rows_raise_exactly_the_expected_failures(lake, table, rule, fa
 def test_quarantine_splits_without_loss(lake):
     frame = dirty(lake, "loans")
     good, bad = quarantine(frame, INJECTION_RULES["loans"], TODAY)
-    assert bad.count() == 150
+    assert bad.count() == injected_rows(lake, "loans").count() > 0
     assert good.count() + bad.count() == frame.count()
     assert bad.where(F.size("failed_rules") == 0).isEmpty()
 
