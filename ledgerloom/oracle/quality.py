@@ -88,18 +88,32 @@ TABLE_RULES = [
 ]
 define("rule_results", " UNION ALL ".join(scan(d, f"{d}_{t}", f"{d}_{t}", rules) for d, t, rules in TABLE_RULES))
 
+def _volume() -> str:
+    from ledgerloom.oracle.gold import DOUBLES
+
+    ruled = {f"{d}_{t}" for d, t, _ in TABLE_RULES}
+    gold = [t for t in DOUBLES if not t.endswith(("_grain_safe", "_fixed"))]
+    tables = [f"bronze_{t}" for t in BINDINGS] + [f"silver_{t}" for t in BINDINGS] + gold
+    rule = [("has-rows", "VOLUME", None, "table:count(*) > 0", 1, None)]
+    return " UNION ALL ".join(scan(t.partition("_")[0], t, t, rule) for t in tables if t not in ruled)
+
+
+define("rule_volume", _volume())
+define("rule_everything", "SELECT * FROM rule_results UNION ALL SELECT * FROM rule_volume")
+
 RESULT = f"SELECT * REPLACE ({dbl('pass_rate')} AS pass_rate) FROM "
 QUERIES["dq_rule_results"] = RESULT + "rule_results"
+QUERIES["dq_volume_rules"] = RESULT + "rule_volume"
 QUERIES["dq_scorecard"] = f"""
-SELECT dataset, table_name, dimension, {dbl(avg('pass_rate', 2))} AS score FROM rule_results GROUP BY 1, 2, 3"""
+SELECT dataset, table_name, dimension, {dbl(avg('pass_rate', 2))} AS score FROM rule_everything GROUP BY 1, 2, 3"""
 QUERIES["vw_dq_scorecard"] = QUERIES["dq_scorecard"]
 QUERIES["vw_dq_by_dimension"] = f"""
-SELECT dimension, {dbl(avg('pass_rate', 2))} AS avg_score, count(*) AS rule_count FROM rule_results GROUP BY 1"""
+SELECT dimension, {dbl(avg('pass_rate', 2))} AS avg_score, count(*) AS rule_count FROM rule_everything GROUP BY 1"""
 QUERIES["vw_dq_failed_rules"] = f"""
-SELECT dataset, table_name, rule_name, dimension, {dbl('pass_rate')} AS pass_rate FROM rule_results WHERE NOT passed"""
+SELECT dataset, table_name, rule_name, dimension, {dbl('pass_rate')} AS pass_rate FROM rule_everything WHERE NOT passed"""
 QUERIES["vw_dq_rule_detail"] = f"""
 SELECT dataset, table_name, rule_name, dimension, column_name, {dbl('pass_rate')} AS pass_rate, rows_evaluated,
-  rows_failed FROM rule_results"""
+  rows_failed FROM rule_everything"""
 
 # ---- injected rows -----------------------------------------------------------------------------
 
@@ -242,17 +256,3 @@ QUERIES["vw_profile_summary"] = " UNION ALL ".join([
     _summary("silver_accounts", 19, ["account_id", "customer_id", "branch_id"]),
     _summary("gold_customer_360", 22, ["customer_id", "home_branch_id", "wm_client_id"]),
 ])
-
-
-def _volume() -> str:
-    from ledgerloom.oracle.gold import DOUBLES
-
-    ruled = {f"{d}_{t}" for d, t, _ in TABLE_RULES}
-    gold = [t for t in DOUBLES if not t.endswith(("_grain_safe", "_fixed"))]
-    tables = [f"bronze_{t}" for t in BINDINGS] + [f"silver_{t}" for t in BINDINGS] + gold
-    rule = [("has-rows", "VOLUME", None, "table:count(*) > 0", 1, None)]
-    return RESULT + "(" + " UNION ALL ".join(
-        scan(t.partition("_")[0], t, t, rule) for t in tables if t not in ruled) + ")"
-
-
-QUERIES["dq_volume_rules"] = _volume()

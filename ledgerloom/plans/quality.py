@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import count_where, mean, or_zero, round_to, safe_div
 from ledgerloom.operators.aligned import append_aligned
+from ledgerloom.operators.checkpoints import cut
 from ledgerloom.plans.gold import GOLD
 from ledgerloom.plans.silver import SILVER
 from ledgerloom.quality import templates as t
@@ -45,22 +46,27 @@ def volume_results(lake: Lake) -> DataFrame:
         for table in SCANNED if table not in RULES])
 
 
+def all_results(lake: Lake) -> DataFrame:
+    """Declared and volume rules of every table, one row per rule, evaluated once for a lake and kept in the shared folder."""
+    return lake.once("dq_results", lambda: cut(rule_results(lake).unionByName(volume_results(lake)).coalesce(1)))
+
+
 def scorecard(lake: Lake) -> DataFrame:
-    return rule_results(lake).groupBy("dataset", "table_name", "dimension").agg(mean("pass_rate", 2).alias("score"))
+    return all_results(lake).groupBy("dataset", "table_name", "dimension").agg(mean("pass_rate", 2).alias("score"))
 
 
 def by_dimension(lake: Lake) -> DataFrame:
-    return rule_results(lake).groupBy("dimension").agg(
+    return all_results(lake).groupBy("dimension").agg(
         mean("pass_rate", 2).alias("avg_score"), F.count(F.lit(1)).alias("rule_count"))
 
 
 def failed_rules(lake: Lake) -> DataFrame:
-    return rule_results(lake).where(~F.col("passed")).select(
+    return all_results(lake).where(~F.col("passed")).select(
         "dataset", "table_name", "rule_name", "dimension", "pass_rate")
 
 
 def rule_detail(lake: Lake) -> DataFrame:
-    return rule_results(lake).select(
+    return all_results(lake).select(
         "dataset", "table_name", "rule_name", "dimension", "column_name", "pass_rate", "rows_evaluated", "rows_failed")
 
 

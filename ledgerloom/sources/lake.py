@@ -28,7 +28,7 @@ class Lake:
     def pin(self, name: str, frame: DataFrame) -> None:
         self._tables[name] = frame
 
-    def _once(self, name: str, build) -> DataFrame:
+    def once(self, name: str, build) -> DataFrame:
         if name not in self._tables:
             self._tables[name] = build()
         return self._tables[name]
@@ -37,20 +37,20 @@ class Lake:
         return self.clock.stream if name in STREAM_TABLES else self.clock.book
 
     def bronze(self, name: str) -> DataFrame:
-        return self._once(f"bronze_{name}", lambda: bind(self.landing, BINDINGS[name]))
+        return self.once(f"bronze_{name}", lambda: bind(self.landing, BINDINGS[name]))
 
     def audit(self, name: str) -> DataFrame:
-        return self._once(f"audit_{name}", lambda: bind(self.landing, AUDITS[name]))
+        return self.once(f"audit_{name}", lambda: bind(self.landing, AUDITS[name]))
 
     def silver(self, name: str) -> DataFrame:
         from ledgerloom.plans.silver import refine
 
-        return self._once(f"silver_{name}", lambda: refine(name, self.bronze(name), self.now_of(name)))
+        return self.once(f"silver_{name}", lambda: refine(name, self.bronze(name), self.now_of(name)))
 
     def gold(self, name: str) -> DataFrame:
         from ledgerloom.plans.gold import GOLD
 
-        return self._once(f"gold_{name}", lambda: GOLD[name](self))
+        return self.once(f"gold_{name}", lambda: GOLD[name](self))
 
     def __call__(self, table: str) -> DataFrame:
         """Table by full name, such as `silver_loans`."""
