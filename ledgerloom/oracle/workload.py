@@ -58,6 +58,8 @@ QUERIES["wq_top_depositors"] = top(
     "customer_id customer_segment total_deposit_balance")
 QUERIES["wq_account_dormancy"] = (
     "SELECT account_type, count(*) AS cnt FROM gold_account_summary WHERE is_dormant GROUP BY 1")
+QUERIES["wq_account_dormancy_fixed"] = (
+    "SELECT account_type, count(*) AS cnt FROM gold_account_summary_dormancy_fixed WHERE is_dormant GROUP BY 1")
 QUERIES["wq_branch_performance"] = top(
     "gold_branch_performance", 20, "total_deposits", "branch_id",
     "branch_name region total_deposits total_loans deposits_per_employee")

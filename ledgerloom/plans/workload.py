@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import bands, count_where, or_zero, quarter_end, ratio
 from ledgerloom.plans.gold import VARIANTS
+from ledgerloom.plans.gold.customers import account_summary_dormancy_fixed
 from ledgerloom.plans.gold.finance import latest_capital
 from ledgerloom.plans.staging import call_report_rc
 from ledgerloom.plans.views import customer_total_relationship
@@ -47,6 +48,11 @@ def account_dormancy(lake: Lake) -> DataFrame:
     return lake.gold("account_summary").where("is_dormant").groupBy("account_type").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def account_dormancy_fixed(lake: Lake) -> DataFrame:
+    """The same count over the summary whose dormancy flag can fire."""
+    return account_summary_dormancy_fixed(lake).where("is_dormant").groupBy("account_type").agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def branch_leaders(lake: Lake) -> DataFrame:
     ranked = top(lake.gold("branch_performance"), 20, "total_deposits", "branch_id")
     return ranked.select("branch_name", "region", "total_deposits", "total_loans", "deposits_per_employee")
@@ -115,6 +121,7 @@ WORKLOAD = {
     "wq_customer_lookup": customer_lookup,
     "wq_top_depositors": top_depositors,
     "wq_account_dormancy": account_dormancy,
+    "wq_account_dormancy_fixed": account_dormancy_fixed,
     "wq_branch_performance": branch_leaders,
     "wq_transaction_patterns": busiest_patterns,
     "wq_loan_portfolio": lambda lake: ordered(
