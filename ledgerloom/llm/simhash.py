@@ -242,7 +242,7 @@ def links(fps: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
 
 def groups(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of `docs`.
+    """(doc_id, fp, root, component_id) of every row of `docs`; `root` is the component's smallest fingerprint.
 
     `component_id` is the smallest doc_id reachable over links of at most two differing bits, the row's own included.
     Rows without an id take part and get the id of their component, or null if no row of it has an id. Rows without
@@ -255,10 +255,11 @@ def groups(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
         star.select(F.col("root").alias("fp"), "root").distinct())
     rooted = members.join(distinct, "fp")
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.select("fp", "root").join(smallest, "root").select("fp", "component", F.lit(True).alias("linked"))
+    named = rooted.select("fp", "root").join(smallest, "root").select("fp", "root", "component")
     of_print = distinct.join(named, "fp", "left").select(
-        "fp", F.when(F.col("linked"), F.col("component")).otherwise(F.col("first")).alias("component_id"))
-    return prints.join(stored(of_print, "components"), "fp").select("doc_id", "fp", "component_id")
+        "fp", F.coalesce("root", "fp").alias("root"),
+        F.when(F.col("root").isNotNull(), F.col("component")).otherwise(F.col("first")).alias("component_id"))
+    return prints.join(stored(of_print, "components"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -273,20 +274,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with one document of each group: the one whose doc_id is the component's.
 
-    Where that id stands on several rows one of them stays; where no row of a group has an id, one of each fingerprint.
+    Where that id stands on several rows of a group, or where no row of a group has an id, one of the rows stays.
     """
     names = docs.columns
     marked = stored(groups(docs), "groups")
-    kept = marked.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = stored(kept, "kept")
-    out = docs.join(kept.where("rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    several = kept.where("rows > 1").select("doc_id")
+    kept = marked.where(F.col("doc_id") == F.col("component_id"))
+    rows = stored(kept.groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
+    out = docs.join(rows.where("rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    several = rows.where("rows > 1").select("doc_id")
     if not several.isEmpty():
-        out = out.unionByName(docs.join(several.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    unnamed = marked.where("component_id is null").select("fp").distinct()
+        repeated = docs.join(several.hint("shuffle_hash"), "doc_id", "left_semi")
+        out = out.unionByName(_one_of_each(repeated, kept.join(several, "doc_id", "left_semi"), True).select(names))
+    unnamed = marked.where("component_id is null")
     if not unnamed.isEmpty():
-        own = "_fingerprint_of_row"
-        without = docs.where("doc_id is null").withColumn(own, fingerprint_column(F.col("text")))
-        without = without.join(unnamed.withColumnRenamed("fp", own), own, "left_semi").dropDuplicates([own])
-        out = out.unionByName(without.select(names))
+        out = out.unionByName(_one_of_each(docs.where("doc_id is null"), unnamed, False).select(names))
     return out.select(names)
+
+
+def _one_of_each(docs: DataFrame, marked: DataFrame, by_id: bool) -> DataFrame:
+    """One of the rows of `docs` for each group in `marked`, and for each id if `by_id`; groups are found by fingerprint."""
+    of_row = "_fingerprint_of_row"
+    root = marked.select(F.col("fp").alias(of_row), F.col("root").alias("_root"), *([F.col("doc_id").alias("_id")] if by_id else [])).distinct()
+    on = F.col(of_row) == F.col("_of_row")
+    rows = docs.withColumn("_of_row", fingerprint_column(F.col("text"))).join(root, on & (F.col("doc_id") == F.col("_id")) if by_id else on)
+    return rows.dropDuplicates(["_root", "_id"] if by_id else ["_root"])

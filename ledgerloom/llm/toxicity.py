@@ -20,7 +20,7 @@ from ledgerloom.llm.support import calibrated, held_out, training_rows
 TRAINING_ROWS = 20_000
 THRESHOLD = 0.5
 #: Entries that a lexicon may have, the share of toxic documents that must hold an entry, and the odds it must show.
-ENTRIES, SUPPORT, LEAST_SUPPORT, ODDS = 2_000, 0.01, 3, 12.0
+ENTRIES, SUPPORT, LEAST_SUPPORT, ODDS = 2_000, 0.01, 6, 40.0
 #: Lengths of the word beginnings that may become entries.
 STEMS = range(4, 8)
 #: Phrases in which a word of the lexicon means no harm.
