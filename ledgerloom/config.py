@@ -62,4 +62,7 @@ def session(app: str = "ledgerloom", master: str | None = None, partitions: int
         builder = builder.config("spark.driver.memory", os.environ.get("LEDGERLOOM_DRIVER_MEMORY", "8g"))
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
+    if master and partitions:
+        # On one machine a table is a file or two; see sources/landing.py.
+        builder = builder.config("spark.ledgerloom.landing.partitions", str(partitions))
     return builder.getOrCreate()
