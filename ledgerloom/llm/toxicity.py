@@ -19,8 +19,9 @@ from ledgerloom.llm.support import calibrated, held_out, training_rows
 #: Labelled documents that lexicon and calibration are fitted on, at most.
 TRAINING_ROWS = 20_000
 THRESHOLD = 0.5
-#: Entries that a lexicon may have, the share of toxic documents that must hold an entry, and the odds it must show.
-ENTRIES, SUPPORT, LEAST_SUPPORT, ODDS = 2_000, 0.01, 6, 40.0
+#: Entries that a lexicon may have, and how many times the odds of any labelled document those of an entry's holders
+#: must be, at the lower end of a confidence interval this many standard deviations wide to each side.
+ENTRIES, ODDS, DEVIATIONS = 2_000, 5.0, 1.96
 #: Lengths of the word beginnings that may become entries.
 STEMS = range(4, 8)
 #: Phrases in which a word of the lexicon means no harm.
@@ -112,17 +113,28 @@ def _terms(stems: Iterable[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterato
     return run
 
 
+def least_share(part: Column, whole: Column, deviations: float = DEVIATIONS) -> Column:
+    """The lower end of Wilson's interval for the share that `part` is of `whole`."""
+    share, z2 = part / whole, deviations * deviations
+    spread = deviations * F.sqrt(share * (1 - share) / whole + z2 / (4 * whole * whole))
+    return (share + z2 / (2 * whole) - spread) / (1 + z2 / whole)
+
+
 def lexicon_terms(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
-    """Words and word beginnings that toxic documents hold far more often than others, with log-odds as weights."""
+    """Words and word beginnings whose holders are toxic far more often than others, with log-odds as weights.
+
+    The odds are those of the least share of toxic holders that the counts allow, so a few holders are enough if all of
+    them are toxic, they weigh less than many, and no number of documents is fixed.
+    """
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
     clean, toxic = totals.get(0, 0), totals.get(1, 0)
     if not toxic or not clean:
         return {}
-    least = max(LEAST_SUPPORT, math.ceil(SUPPORT * toxic))
     counted = sample.select("text", "label").mapInArrow(_terms(STEMS), "term string, clean long, toxic long")
-    counted = counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = (F.col("toxic") + 0.5) / (toxic + 1) / ((F.col("clean") + 0.5) / (clean + 1))
-    chosen = counted.where((F.col("toxic") >= least) & (odds >= ODDS)).select(
+    counted = counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic > 0")
+    share = least_share(F.col("toxic"), F.col("toxic") + F.col("clean"))
+    odds = share / (1 - share) / (toxic / clean)
+    chosen = counted.where(odds >= ODDS).select(
         "term", F.round(F.log(odds), 6).alias("weight")).orderBy(F.desc("weight"), "term").limit(entries)
     return {r["term"]: r["weight"] for r in chosen.collect()}  # `entries` rows at most
 

@@ -47,6 +47,24 @@ def test_folding_and_exceptions():
     assert (mass("a trash heap"), mass("a trash can"), mass("trashy"), mass("scumbags and trash"), mass("obscum")) == (2.0, 0, 0, 5.0, 0)
 
 
+@pytest.mark.parametrize("size, recall, most_false", [("sf0.001", 0.5, 0.0), ("sf0.01", 0.6, 0.02), ("sf0.1", 0.9, 0.005)])
+def test_lexicon_fits_any_number_of_labels(spark, size, recall, most_false):
+    """Of all labelled documents; about a third of the toxic ones at sf0.01 hold no toxic word."""
+    folder = f"/root/testdata/{size}"
+    rows = toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels")).join(read(spark, folder, "labels"), "doc_id").where(
+        "toxic is not null").groupBy("toxic", "held_out").agg(F.sum("predicted").alias("hits"), F.count("*").alias("n")).collect()
+    print(size, sorted((r.toxic, r.held_out, r.hits, r.n) for r in rows))
+    of = {y: [sum(r[c] for r in rows if r.toxic == y) for c in ("hits", "n")] for y in (0, 1)}
+    assert of[1][0] >= recall * of[1][1] and of[0][0] <= most_false * of[0][1]
+
+
+def test_few_but_only_toxic_holders_make_an_entry(spark):
+    rows = [(k, "vile words" if k < 4 else "plain words") for k in range(40)]
+    sample = spark.createDataFrame([(t, int(k < 5)) for k, t in rows], "text string, label int")
+    terms = toxicity.lexicon_terms(sample)
+    assert " viie " in terms and " words " not in terms and " piain " not in terms
+
+
 def test_trees_learn_from_labelled_urls(spark):
     """Long digit-laden paths are bad here, whatever the host; half of the URLs are kept from the fit."""
     rows = [(f"http://h{i % 50}.example.net/{'a' * (i % 7)}" + (f"/{i * 7919 % 10**9}{i}?p={i}&q={i}" if i % 2 else "/page"), i % 2) for i in range(2000)]
