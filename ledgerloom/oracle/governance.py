@@ -83,19 +83,15 @@ j AS (SELECT product, asset, date_sub('minute', loaded_at, now) AS age, every +
 SELECT product, asset, CASE WHEN bool_and(loaded_at IS NOT NULL) THEN max(age) END AS age_minutes, CAST(max(lim) AS BIGINT) AS limit_minutes,
   min(loaded_at) AS loaded_at, bool_and(loaded_at IS NOT NULL AND age <= lim) AS fresh FROM j GROUP BY 1, 2"""
 
-_TEXT_COLUMNS = {
-    "silver_customers": "customer_id first_name last_name ssn_masked address_line1 city state zip_code phone email "
-                        "customer_type customer_segment citizenship_status tin_masked industry kyc_risk_rating "
-                        "kyc_status home_branch_id source_system",
-    "silver_wm_clients": "wm_client_id retail_customer_id first_name last_name client_tier risk_tolerance "
-                         "investment_objective primary_advisor_id account_type management_type client_status "
-                         "tax_id_masked source_system",
-    "silver_employees": "employee_id first_name last_name title department branch_id manager_id employment_status "
-                        "finra_crd_number source_system",
-    "gold_customer_360": "customer_id first_name last_name customer_type customer_segment home_branch_id "
-                         "kyc_risk_rating kyc_status state industry wm_client_id wealth_tier",
-}
-QUERIES["pii_leak_scan"] = "SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{p}' AS pattern, "
-    f"count(*) FILTER (regexp_matches({c}, '{rx}')) AS hits FROM {t}"
-    for t, cols in _TEXT_COLUMNS.items() for c in cols.split() for p, rx in LEAK_PATTERNS.items()) + ") WHERE hits > 0"
+_LEAK_TABLES = [f"silver_{t}" for t in SILVER] + [t for t in DOUBLES if not t.endswith(("_grain_safe", "_fixed"))]
+
+
+def _leaks(t: str) -> str:
+    counts = ", ".join(f"count(*) FILTER (regexp_matches(v, '{rx}')) AS {p}" for p, rx in LEAK_PATTERNS.items())
+    return (f"SELECT '{t}' AS table_name, c AS column_name, {counts} FROM "
+            f"(FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM {t}) UNPIVOT (v FOR c IN (*))) GROUP BY c")
+
+
+QUERIES["pii_leak_scan"] = " UNION ALL ".join(
+    f"SELECT table_name, column_name, '{p}' AS pattern, {p} AS hits FROM found WHERE {p} > 0" for p in LEAK_PATTERNS)
+QUERIES["pii_leak_scan"] = f"WITH found AS MATERIALIZED ({' UNION ALL '.join(map(_leaks, _LEAK_TABLES))}) " + QUERIES["pii_leak_scan"]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.policy import apply_policy
-from ledgerloom.plans.governance import freshness_check, retention_due, retention_starts
+from ledgerloom.plans.governance import LEAK_TABLES, freshness_check, pii_leak_scan, retention_due, retention_starts
+from ledgerloom.plans.gold import GOLD
 from ledgerloom.plans.quality import by_term
 from ledgerloom.plans.silver import SILVER
 from ledgerloom.sources.lake import Lake
@@ -38,3 +39,15 @@ def test_tokens_depend_on_the_key(spark):
     people = Lake(spark, SMALL).silver("customers").limit(5)
     one, two = (apply_policy(people, "silver_customers", "internal", k).select("first_name").collect() for k in ("a", "b"))
     assert not {r[0] for r in one} & {r[0] for r in two}
+
+
+def test_leak_scan_reads_every_silver_and_gold_table(spark):
+    assert set(LEAK_TABLES) == {f"silver_{n}" for n in SILVER} | {f"gold_{n}" for n in GOLD}
+    lake = Lake(spark, SMALL)
+    found = {}
+    for table, column, value, pattern in (
+            ("silver_counterparties", "counterparty_name", "a.b@example.org", "email"), ("gold_fraud_analytics", "alert_type", "123-45-6789", "ssn")):
+        lake.pin(table, lake(table).limit(3).withColumn(column, F.lit(value)).localCheckpoint())
+        found[table, column, pattern] = lake(table).count()
+    got = {(r.table_name, r.column_name, r.pattern): r.hits for r in pii_leak_scan(lake).collect()}
+    assert all(n > 0 and got[key] == n for key, n in found.items())
