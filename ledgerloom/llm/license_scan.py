@@ -44,8 +44,6 @@ PERMISSIVE = frozenset({"mit", "apache", "bsd", "isc", "cc0", "cc-by", "bsl", "z
 FREEING = frozenset({"classpath-exception", "llvm-exception", "gcc-exception"})
 #: How sure one kind of evidence is by itself.
 SURE = {"tag": 0.95, "base": 0.8, "notice": 0.6}
-#: Characters after a tag in which its expression may stand.
-REACH = 2_000
 
 _TOKEN = re.compile(r"[\x20\t]*(\(|\)|[a-z0-9][a-z0-9.+:-]*)")
 _VERSION = re.compile(r"[-:.+]?(v?\d[\d.]*|only|or-later|clause|\+)+(?=$|-)")
@@ -58,15 +56,15 @@ def family(identifier: str) -> str:
     return re.sub(r"-(only|or-later|clause)$", "", name) or identifier
 
 
-def postfix(text: str) -> list[str]:
-    """The expression at the start of `text` in postfix order, by shunting-yard; with binds before and before or.
+def postfix(text: str, at: int = 0) -> list[str]:
+    """The expression that starts at `at` in `text` in postfix order, by shunting-yard; with binds before and before or.
 
     It ends where an operand follows an operand, at the end of its line, or at a bracket that closes nothing. An
     expression whose operators lack operands, or whose brackets stay open, gives nothing.
     """
     out: list[str] = []
     waiting: list[str] = []
-    at, operand, depth = 0, False, 0
+    operand, depth = False, 0
     while m := _TOKEN.match(text, at):
         token = m[1]
         if token in RANK:
@@ -114,7 +112,9 @@ def evaluated(order: list[str]) -> tuple[set[str], bool]:
             stack.append((left[0], left[1] or right[2] in FREEING, left[2]))
         else:
             free = left[1] or right[1] if token == "or" else left[1] and right[1]
-            stack.append((left[0] | right[0], free, ""))
+            few, many = sorted((left[0], right[0]), key=len)
+            many |= few
+            stack.append((many, free, ""))
     return stack[0][0], stack[0][1]
 
 
@@ -176,7 +176,7 @@ class Scanner:
         named, free = set(), []
         lower = data.lower().decode("latin-1")
         for end, _ in self.tags.iter(lower):
-            if order := postfix(lower[end + 1:end + 1 + REACH]):
+            if order := postfix(lower, end + 1):
                 families, ok = evaluated(order)
                 named |= families
                 free.append(ok)
@@ -214,7 +214,8 @@ def licenses(docs: DataFrame) -> DataFrame:
     """doc_id and what each row's whole text says of licences; every row of `docs` comes back.
 
     n_base counts the places of base phrases, first_word and last_word are their smallest and largest start. `labels`
-    adds those of notice phrases, the longest at a place, and the families in tagged expressions. `score` grows with
+    adds those of notice phrases, the longest at a place, and the families in tagged expressions, which are read to
+    their end whatever their length. `score` grows with
     each label found, and is 0 without any. `permissive` says whether all tagged expressions allow free use; null
     without one, or if none can be read. A null or empty text has no words and no labels.
     """

@@ -167,6 +167,14 @@ def test_licence_expressions():
     assert (found["n_base"], found["first_word"], found["labels"], found["permissive"]) == (2, 9, "bsd,mit", True)
 
 
+@pytest.mark.parametrize("start, end", [("(", ")"), ("", ""), ("(" * 5, ")" * 5)])
+def test_long_licence_expressions_are_read_to_their_end(start, end):
+    long = " AND ".join(["MIT", "Apache-2.0", "BSD-3-Clause"] * 200)
+    text = f"License-Expression: {start}{long} AND GPL-3.0-only{end}\nSPDX-License-Identifier: ISC and\nLGPL-2.1-only"
+    found = license_scan.Scanner().scan(text.encode())
+    assert (found["labels"], found["n_expressions"], found["permissive"]) == ("apache,bsd,gpl,mit", 1, False)
+
+
 def test_rules_and_policies(spark):
     docs = support.read(spark, SMALL, "documents")
     entries = quality_rules.ledger(docs).cache()
