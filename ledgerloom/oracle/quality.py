@@ -241,18 +241,20 @@ FROM silver_loans"""
 QUERIES["profile"] = " UNION ALL ".join(_profile(c, n) for c, n in _PROFILED.items())
 
 
-def _summary(table: str, columns: int, ids: list[str]) -> str:
-    keys = " ".join(f"WHEN count(DISTINCT {c}) = count(*) THEN '{c}'" for c in ids)
-    dataset = table.partition("_")[0]
-    return (f"SELECT '{dataset}' AS dataset, '{table}' AS table_name, count(*) AS row_count, "
-            f"CAST({columns} AS BIGINT) AS column_count, CASE {keys} END AS pk_column FROM {table}")
-
-
-QUERIES["vw_profile_summary"] = " UNION ALL ".join([
-    _summary("bronze_customers", 22, ["customer_id", "home_branch_id"]),
-    _summary("bronze_accounts", 18, ["account_id", "customer_id", "branch_id"]),
-    _summary("bronze_transactions", 15, ["transaction_id", "account_id", "branch_id"]),
-    _summary("silver_customers", 23, ["customer_id", "home_branch_id"]),
-    _summary("silver_accounts", 19, ["account_id", "customer_id", "branch_id"]),
-    _summary("gold_customer_360", 22, ["customer_id", "home_branch_id", "wm_client_id"]),
-])
+def _summary(table: str) -> str:
+    return f"""
+SELECT '{table.partition("_")[0]}' AS dataset, '{table}' AS table_name, max(n) AS row_count, count(*) AS column_count,
+  arg_min(c, p) FILTER (suffix(c, '_id') AND d = n) AS pk_column
+FROM (SELECT c, min(p) AS p, count(*) AS n, count(DISTINCT v) FILTER (suffix(c, '_id')) AS d
+  FROM (SELECT c, v, row_number() OVER () AS p FROM
+    (FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM {table}) UNPIVOT INCLUDE NULLS (v FOR c IN (*)))) GROUP BY c)"""
+
+
+def _summaries() -> str:
+    from ledgerloom.oracle.gold import DOUBLES
+
+    gold = [t for t in DOUBLES if not t.endswith(("_grain_safe", "_fixed"))]
+    return " UNION ALL ".join(map(_summary, [f"bronze_{t}" for t in BINDINGS] + [f"silver_{t}" for t in BINDINGS] + gold))
+
+
+QUERIES["vw_profile_summary"] = _summaries()

@@ -82,18 +82,22 @@ def distinct_counts(df: DataFrame) -> DataFrame:
 
 
 def summary(df: DataFrame, dataset: str, table: str) -> DataFrame:
-    """Row and column count, and the first id column that is unique and never NULL."""
+    """Row and column count, and the first id column that is unique and never NULL.
+
+    The table is read once: (column, value) pairs of its id columns are grouped by both, then by column.
+    """
     ids = [c for c in df.columns if c.endswith("_id")]
-    rows = df.agg(F.count(F.lit(1)).alias("row_count"))
     if ids:
-        order = F.lit(None).cast("int")
-        for i, c in enumerate(ids):
-            order = F.when(F.col("column_name") == c, i).otherwise(order)
-        keys = distinct_counts(df.select(*ids)).withColumn("position", order)
+        pairs = df.select(F.explode(F.array(*[
+            F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
+            for i, c in enumerate(ids)])).alias("p")).select("p.*")
+        columns = pairs.groupBy("position", "column_name", "value").agg(F.count(F.lit(1)).alias("n")).groupBy(
+            "position", "column_name").agg(F.sum("n").alias("rows"), F.count("value").alias("distinct"))
+        unique = F.when(F.col("distinct") == F.col("rows"), F.col("position"))
+        found = columns.agg(F.coalesce(F.max("rows"), F.lit(0).cast("bigint")).alias("row_count"),
+                            F.min_by("column_name", unique).alias("pk_column"))
     else:
-        keys = rows.select(F.lit("").alias("column_name"), F.lit(-1).alias("distinct_count"), F.lit(0).alias("position"))
-    # One row of counts next to at most one row per id column.
-    candidates = rows.join(keys, F.col("distinct_count") == F.col("row_count"), "left")
-    return candidates.groupBy("row_count").agg(F.min_by("column_name", "position").alias("pk_column")).select(
+        found = df.agg(F.count(F.lit(1)).alias("row_count"), F.lit(None).cast("string").alias("pk_column"))
+    return found.select(
         F.lit(dataset).alias("dataset"), F.lit(table).alias("table_name"), "row_count",
         F.lit(len(df.columns)).cast("bigint").alias("column_count"), "pk_column")

@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.aligned import align
-from ledgerloom.plans.quality import dirty, injected_rows, rerun_delta
+from ledgerloom.plans.quality import SCANNED, dirty, injected_rows, profile_summary, rerun_delta
 from ledgerloom.quality.engine import evaluate, quarantine
-from ledgerloom.quality.profile import profile
+from ledgerloom.quality.profile import profile, summary
 from ledgerloom.quality.rules import HAS_ROWS, INJECTION_RULES, RULES, matches, min_rows, not_null, unique
 
 TODAY = date(2001, 8, 1)
@@ -72,3 +72,19 @@ def test_profile_modes(spark):
     sketch = {r.column_name: r for r in profile(df).collect()}
     assert 150 < sketch["n"].row_count < 350
     assert profile(df).first() == profile(df).first()
+
+
+def test_summary_finds_the_first_unique_id(spark):
+    rows = [(None if i == 0 else i, i % 3, f"k{i}", i) for i in range(10)]
+    df = spark.createDataFrame(rows, "null_id int, twice_id int, key_id string, late_id int")
+    assert tuple(summary(df, "d", "t").first()) == ("d", "t", 10, 4, "key_id")
+    assert tuple(summary(df.limit(0), "d", "t").first()) == ("d", "t", 0, 4, None)
+    assert tuple(summary(df.select(F.col("late_id").alias("n")), "d", "t").first()) == ("d", "t", 10, 1, None)
+
+
+def test_summary_covers_every_scanned_table(spark):
+    class Tables:
+        def __call__(self, table):
+            return spark.range(2).select(F.col("id").alias("row_id"))
+
+    assert [(r.table_name, r.row_count) for r in profile_summary(Tables()).collect()] == [(t, 2) for t in SCANNED]
