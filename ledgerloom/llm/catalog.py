@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import (
-    decontaminate, license_scan, mixing, quality_model, quality_rules, secret_scan, simhash, token_counts, toxicity, url_filter)
+    decontaminate, divergence, license_scan, mixing, neighbours, prefix_tree, quality_model, quality_rules, secret_scan, simhash,
+    token_counts, toxicity, url_filter)
 from ledgerloom.llm.oracle import ORACLE  # noqa: F401
 from ledgerloom.llm.support import read
 
@@ -33,4 +34,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": _with("labels", toxicity.toxicity),
     "op9_simhash": _documents(simhash.near_duplicates),
     "op10_secret_scan": _documents(secret_scan.secrets),
+    "op11_neighbours": lambda spark, sf_dir: neighbours.nearest(read(spark, sf_dir, "embeddings")),
+    "op12_divergence": _documents(divergence.audit),
+    "op13_prefix_tree": lambda spark, sf_dir: prefix_tree.trie(read(spark, sf_dir, "conversations")),
 }

@@ -86,3 +86,73 @@ bits AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed,
   (failed & 463) = 0 AS kept, CAST(failed AS BIGINT) AS failed
 FROM bits"""
+
+ORACLE["op12_divergence"] = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+counts AS (
+  SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs
+  FROM (SELECT lang, source, r, unnest(w) AS term FROM docs) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS total FROM counts GROUP BY ALL HAVING sum(docs) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang),
+sums AS (SELECT lang, source, sum(n) AS source_n FROM counts JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+  SELECT lang, source, coalesce(source_n, 0) AS source_n, coalesce(v, 0) AS v, coalesce(lang_n, 0) AS lang_n
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN sums USING (lang, source) LEFT JOIN langs USING (lang)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+    1 + CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 5) // CAST(source_n + 5 * v AS HUGEINT) AS p,
+    1 + CAST(1000000000 AS HUGEINT) * (CAST(total AS HUGEINT) + 5) // CAST(lang_n + 5 * v AS HUGEINT) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50"""
+
+ORACLE["op13_prefix_tree"] = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS steps),
+turns AS (
+  SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+    sha256(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS key
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS place FROM turns),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS leader, xor(list_reduce(
+      list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda a, b: xor(a >> 8, steps[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc),
+used AS (
+  SELECT c.conv_id, 0 AS part, place, key, words FROM convs c JOIN placed p ON p.conv_id = c.leader AND place <= h
+  UNION ALL SELECT c.conv_id, 1, place, key, words FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND place > h),
+made AS (
+  SELECT conv_id, coalesce(keys, []) AS keys, coalesce(words, []) AS words
+  FROM convs LEFT JOIN (
+    SELECT conv_id, list(key ORDER BY part, place) AS keys, list(words ORDER BY part, place) AS words FROM used GROUP BY conv_id) USING (conv_id)),
+members AS (
+  SELECT conv_id, depth, len(keys) = depth AS ends, array_to_string(list_slice(keys, 1, depth), '') AS path,
+    CASE WHEN depth = 0 THEN 0 ELSE words[depth] END AS words
+  FROM (SELECT conv_id, keys, words, unnest(generate_series(0, len(keys))) AS depth FROM made)),
+nodes AS (
+  SELECT path, depth, left(path, 64 * (depth - 1)) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY path, depth),
+children AS (SELECT up, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY up),
+sized AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children ON children.up = nodes.path),
+below AS (
+  SELECT left(path, 64 * d) AS path, sum(CAST(n_children = 0 AS BIGINT)) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT path, n_children, saved, unnest(generate_series(0, depth)) AS d FROM sized) GROUP BY ALL)
+SELECT s.conv_id, s.depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, s.ends_sha256
+FROM sized s JOIN below USING (path) LEFT JOIN nodes p ON s.depth > 0 AND p.path = s.up"""

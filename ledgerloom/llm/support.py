@@ -20,6 +20,10 @@ _OTHER = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")  # capitals are
 #: Bytes of 0x80 and above only occur inside code points that belong to words.
 PLAIN = bytes(b if b >= 0x80 or chr(b).isdigit() or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 32 for b in range(256))
 
+#: As PLAIN, without digits: words are `[^\x00-\x40\x5B-\x60\x7B-\x7F]+`.
+_NO_LETTER = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
+LETTERS = bytes(32 if chr(b).isdigit() and b < 0x80 else PLAIN[b] for b in range(256))
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -58,6 +62,12 @@ def plain_words(data: bytes | None, size: int = BLOCK_BYTES) -> Iterator[list[by
         yield block.translate(PLAIN).split()
 
 
+def letter_words(data: bytes | None, size: int = BLOCK_BYTES) -> Iterator[list[bytes]]:
+    """Lists of the `[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+` words of a text with A-Z lower-cased, in order; None has no words."""
+    for block in _blocks(data or b"", _NO_LETTER, size):
+        yield block.translate(LETTERS).split()
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text leaves 0 by 5. A row without an id is held out: it can't be matched to a label."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -110,3 +112,65 @@ def mix(rows):
             break
         capped |= over
     return size, total, target
+
+
+def nearest(rows, every, k):
+    """rows: (id, vector); (query, rank, id, distance) of the k nearest of each row whose id is divisible by `every`."""
+    def takes_part(v):
+        return v is not None and None not in v and all(map(math.isfinite, v)) and any(v)
+
+    out = []
+    for i, (q, a) in enumerate(rows):
+        if q is not None and q % every == 0 and takes_part(a):
+            near = sorted((math.dist(a, b), c is None, c or 0) for j, (c, b) in enumerate(rows) if j != i and takes_part(b) and len(a) == len(b))
+            out += [(q, r + 1, None if unnamed else c, d) for r, (d, unnamed, c) in enumerate(near[:k])]
+    return out
+
+
+def divergence(rows, least, ranks):
+    """rows: (lang, source, text)."""
+    found, counts, docs = [], {}, {}
+    for lang, source, text in rows:
+        terms = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+        counts.setdefault(lang or "", {}).setdefault(source or "", Counter()).update(terms)
+        docs.setdefault(lang or "", Counter()).update(set(terms))
+    for lang, groups in counts.items():
+        kept = [t for t, n in docs[lang].items() if n >= least]
+
+        def shares(c):
+            total = sum(c[t] for t in kept) + 5 * len(kept)
+            return {t: 1 + 1_000_000_000 * (c[t] + 5) // total for t in kept}
+
+        whole = shares(sum(groups.values(), Counter()))
+        own = {s: shares(c) for s, c in groups.items()}
+        for s, p in own.items():
+            pairs = [(-sum(abs(p[t] - q[t]) for t in kept), o) for o, q in own.items() if o != s]
+            over = [(whole[t] - p[t], t) for t in kept if groups[s][t] and p[t] > whole[t]]
+            for part, items in (("pair", sorted(pairs)), ("term", sorted(over)[:ranks])):
+                found += [(lang, s, part, item, -v, r + 1) for r, (v, item) in enumerate(items)]
+    return found
+
+
+def prefix_tree(rows):
+    """rows: (conv_id, turn, role, text); turn numbers don't repeat in a conversation."""
+    told = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            told.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in told.items()}
+    made, members, children = {}, {}, {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        made[c] = own.get(c - int(math.fmod(c, 20)), [])[:h] + turns[h:]
+        for d in range(len(made[c]) + 1):
+            members.setdefault(tuple(made[c][:d]), []).append(c)
+    for p in members:
+        if p:
+            children.setdefault(p[:-1], []).append(p)
+    leaves, saved = {}, {}
+    for p in sorted(members, key=len, reverse=True):
+        leaves[p] = sum(leaves[x] for x in children.get(p, ())) or 1
+        saved[p] = sum(saved[x] for x in children.get(p, ())) + ((len(members[p]) - 1) * len(SPACED.findall(p[-1][1])) if p else 0)
+    return [(
+        min(m), len(p), min(members[p[:-1]]) if p else None, len(m), len(children.get(p, ())), leaves[p], saved[p],
+        hashlib.sha256(",".join(map(str, sorted(c for c in m if len(made[c]) == len(p)))).encode()).hexdigest()) for p, m in members.items()]

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 
 from ledgerloom.llm import (
-    catalog, components, decontaminate, license_scan, mixing, quality_rules, secret_scan, simhash, support, token_counts, url_filter)
+    catalog, components, decontaminate, divergence, license_scan, mixing, neighbours, prefix_tree, quality_rules, secret_scan, simhash,
+    support, token_counts, url_filter)
 from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tests.llm import brute
@@ -220,3 +221,93 @@ def test_native_plans_have_no_python(spark):
     for name in ("op3_mix_sources", "op4_url_filter", "op7_quality_rules", "op10_secret_scan"):
         plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().toString()
         assert not any(word in plan for word in ("EvalPython", "MapInArrow", "MapInPandas", "CartesianProduct", "NestedLoop")), name
+
+
+def test_neighbours_reach_their_recall(spark):
+    """Clusters, copies and noise: most of the true neighbours are found, with their exact distances."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((30, 24))
+    vectors = [(i, (centres[i % 30] + rng.standard_normal(24) * (0.1 if i % 3 else 0.8)).tolist()) for i in range(9000)]
+    vectors += [(9000 + i, vectors[i % 5][1]) for i in range(600)]
+    want = {}
+    for q, _, i, d in brute.nearest(vectors, 100, 10):
+        want.setdefault(q, []).append((i, d))
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    place = {i: v for i, v in vectors}
+    hits = 0
+    for q, near in want.items():
+        found = sorted(got[q])
+        assert [r for r, _, _ in found] == list(range(1, 11)) and [(d, i) for _, i, d in found] == sorted((d, i) for _, i, d in found)
+        assert all(d == pytest.approx(np.linalg.norm(np.subtract(place[q], place[i])), rel=1e-12) for _, i, d in found)
+        hits += len({i for _, i, _ in found} & {i for i, _ in near})
+    assert hits >= 0.95 * 10 * len(want)
+
+
+def test_neighbours_in_passes_and_blocks(spark, monkeypatch):
+    vectors = support.read(spark, SMALL, "embeddings")
+    whole = sorted(map(tuple, neighbours.nearest(vectors, every=10).collect()))
+    monkeypatch.setattr(neighbours, "PASS_BYTES", 10_000)
+    assert sorted(map(tuple, neighbours.nearest(vectors.repartition(5), every=10).collect())) == whole
+
+
+def test_collisions_select_what_is_verified():
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((2000, 64))
+    block = neighbours.Block(list(range(2000)), list(range(2000)), vectors)
+    seen = []
+    query = vectors[0] + 0.01 * rng.standard_normal(64)
+    radius = np.array([0.05, 0.1])
+    low, high = block.windows(neighbours.projected(query[None]), radius[None])
+    exact = neighbours.distances
+    try:
+        neighbours.distances = lambda v, q: seen.append(len(v)) or exact(v, q)
+        best = block.search(query, -1, low[0], high[0], radius, [], 1, neighbours.threshold())
+    finally:
+        neighbours.distances = exact
+    assert best[0][3] == 0 and sum(seen) == 1  # windows have grown until one vector lay within; no other was compared
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_skyband_against_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    n, total, place = rng.integers(0, 30, 1500), rng.integers(0, 60, 1500), rng.permutation(1500)
+    for k in (1, 5, 50):
+        above = (n[None] >= n[:, None]) & (total[None] <= total[:, None]) & (place[None] < place[:, None])
+        assert sorted(divergence._skyband(n, total, place, k).tolist()) == np.flatnonzero(above.sum(axis=1) < k).tolist()
+
+
+@pytest.mark.parametrize("tile, buckets, ranks", [(64, 64, 50), (2, 3, 4), (1, 1, 1)])
+def test_divergence_matches_brute_force(spark, tile, buckets, ranks):
+    rng = random.Random(7)
+    words = ["w" + chr(97 + i) * (i % 3 + 1) for i in range(26)] + ["\u00e9t\u00e9", "\U0001F600", "zz"]
+    rows = [(rng.choice(("en", "en", "de", None, "fr")), rng.choice(("a", "b", "c", "d", "e", "hot", "hot", "hot", None)),
+             " ".join(rng.choices(words, weights=range(1, 30), k=rng.randrange(25)))) for _ in range(400)] + [("xx", "only", "wa"), ("yy", "p", None), ("yy", "q", "Rare1rare")]
+    df = spark.createDataFrame(rows, "lang string, source string, text string")
+    got = divergence.audit(df, least_documents=6, ranks=ranks, tile=tile, buckets=buckets).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.divergence(rows, 6, ranks))
+
+
+def _talks(seed):
+    rng, rows = random.Random(seed), {}
+    for _ in range(90):
+        c = rng.randrange(-30, 120)
+        for t in range(rng.choice((0, 1, 2, 4, 7, 13))):
+            rows[c, t if t else rng.choice((None, 0))] = (rng.choice(("user", "assistant", None)), rng.choice(("x", "y z", " x  y\tz", "", None)))
+    copies = [(200 + c, t, "user", f"t{t}") for c in range(50) for t in range(10 + (c % 7 == 0))]
+    return [(c, t, *v) for (c, t), v in rows.items()] + copies
+
+
+@pytest.mark.parametrize("segment, limit", [(4096, 4096), (4096, 12), (3, 4096), (2, 5), (1, 1)])
+def test_tree_matches_brute_force(spark, segment, limit):
+    rows = _talks(segment * limit)
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)
+    got = [tuple(r) for r in prefix_tree.trie(df, segment, limit).collect()]
+    assert sorted(got, key=str) == sorted(brute.prefix_tree(rows), key=str)
+
+
+def test_turns_of_a_long_conversation_are_spread(spark):
+    df = spark.range(20_000).select(F.lit(7).cast("long").alias("conv_id"), F.col("id").cast("int").alias("turn"), F.lit("u").alias("role"), F.col("id").cast("string").alias("text"))
+    placed = prefix_tree.turns(df).select("at", F.spark_partition_id().alias("part")).collect()
+    assert sorted(r.at for r in placed) == list(range(1, 20_001))
