@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerloom.oracle.layers import BOOK_DAY, avg, dbl, define, div, ratio, rnd
+from ledgerloom.quality.profile import PORTABLE_SHARE, QUARTILES
 from ledgerloom.quality.rules import (
     ACCOUNT_ID, ACCOUNT_TYPES, CUSIP, CUSTOMER_ID, ISIN, KYC_STATUSES, MASKED_SSN, MIN_CUSTOMERS, RISK_RATINGS, SSN)
 from ledgerloom.sources.bindings import BINDINGS, INJECTIONS
@@ -238,7 +239,33 @@ SELECT '{column}' AS column_name, count(*) AS row_count, count(*) - count({colum
 FROM silver_loans"""
 
 
-QUERIES["profile"] = " UNION ALL ".join(_profile(c, n) for c, n in _PROFILED.items())
+QUERIES["profile_exact_loans"] = " UNION ALL ".join(_profile(c, n) for c, n in _PROFILED.items())
+
+
+def _columns(table: str, sampled: bool) -> str:
+    """One row per column, whatever its type: values as text, with the name of their type to tell numbers."""
+    part = f"(SELECT * FROM {table} WHERE substr(md5(coalesce(CAST(#1 AS VARCHAR), '')), 1, 2) < '{PORTABLE_SHARE}')" if sampled else table
+    number = "x.t IN ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'HUGEINT', 'FLOAT', 'DOUBLE') OR x.t LIKE 'DECIMAL%'"
+    return f"""
+SELECT '{table.partition("_")[0]}' AS dataset, '{table}' AS table_name, c AS column_name, count(*) AS row_count,
+  count(*) - count(v) AS null_count, count(DISTINCT v) AS distinct_count, min(n) AS min_number, max(n) AS max_number,
+  min(CASE WHEN NOT number THEN v END) AS min_text, max(CASE WHEN NOT number THEN v END) AS max_text,
+  {dbl(ratio('sum(e)', 'count(e)', 4))} AS mean, {', '.join(f"quantile_disc(n, {q}) AS {name}" for q, name in zip(QUARTILES, ('q1', 'median', 'q3')))},
+  {dbl(ratio('count(*) - count(v)', 'count(*)', 4))} AS null_ratio, {dbl(ratio('count(DISTINCT v)', 'count(*)', 4))} AS distinct_ratio
+FROM (SELECT c, x.v AS v, {number} AS number, CASE WHEN {number} THEN TRY_CAST(x.v AS DOUBLE) END AS n,
+    CASE WHEN {number} THEN TRY_CAST(x.v AS DECIMAL(28,6)) END AS e
+  FROM (FROM (SELECT {{'v': CAST(COLUMNS(*) AS VARCHAR), 't': typeof(COLUMNS(*))}} FROM {part}) UNPIVOT (x FOR c IN (*)))) GROUP BY c"""
+
+
+def _layer_tables() -> list[str]:
+    from ledgerloom.oracle.gold import DOUBLES
+
+    gold = [t for t in DOUBLES if not t.endswith(("_grain_safe", "_fixed"))]
+    return [f"bronze_{t}" for t in BINDINGS] + [f"silver_{t}" for t in BINDINGS] + gold
+
+
+QUERIES["profile"] = " UNION ALL ".join(_columns(t, False) for t in _layer_tables())
+QUERIES["profile_sampled"] = " UNION ALL ".join(_columns(t, True) for t in _layer_tables())
 
 
 def _summary(table: str) -> str:
@@ -250,11 +277,4 @@ FROM (SELECT c, min(p) AS p, count(*) AS n, count(DISTINCT v) FILTER (suffix(c,
     (FROM (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM {table}) UNPIVOT INCLUDE NULLS (v FOR c IN (*)))) GROUP BY c)"""
 
 
-def _summaries() -> str:
-    from ledgerloom.oracle.gold import DOUBLES
-
-    gold = [t for t in DOUBLES if not t.endswith(("_grain_safe", "_fixed"))]
-    return " UNION ALL ".join(map(_summary, [f"bronze_{t}" for t in BINDINGS] + [f"silver_{t}" for t in BINDINGS] + gold))
-
-
-QUERIES["vw_profile_summary"] = _summaries()
+QUERIES["vw_profile_summary"] = " UNION ALL ".join(map(_summary, _layer_tables()))

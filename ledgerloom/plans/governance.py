@@ -97,6 +97,7 @@ LEAK_PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
     "phone": r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}",
 }
+LEAK_MARKS = {"ssn": "-", "email": "@", "phone": "("}
 # Key of the registered queries' tokens; a deployment passes its own.
 MASKING_KEY = "registered-query"
 # Every silver and gold table.
@@ -150,24 +151,24 @@ def _newest(columns: tuple[str, ...]) -> Column:
     return F.greatest(*dates) if len(dates) > 1 else dates[0]
 
 
-def retention_starts(lake: Lake, table: str) -> DataFrame:
+def retention_starts(lake, table: str) -> DataFrame:
     """The day on which the retention period of each row of a silver table starts; NULL while it has not.
 
     The period starts at the creation of the record, at the end of the fiscal year of the row, or at the end or last
     activity of the relation. An account runs until it is no longer active, then counts from its closure or last
-    transaction; a loan counts from its maturity or last payment, whichever is later.
+    transaction; a loan counts from its maturity or last payment, whichever is later. `lake` is a lake, or a store of one.
     """
-    rows = lake.silver(table)
+    rows = lake(f"silver_{table}")
     if retention_family(table) == "creation":
         return rows.select(F.col("created_at").cast("date").alias("start"))
     if retention_family(table) == "fiscal":
         return rows.select(F.make_date(F.year(_newest(ROW_DATES[table])), F.lit(12), F.lit(31)).alias("start"))
     if table == "accounts":
-        moved = lake.silver("transactions").groupBy("account_id").agg(F.max(F.col("transaction_date").cast("date")).alias("moved"))
+        moved = lake("silver_transactions").groupBy("account_id").agg(F.max(F.col("transaction_date").cast("date")).alias("moved"))
         return rows.join(moved, "account_id", "left").select(
             F.when(~is_true(F.col("account_status") == "Active"), _newest(("close_date", "moved"))).alias("start"))
     if table == "loans":
-        paid = lake.silver("loan_payments").groupBy("loan_id").agg(F.max(F.col("payment_date").cast("date")).alias("paid"))
+        paid = lake("silver_loan_payments").groupBy("loan_id").agg(F.max(F.col("payment_date").cast("date")).alias("paid"))
         return rows.join(paid, "loan_id", "left").select(_newest(("maturity_date", "paid")).alias("start"))
     if table in ROW_DATES:
         return rows.select(_newest(ROW_DATES[table]).alias("start"))
@@ -175,16 +176,17 @@ def retention_starts(lake: Lake, table: str) -> DataFrame:
 
 
 def retention_due(lake: Lake) -> DataFrame:
-    """Rows past their retention period, for every silver table."""
+    """Rows past their retention period, for every silver table: stored tables, one aggregate over all of them."""
     today = day_lit(lake.clock.book_day)
-    parts = []
-    for table in SILVER:
-        years = retention_years(table)
-        due = F.add_months("start", 12 * years) < today
-        parts.append(retention_starts(lake, table).agg(
-            F.count(F.lit(1)).alias("rows_total"), count_where(due).alias("rows_due"), F.min("start").alias("oldest"),
-        ).select(F.lit(table).alias("table_name"), F.lit(years).alias("retention_years"), "rows_total", "rows_due", "oldest"))
-    return reduce(DataFrame.unionByName, parts)
+    stored = lake.stored.tables([f"silver_{t}" for t in SILVER])
+    starts = reduce(DataFrame.unionByName, [retention_starts(stored.__getitem__, t).select(
+        F.lit(t).alias("table_name"), F.lit(retention_years(t)).alias("retention_years"), "start") for t in SILVER])
+    found = starts.groupBy("table_name", "retention_years").agg(
+        F.count(F.lit(1)).alias("rows_total"),
+        count_where(F.add_months("start", 12 * F.col("retention_years")) < today).alias("rows_due"), F.min("start").alias("oldest"))
+    listed = lake.spark.createDataFrame([(t, retention_years(t)) for t in SILVER], "table_name string, retention_years int")
+    return listed.join(found, ["table_name", "retention_years"], "left").select(
+        "table_name", "retention_years", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("rows_total", "rows_due")], "oldest")
 
 
 def asset_sources() -> list[tuple[str, str, int, int, str]]:
@@ -205,14 +207,16 @@ def freshness_check(lake: Lake) -> DataFrame:
     loaded has no age, so the asset has none either and is not fresh.
     """
     assets = asset_sources()
-    loads = []
-    for source in dict.fromkeys(a[4] for a in assets):
-        now = ts_lit(lake.now_of(source))
-        # Loads stamped after the run's clock are late arrivals of the fixture, not fresher data.
-        loaded = F.max(F.when(F.col("created_at") <= now, F.col("created_at")))
-        loads.append(lake.bronze(source).agg(loaded.alias("loaded_at")).select(
-            F.lit(source).alias("source"), "loaded_at", now.alias("now")))
-    newest = reduce(DataFrame.unionByName, loads)
+    sources = list(dict.fromkeys(a[4] for a in assets))
+    stored = lake.stored.tables([f"bronze_{s}" for s in sources])
+    # Loads stamped after the run's clock are late arrivals of the fixture, not fresher data.
+    loads = reduce(DataFrame.unionByName, [stored[f"bronze_{s}"].select(
+        F.lit(s).alias("source"), ts_lit(lake.now_of(s)).alias("now"),
+        F.when(F.col("created_at") <= ts_lit(lake.now_of(s)), F.col("created_at")).alias("loaded_at")) for s in sources])
+    found = loads.groupBy("source", "now").agg(F.max("loaded_at").alias("loaded_at"))
+    listed = lake.spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(s).alias("source"), ts_lit(lake.now_of(s)).alias("now")) for s in sources])))
+    newest = listed.join(found, ["source", "now"], "left")
     contract = lake.spark.createDataFrame(
         assets, "product string, asset string, every int, slack int, source string")
     age = minutes_between("loaded_at", "now")
@@ -229,21 +233,18 @@ def freshness_check(lake: Lake) -> DataFrame:
 def pii_leak_scan(lake: Lake) -> DataFrame:
     """Count of values that look like unmasked personal data, per table, column and pattern.
 
-    Every text column of every silver and gold table is read, in one aggregate for each table; tables that the lake has
-    pinned are read as they are stored.
+    Every text column of every silver and gold table is read once, from its stored table. A row yields an entry for each
+    hit only, and the entries of all tables are counted together. The cheap test before each pattern is for a character
+    that every match holds.
     """
     parts = []
-    for table in LEAK_TABLES:
-        df = lake(table)
+    for table, df in lake.stored.tables(LEAK_TABLES).items():
         texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-        if not texts:
-            continue
-        hits = [(c, p, f"h{i}_{j}") for i, c in enumerate(texts) for j, p in enumerate(LEAK_PATTERNS)]
-        wide = df.agg(*[count_where(F.col(c).rlike(LEAK_PATTERNS[p])).alias(k) for c, p, k in hits])
-        parts.append(wide.select(F.inline(F.array(*[
-            F.struct(F.lit(table).alias("table_name"), F.lit(c).alias("column_name"), F.lit(p).alias("pattern"),
-                     F.col(k).alias("hits")) for c, p, k in hits]))))
-    return reduce(DataFrame.unionByName, parts).where(F.col("hits") > 0)
+        if texts:
+            hits = [F.when(F.col(c).contains(LEAK_MARKS[p]) & F.col(c).rlike(rx), F.lit(f"{c}|{p}")) for c in texts for p, rx in LEAK_PATTERNS.items()]
+            parts.append(df.select(F.lit(table).alias("table_name"), F.explode(F.array_compact(F.array(*hits))).alias("hit")))
+    found = reduce(DataFrame.unionByName, parts).groupBy("table_name", "hit").agg(F.count(F.lit(1)).alias("hits"))
+    return found.select("table_name", F.split_part("hit", F.lit("|"), F.lit(1)).alias("column_name"), F.split_part("hit", F.lit("|"), F.lit(2)).alias("pattern"), "hits")
 
 
 GOVERNANCE = {

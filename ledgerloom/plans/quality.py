@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import count_where, mean, or_zero, round_to, safe_div
 from ledgerloom.operators.aligned import append_aligned
-from ledgerloom.operators.checkpoints import cut
 from ledgerloom.plans.gold import GOLD
 from ledgerloom.plans.silver import SILVER
 from ledgerloom.quality import templates as t
 from ledgerloom.quality.engine import compare_runs, evaluate, quarantine
-from ledgerloom.quality.profile import profile, summary
+from ledgerloom.quality.profile import column_sketches, merged_profile, portable_sample, profile, summaries
 from ledgerloom.quality.rules import ACCOUNT_ID, CUSIP, HAS_ROWS, INJECTION_RULES, ISIN, MASKED_SSN, RULES
 from ledgerloom.sources.bindings import BINDINGS, INJECTIONS
 from ledgerloom.sources.lake import Lake
@@ -32,21 +31,26 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 
 def rule_results(lake: Lake) -> DataFrame:
-    """Every declared rule against its table, one aggregate pass per table."""
+    """Every declared rule against its stored table, one aggregate pass per table."""
+    tables = lake.stored.tables(RULES)
     return union_all([
-        evaluate(lake(table), dataset_of(table), table, rules, lake.clock.book_day) for table, rules in RULES.items()])
+        evaluate(tables[table], dataset_of(table), table, rules, lake.clock.book_day) for table, rules in RULES.items()])
 
 
 def volume_results(lake: Lake) -> DataFrame:
-    """The default rule of every table without rules of its own: it must have rows."""
-    return union_all([
-        evaluate(lake(table), dataset_of(table), table, (HAS_ROWS,), lake.clock.book_day)
-        for table in SCANNED if table not in RULES])
+    """The default rule of every table without rules of its own: it must have rows. Footers answer it."""
+    counts = lake.stored.row_counts([t for t in SCANNED if t not in RULES])
+    n, rule = F.col("row_count"), HAS_ROWS
+    return counts.select(
+        F.element_at(F.split("table_name", "_"), 1).alias("dataset"), "table_name", F.lit(rule.name).alias("rule_name"),
+        F.lit(rule.dimension).alias("dimension"), F.lit(rule.column).cast("string").alias("column_name"),
+        round_to(safe_div(n, n) * 100, 4).alias("pass_rate"), n.alias("rows_evaluated"), F.lit(0).cast("bigint").alias("rows_failed"),
+        F.lit(float(rule.threshold)).alias("threshold"), (n > 0).alias("passed"), F.lit(rule.term).cast("string").alias("term"))
 
 
 def all_results(lake: Lake) -> DataFrame:
-    """Declared and volume rules of every table, one row per rule, evaluated once for a lake and kept in the shared folder."""
-    return lake.once("dq_results", lambda: cut(rule_results(lake).unionByName(volume_results(lake)).coalesce(1)))
+    """Declared and volume rules of every table, one row per rule."""
+    return rule_results(lake).unionByName(volume_results(lake))
 
 
 def scorecard(lake: Lake) -> DataFrame:
@@ -84,7 +88,25 @@ def by_term(lake: Lake) -> DataFrame:
 
 def profile_summary(lake: Lake) -> DataFrame:
     """Size and key of every scanned table."""
-    return union_all([summary(lake(table), dataset_of(table), table) for table in SCANNED])
+    tables = lake.stored.tables(SCANNED)
+    return summaries(tables, lake.stored.row_counts(SCANNED))
+
+
+def _sketched(lake: Lake, name: str, part) -> DataFrame:
+    """Sketches of every column of every scanned table, kept beside the stored tables and read as one."""
+    tables = lake.stored.tables(SCANNED)
+    return union_all(list(lake.stored.keep_all({
+        f"{name}-{t}": (lambda t=t: column_sketches(part(tables[t]), dataset_of(t), t)) for t in SCANNED}).values()))
+
+
+def profile_all(lake: Lake) -> DataFrame:
+    """One row per column of every scanned table."""
+    return merged_profile(_sketched(lake, "sketches", lambda df: df))
+
+
+def profile_sampled(lake: Lake) -> DataFrame:
+    """The same over a quarter of each table."""
+    return merged_profile(_sketched(lake, "sampled", portable_sample))
 
 
 # ---- injected rows ------------------------------------------------------------------------------
@@ -172,7 +194,9 @@ QUALITY = {
     "dq_trust_statement": trust_statement,
     "dq_quarantine": quarantined_loans,
     "recon_breaks": recon_breaks,
-    "profile": profiled_loans,
+    "profile": profile_all,
+    "profile_sampled": profile_sampled,
+    "profile_exact_loans": profiled_loans,
     "dq_cusip_format": lambda lake: t.breaks_format(dirty(lake, "securities"), "cusip", CUSIP).select(
         "security_id", "cusip"),
     "dq_isin_format": lambda lake: t.breaks_format(dirty(lake, "securities"), "isin", ISIN).select(

@@ -12,15 +12,30 @@ from pyspark.sql import functions as F
 
 from ledgerloom.config import CLOCK, STREAM_TABLES, Clock
 from ledgerloom.sources.bindings import AUDITS, BINDINGS, Binding
-from ledgerloom.sources.landing import Landing
+from ledgerloom.sources.landing import Landing, identity_of
 
 
 class Lake:
-    def __init__(self, spark: SparkSession, path: str, clock: Clock = CLOCK):
+    def __init__(self, spark: SparkSession, path: str, clock: Clock = CLOCK, dealt: bool = True):
         self.spark = spark
         self.clock = clock
-        self.landing = Landing(spark, path)
+        self.landing = Landing(spark, path, dealt)
         self._tables: dict[str, DataFrame] = {}
+        self._store = None
+
+    @property
+    def identity(self) -> str:
+        """The state of the landing files as this lake found them."""
+        return self.landing.identity
+
+    @property
+    def stored(self):
+        """The layers as stored tables, for queries that read many of them."""
+        from ledgerloom.sources.store import LayerStore
+
+        if self._store is None:
+            self._store = LayerStore(self)
+        return self._store
 
     def raw(self, name: str) -> DataFrame:
         return self.landing.table(name)
@@ -75,7 +90,8 @@ _LAKES: dict[tuple[str, int, str], Lake] = {}
 
 
 def lake_for(spark: SparkSession, path: str) -> Lake:
+    """The lake over a data directory as it is now; plans over landing files that have changed since are let go."""
     key = (spark.sparkContext.applicationId, id(spark), path)
-    if key not in _LAKES:
+    if key not in _LAKES or _LAKES[key].identity != identity_of(spark, path):
         _LAKES[key] = Lake(spark, path)
     return _LAKES[key]

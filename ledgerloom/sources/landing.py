@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,19 +49,48 @@ KEYS = {
 }
 
 
+STATUS = re.compile(r"path=([^;]+); isDirectory=(true|false); length=(\d+);.*?modification_time=(\d+)")
+
+
+def landing_files(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """(name, length, modification time) of a file, or of all files under a folder. A missing path has none."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return []
+    found, folders = [], [root]
+    while folders:
+        # One call for a whole folder; its text has every file's name, length and time.
+        for name, is_folder, length, changed in STATUS.findall(jvm.org.apache.commons.lang3.ArrayUtils.toString(system.listStatus(folders.pop()))):
+            if is_folder == "true":
+                folders.append(jvm.org.apache.hadoop.fs.Path(name))
+            else:
+                found.append((name, length, changed))
+    return sorted(found)
+
+
+def identity_of(spark: SparkSession, path: str) -> str:
+    """Digest of the names, sizes and times of all landing files in a data directory."""
+    files = [landing_files(spark, f"{path}/{name}.parquet") for name in SCHEMAS]
+    return hashlib.sha256(repr(files).encode()).hexdigest()
+
+
 class Landing:
     """Read access to one data directory."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, dealt: bool = True):
         self.spark = spark
         self.path = path
+        self.dealt = dealt
+        self.identity = identity_of(spark, path)
         self._branch_count: int | None = None
         self._scans: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._scans:
             rows = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}.parquet")
-            parts = self.spark.conf.get(DEALT, None)
+            parts = self.spark.conf.get(DEALT, None) if self.dealt else None
             self._scans[name] = rows.repartition(int(parts), *KEYS[name]) if parts and name in KEYS else rows
         return self._scans[name]
 

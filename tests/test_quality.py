@@ -6,10 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.aligned import align
-from ledgerloom.plans.quality import SCANNED, dirty, injected_rows, profile_summary, rerun_delta
+from ledgerloom.plans.quality import dirty, injected_rows, rerun_delta
 from ledgerloom.quality.engine import evaluate, quarantine
-from ledgerloom.quality.profile import profile, summary
+from ledgerloom.quality.profile import column_sketches, merged_profile, profile, summaries
 from ledgerloom.quality.rules import HAS_ROWS, INJECTION_RULES, RULES, matches, min_rows, not_null, unique
+from ledgerloom.sources.lake import lake_for
+from tests.conftest import SMALL
+from tests.test_plans import plan
 
 TODAY = date(2001, 8, 1)
 
@@ -77,14 +80,57 @@ def test_profile_modes(spark):
 def test_summary_finds_the_first_unique_id(spark):
     rows = [(None if i == 0 else i, i % 3, f"k{i}", i) for i in range(10)]
     df = spark.createDataFrame(rows, "null_id int, twice_id int, key_id string, late_id int")
-    assert tuple(summary(df, "d", "t").first()) == ("d", "t", 10, 4, "key_id")
-    assert tuple(summary(df.limit(0), "d", "t").first()) == ("d", "t", 0, 4, None)
-    assert tuple(summary(df.select(F.col("late_id").alias("n")), "d", "t").first()) == ("d", "t", 10, 1, None)
-
-
-def test_summary_covers_every_scanned_table(spark):
-    class Tables:
-        def __call__(self, table):
-            return spark.range(2).select(F.col("id").alias("row_id"))
-
-    assert [(r.table_name, r.row_count) for r in profile_summary(Tables()).collect()] == [(t, 2) for t in SCANNED]
+    tables = {"silver_t": df, "silver_empty": df.limit(0), "gold_x": df.select(F.col("late_id").alias("n"))}
+    counts = spark.createDataFrame([("silver_t", 10), ("silver_empty", 0), ("gold_x", 10)], "table_name string, row_count long")
+    got = {tuple(r) for r in summaries(tables, counts).collect()}
+    assert got == {("silver", "silver_t", 10, 4, "key_id"), ("silver", "silver_empty", 0, 4, None), ("gold", "gold_x", 10, 1, None)}
+
+
+def test_sketches_merge_to_the_exact_profile(spark):
+    rows = [(i, i % 7 if i % 5 else None, f"k{i % 11}" if i % 3 else "") for i in range(3000)]
+    df = spark.createDataFrame(rows, "n bigint, few int, s string").repartition(9)
+    sketches = column_sketches(df, "d", "t").unionByName(column_sketches(df.limit(0), "d", "t"))
+    assert sketches.count() == 27
+    got = {r.column_name: r for r in merged_profile(sketches).collect()}
+    n, few, s = got["n"], got["few"], got["s"]
+    assert (n.row_count, n.null_count, n.distinct_count, n.min_number, n.max_number, n.mean) == (3000, 0, 3000, 0.0, 2999.0, 1499.5)
+    assert (n.q1, n.median, n.q3) == (749.0, 1499.0, 2249.0)
+    values = sorted(f for _, f, _ in rows if f is not None)
+    assert (few.null_count, few.distinct_count, few.median) == (600, 7, values[(len(values) + 1) // 2 - 1])
+    assert (s.distinct_count, s.min_text, s.max_text, s.median, s.mean) == (12, "", "k9", None, None)
+
+
+def test_sketches_keep_to_their_error_bound(spark):
+    """Beyond the exact range: distinct values within four standard deviations, quartiles within a tenth of a percent of ranks."""
+    n = 400_000
+    df = spark.range(n).select((F.pmod(F.xxhash64("id"), F.lit(1 << 40))).alias("x"))
+    exact = df.agg(F.expr("percentile_disc(0.25) within group (order by x)"), F.count_distinct("x")).first()
+    got = merged_profile(column_sketches(df, "d", "t")).first()
+    assert abs(got.distinct_count - exact[1]) <= 4 / 256 * n
+    rank = df.where(F.col("x") <= got.q1).count()
+    assert abs(rank - n / 4) <= n / 1000 and got.row_count == n
+
+
+def test_stored_layers_follow_the_landing_files(spark, tmp_path):
+    for name in ("events", "customer", "orders", "lineitem", "supplier", "nation", "region"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    wanted = ["bronze_audit_events", "silver_fraud_alerts"]
+
+    def counts():
+        return {r.table_name: r.row_count for r in lake_for(spark, str(tmp_path)).stored.row_counts(wanted).collect()}
+
+    before, store = counts(), lake_for(spark, str(tmp_path)).stored
+    entry = store.files.read(f"{store.root}/bronze_audit_events.json")
+    assert counts() == before and store is lake_for(spark, str(tmp_path)).stored
+    assert store.files.read(f"{store.root}/bronze_audit_events.json") == entry  # written once
+    spark.read.parquet(f"{SMALL}/events.parquet").limit(100).write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    assert counts()["bronze_audit_events"] == 100 < before["bronze_audit_events"]
+    assert store.root != lake_for(spark, str(tmp_path)).stored.root
+
+
+def test_row_counts_read_footers_only(spark, lake):
+    lake.stored.tables(["silver_loans", "silver_branches"])
+    text = plan(lake.stored.footers(["silver_loans", "silver_branches"]))
+    assert "PushedAggregation: [COUNT(*)]" in text and text.count("BatchScan parquet file") <= 2
+    got = {r.table_name: r.row_count for r in lake.stored.row_counts(["silver_loans", "silver_branches"]).collect()}
+    assert got == {t: lake(t).count() for t in got}
