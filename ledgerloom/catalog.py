@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.functions.scalars import publish
-from ledgerloom.plans.audit import AUDIT
 from ledgerloom.plans.gold import GOLD, VARIANTS
 from ledgerloom.plans.governance import GOVERNANCE
 from ledgerloom.plans.quality import QUALITY
@@ -40,6 +39,6 @@ for _name in GOLD:
 for _name, _plan in VARIANTS.items():
     register(f"gold_{_name}", _plan)
 
-for _group in (VIEWS, REFERENCE, STAGING, SNAPSHOTS, AUDIT, WORKLOAD, BUSINESS, QUALITY, GOVERNANCE, SCORING, STREAMS):
+for _group in (VIEWS, REFERENCE, STAGING, SNAPSHOTS, WORKLOAD, BUSINESS, QUALITY, GOVERNANCE, SCORING, STREAMS):
     for _name, _plan in _group.items():
         register(_name, _plan)

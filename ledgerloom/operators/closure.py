@@ -11,23 +11,23 @@ from ledgerloom.operators.checkpoints import cut
 def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
     """All (ancestor, descendant, depth) pairs; depth is the shortest distance.
 
-    Breadth first: each round joins only the pairs found in the round before
-    with the edges, drops pairs already known, and is checkpointed, so the plan
-    does not grow with the depth. The loop ends at the first round without a new
-    pair; a cycle adds none, so it ends too.
+    Paths double: with all pairs up to distance r known, those up to 2r are pairs at distance r exactly, joined with all
+    pairs that go on from there. A shortest path passes a node at distance r, so none is missed, and the rounds grow with
+    the logarithm of the depth. Every round is checkpointed, so the plan does not grow with it. A cycle adds no pair that
+    isn't known, so the rounds end there too.
     """
     steps = edges.where(F.col(child).isNotNull() & F.col(parent).isNotNull()).select(
-        F.col(child).alias("node"), F.col(parent).alias("above")).distinct()
-    steps = cut(steps)
-    frontier = steps.select(F.col("above").alias("ancestor"), F.col("node").alias("descendant"))
-    found = frontier.withColumn("depth", F.lit(1).cast("bigint"))
-    depth = 1
-    while not frontier.isEmpty():
-        depth += 1
+        F.col(parent).alias("ancestor"), F.col(child).alias("descendant")).distinct()
+    found = cut(steps.withColumn("depth", F.lit(1).cast("bigint")))
+    reach = 1
+    while True:
+        far = found.where(F.col("depth") == reach)
+        if far.isEmpty():
+            return found
+        onward = found.select(F.col("ancestor").alias("middle"), F.col("descendant").alias("end"), F.col("depth").alias("more"))
         reached = (
-            frontier.join(steps, F.col("ancestor") == F.col("node"))
-            .select(F.col("above").alias("ancestor"), "descendant").distinct()
+            far.join(onward, F.col("descendant") == F.col("middle"))
+            .groupBy("ancestor", F.col("end").alias("descendant")).agg((F.min("more") + reach).alias("depth"))
         )
-        frontier = cut(reached.join(found, ["ancestor", "descendant"], "left_anti"))
-        found = cut(found.unionByName(frontier.withColumn("depth", F.lit(depth).cast("bigint"))))
-    return found
+        found = cut(found.unionByName(reached.join(found, ["ancestor", "descendant"], "left_anti")))
+        reach *= 2

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 from ledgerloom.config import CLOCK, STREAM_TABLES
-from ledgerloom.sources.bindings import AUDITS, BINDINGS, Binding
+from ledgerloom.sources.bindings import BINDINGS, Binding
 
 BOOK_TS = f"TIMESTAMP '{CLOCK.book}'"
 BOOK_DAY = f"DATE '{CLOCK.book_day}'"
@@ -238,8 +238,6 @@ def _definition(table: str) -> str | None:
         return DEFINITIONS[table]
     if layer == "bronze" and name in BINDINGS:
         return bound_sql(BINDINGS[name])
-    if layer == "audit" and name in AUDITS:
-        return bound_sql(AUDITS[name])
     if layer == "silver" and name in BINDINGS:
         return silver_sql(name)
     return None

@@ -162,7 +162,7 @@ WITH lots AS (
   SELECT portfolio_id, security_id, as_of_date, holding_id, market_value, cost_basis,
     greatest({quarter_end('as_of_date')}, DATE '{_ENDS[0]}') AS bucket
   FROM silver_holdings WHERE as_of_date <= DATE '{_ENDS[-1]}'),
-newest AS (
+newest AS MATERIALIZED (
   SELECT * FROM lots QUALIFY row_number() OVER (PARTITION BY portfolio_id, security_id, bucket
     ORDER BY as_of_date DESC, holding_id DESC) = 1),
 spans AS (
@@ -170,7 +170,7 @@ spans AS (
 pos AS (
   SELECT portfolio_id, g.d, market_value, cost_basis
   FROM spans JOIN {_days(_ENDS)} ON g.d >= bucket AND (next_bucket IS NULL OR g.d < next_bucket)),
-tot AS (SELECT portfolio_id, d, sum(market_value) AS mv, sum(cost_basis) AS cb, count(*) AS n FROM pos GROUP BY 1, 2)
+tot AS MATERIALIZED (SELECT portfolio_id, d, sum(market_value) AS mv, sum(cost_basis) AS cb, count(*) AS n FROM pos GROUP BY 1, 2)
 SELECT t.portfolio_id, t.d AS snapshot_date, {dbl('t.mv')} AS market_value, {dbl('t.cb')} AS cost_basis,
   {dbl(ratio('t.mv - q.mv', 'q.mv', 4))} AS qtd_return, {dbl(ratio('t.mv - y.mv', 'y.mv', 4))} AS ytd_return,
   t.n AS holding_count
@@ -184,24 +184,3 @@ WITH v AS (SELECT as_of_date AS snapshot_date, benchmark_name AS indicator, {avg
 p AS (SELECT *, lag(value) OVER (PARTITION BY indicator ORDER BY snapshot_date) AS prev FROM v)
 SELECT snapshot_date, indicator, {dbl('value')} AS value, {dbl(ratio('value - prev', 'prev', 4))} AS daily_change_pct
 FROM p"""
-
-# ---- audit -------------------------------------------------------------------------------------
-
-QUERIES["audit_data_access_log"] = "SELECT * FROM audit_data_access_log"
-QUERIES["audit_model_decisions"] = f"""
-SELECT * REPLACE ({dbl('confidence_score')} AS confidence_score) FROM audit_model_decisions"""
-_DENIED = "count(*) FILTER (access_result = 'Denied')"
-QUERIES["audit_access_review"] = f"""
-SELECT user_id, system, count(*) AS accesses, {_DENIED} AS denied, {dbl(pct(_DENIED, 'count(*)'))} AS denied_pct,
-  count(*) FILTER (sensitivity_flag = 'Contains PII') AS pii_accesses,
-  count(*) FILTER (sensitivity_flag = 'Contains PII' AND access_type = 'EXPORT' AND access_result <> 'Denied')
-    AS pii_exports,
-  CAST(sum(rows_accessed) AS BIGINT) AS rows_accessed, max(access_timestamp) AS last_access
-FROM audit_data_access_log GROUP BY 1, 2"""
-_OVER = "count(*) FILTER (manual_override)"
-QUERIES["audit_model_overrides"] = f"""
-SELECT model_name, model_version, decision, count(*) AS decisions, {_OVER} AS overrides,
-  {dbl(pct(_OVER, 'count(*)'))} AS override_rate_pct, {dbl(avg('confidence_score', 2))} AS avg_confidence,
-  count(DISTINCT override_by) AS overriders
-FROM audit_model_decisions GROUP BY 1, 2, 3"""
-

@@ -4,17 +4,23 @@ from __future__ import annotations
 
 from ledgerloom.oracle.gold import DOUBLES
 from ledgerloom.oracle.layers import dbl, define, quarter_end, ratio, silver_published
+from ledgerloom.plans.views import RELATIONSHIP_TIERS
+from ledgerloom.plans.workload import FICO_BANDS
 
 QUERIES: dict[str, str] = {}
 
+
+def tiers(value: str, lower_bounds: tuple, rest: str) -> str:
+    """The name of the first lower bound that a value reaches."""
+    return "CASE " + " ".join(f"WHEN {value} >= {low} THEN '{name}'" for low, name in lower_bounds) + f" ELSE '{rest}' END"
+
+
 # ---- views -------------------------------------------------------------------------------------
 
-define("vw_customer_total_relationship", """
+define("vw_customer_total_relationship", f"""
 SELECT * EXCLUDE (customer_type, home_branch_id, kyc_risk_rating, kyc_status, account_opened_date, state, industry,
     total_accounts, total_loans, total_cards, wm_client_id),
-  CASE WHEN total_relationship_value < 50000 THEN 'Mass Market' WHEN total_relationship_value < 250000 THEN
-    'Mass Affluent' WHEN total_relationship_value < 1000000 THEN 'Affluent' WHEN total_relationship_value < 10000000
-    THEN 'High Net Worth' ELSE 'Ultra High Net Worth' END AS relationship_tier
+  {tiers('total_relationship_value', RELATIONSHIP_TIERS, 'Mass Market')} AS relationship_tier
 FROM gold_customer_360""")
 QUERIES["vw_customer_total_relationship"] = "SELECT * REPLACE (" + ", ".join(
     f"{dbl(c)} AS {c}" for c in DOUBLES["gold_customer_360"]) + ") FROM vw_customer_total_relationship"
@@ -70,10 +76,8 @@ QUERIES["wq_loan_portfolio"] = pick(
     "gold_loan_portfolio_summary", "loan_type risk_rating loan_count total_outstanding delinquency_rate_pct")
 QUERIES["wq_delinquency_by_type"] = pick(
     "gold_delinquency_analysis", "loan_type delinquency_status loan_count total_balance")
-QUERIES["wq_fico_distribution"] = """
-SELECT CASE WHEN fico_score_at_origination < 580 THEN '<580' WHEN fico_score_at_origination < 670 THEN '580-669'
-  WHEN fico_score_at_origination < 740 THEN '670-739' WHEN fico_score_at_origination < 800 THEN '740-799'
-  ELSE '800+' END AS fico_band, count(*) AS cnt FROM silver_loans GROUP BY 1"""
+QUERIES["wq_fico_distribution"] = f"""
+SELECT {tiers('fico_score_at_origination', FICO_BANDS, '<580')} AS fico_band, count(*) AS cnt FROM silver_loans GROUP BY 1"""
 QUERIES["wq_cre_concentration"] = pick(
     "gold_delinquency_analysis", "industry_naics loan_count total_balance", "WHERE loan_type = 'COMMERCIAL'")
 QUERIES["wq_client_aum"] = top(

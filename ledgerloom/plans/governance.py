@@ -12,6 +12,7 @@ from ledgerloom.functions.scalars import count_where, day_lit, is_true, minutes_
 from ledgerloom.operators.closure import closure
 from ledgerloom.operators.policy import apply_policy
 from ledgerloom.plans.silver import SILVER
+from ledgerloom.quality.profile import text_values
 from ledgerloom.sources.bindings import BINDINGS
 from ledgerloom.sources.lake import Lake
 
@@ -237,14 +238,20 @@ def pii_leak_scan(lake: Lake) -> DataFrame:
     hit only, and the entries of all tables are counted together. The cheap test before each pattern is for a character
     that every match holds.
     """
-    parts = []
-    for table, df in lake.stored.tables(LEAK_TABLES).items():
-        texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-        if texts:
-            hits = [F.when(F.col(c).contains(LEAK_MARKS[p]) & F.col(c).rlike(rx), F.lit(f"{c}|{p}")) for c in texts for p, rx in LEAK_PATTERNS.items()]
-            parts.append(df.select(F.lit(table).alias("table_name"), F.explode(F.array_compact(F.array(*hits))).alias("hit")))
-    found = reduce(DataFrame.unionByName, parts).groupBy("table_name", "hit").agg(F.count(F.lit(1)).alias("hits"))
-    return found.select("table_name", F.split_part("hit", F.lit("|"), F.lit(1)).alias("column_name"), F.split_part("hit", F.lit("|"), F.lit(2)).alias("pattern"), "hits")
+    tables = lake.stored.tables(LEAK_TABLES)
+    texts = {t: [f.name for f in df.schema if isinstance(f.dataType, T.StringType)] for t, df in tables.items()}
+
+    def hits(pattern: str) -> Column:
+        def place(value: Column, i: Column) -> Column:
+            return F.when(value.contains(LEAK_MARKS[pattern]) & value.rlike(LEAK_PATTERNS[pattern]), i)
+
+        return F.transform(F.array_compact(F.transform("values", place)), lambda i: F.struct(i.alias("position"), F.lit(pattern).alias("pattern")))
+
+    found = text_values(tables, texts).select("table_name", F.inline(F.concat(*map(hits, LEAK_PATTERNS)))).groupBy(
+        "table_name", "position", "pattern").agg(F.count(F.lit(1)).alias("hits"))
+    names = lake.spark.createDataFrame(
+        [(t, i, c) for t, columns in texts.items() for i, c in enumerate(columns)], "table_name string, position int, column_name string")
+    return names.join(found, ["table_name", "position"]).select("table_name", "column_name", "pattern", "hits")
 
 
 GOVERNANCE = {

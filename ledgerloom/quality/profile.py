@@ -154,13 +154,14 @@ def merged_profile(sketches: DataFrame) -> DataFrame:
 # ---- keys ----------------------------------------------------------------------------------------
 
 
-def key_values(df: DataFrame, table: str) -> DataFrame | None:
-    """(table_name, position, value) of every id column; None where a table has none."""
-    ids = [c for c in df.columns if c.endswith("_id")]
-    if not ids:
-        return None
-    pairs = F.array(*[F.struct(F.lit(i).alias("position"), F.col(c).cast("string").alias("value")) for i, c in enumerate(ids)])
-    return df.select(F.lit(table).alias("table_name"), F.inline(pairs))
+def text_values(tables: dict[str, DataFrame], wanted: dict[str, list[str]]) -> DataFrame:
+    """(table_name, values) of every row of every table: the wanted columns as one array of strings.
+
+    All tables get the same two columns, so what follows is planned and compiled once instead of once a table.
+    """
+    return reduce(DataFrame.unionByName, [
+        df.select(F.lit(t).alias("table_name"), F.array(*[F.col(f"`{c}`").cast("string") for c in wanted[t]]).cast("array<string>").alias("values"))
+        for t, df in tables.items()])
 
 
 def summaries(tables: dict[str, DataFrame], row_counts: DataFrame) -> DataFrame:
@@ -168,11 +169,12 @@ def summaries(tables: dict[str, DataFrame], row_counts: DataFrame) -> DataFrame:
 
     All tables' id values go through one aggregate by value, and that one through another by column.
     """
+    ids = {t: [c for c in df.columns if c.endswith("_id")] for t, df in tables.items()}
     shapes = row_counts.sparkSession.createDataFrame(
-        [(t.partition("_")[0], t, len(df.columns), [c for c in df.columns if c.endswith("_id")]) for t, df in tables.items()],
+        [(t.partition("_")[0], t, len(df.columns), ids[t]) for t, df in tables.items()],
         "dataset string, table_name string, column_count long, ids array<string>")
-    values = [v for v in (key_values(df, t) for t, df in tables.items()) if v is not None]
-    columns = reduce(DataFrame.unionByName, values).groupBy("table_name", "position", "value").agg(F.count(F.lit(1)).alias("n")).groupBy(
+    values = text_values(tables, ids).select("table_name", F.posexplode("values").alias("position", "value"))
+    columns = values.groupBy("table_name", "position", "value").agg(F.count(F.lit(1)).alias("n")).groupBy(
         "table_name", "position").agg(F.max("n").alias("n"), F.count_if(F.col("value").isNull()).alias("nulls"))
     keys = columns.where("n = 1 and nulls = 0").groupBy("table_name").agg(F.min("position").alias("position"))
     return shapes.join(row_counts, "table_name").join(keys, "table_name", "left").select(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.config import CLOCK, STREAM_TABLES, Clock
-from ledgerloom.sources.bindings import AUDITS, BINDINGS, Binding
+from ledgerloom.sources.bindings import BINDINGS, Binding
 from ledgerloom.sources.landing import Landing, identity_of
 
 
@@ -54,9 +54,6 @@ class Lake:
     def bronze(self, name: str) -> DataFrame:
         return self.once(f"bronze_{name}", lambda: bind(self.landing, BINDINGS[name]))
 
-    def audit(self, name: str) -> DataFrame:
-        return self.once(f"audit_{name}", lambda: bind(self.landing, AUDITS[name]))
-
     def silver(self, name: str) -> DataFrame:
         from ledgerloom.plans.silver import refine
 

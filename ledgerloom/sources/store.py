@@ -83,6 +83,7 @@ class LayerStore:
         # Tables are written side by side, so landing files needn't be dealt out to fill the cores of one machine.
         self.lake = Lake(lake.spark, lake.landing.path, lake.clock, dealt=False)
         self._entries: dict[str, dict] = {}
+        self._frames: dict[str, DataFrame] = {}
 
     def _entry(self, name: str) -> dict | None:
         if name not in self._entries:
@@ -94,6 +95,11 @@ class LayerStore:
 
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """The stored result of `build`, written now if it isn't stored yet."""
+        if name not in self._frames:
+            self._frames[name] = self._read_or_write(name, build)
+        return self._frames[name]
+
+    def _read_or_write(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         entry = self._entry(name)
         if entry is None:
             rows = build()

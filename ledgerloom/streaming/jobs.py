@@ -1,20 +1,19 @@
 """Structured Streaming twins of the ingest and monitoring operators.
 
 Every job runs with an available-now trigger: it processes what has arrived and
-stops, and a later start with the same folder goes on from its checkpoint. Sinks
+stops, and a later start with a folder it is given goes on from its checkpoint. Sinks
 are parquet folders; a batch that is retried after a failure leaves the same rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import is_true, micros
-from ledgerloom.operators.checkpoints import checkpoint_root, scratch
+from ledgerloom.operators.checkpoints import scratch
 from ledgerloom.operators.latest import latest
 from ledgerloom.sources.bindings import BINDINGS
 from ledgerloom.sources.lake import Lake, project
@@ -56,17 +55,13 @@ def arriving(lake: Lake, table: str, files_per_trigger: int | None = None) -> Da
     return reader.parquet(f"{lake.landing.path}/{table}.parque[t]")
 
 
-def job_folder(lake: Lake, name: str, folder: str | None, stream: DataFrame | None) -> str:
-    """The folder of a job's state and rows: the one given, or one that stays the same for this job over this landing path.
+def job_folder(lake: Lake, name: str, folder: str | None) -> str:
+    """The folder of a job's state and rows: the one given, from which it resumes, or a new one for this run.
 
-    A job over any other stream has no identity to find its folder by, so it gets a new one.
+    The file source knows files by path alone. A new folder reads everything that lies there now, so a run without a
+    folder never returns what an earlier one made of files that have been rewritten since.
     """
-    if folder:
-        return folder
-    if stream is not None:
-        return scratch(lake.spark, name)
-    digest = hashlib.sha256(lake.landing.path.encode()).hexdigest()[:16]
-    return f"{checkpoint_root(lake.spark)}/streams/{name}-{digest}"
+    return folder or scratch(lake.spark, f"streams/{name}")
 
 
 def run_append(lake: Lake, rows: DataFrame, folder: str) -> DataFrame:
@@ -82,43 +77,70 @@ def run_append(lake: Lake, rows: DataFrame, folder: str) -> DataFrame:
     return lake.spark.read.schema(rows.schema).parquet(f"{folder}/rows")
 
 
-def _versions(lake: Lake, path: str) -> list[int]:
-    folder = lake.spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(lake.spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    names = [f.getPath().getName() for f in files.listStatus(folder)]
-    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+#: Delta rows for each row of the base at which a merge writes a new base.
+COMPACT_AT = 1.0
 
 
-def run_merge(lake: Lake, rows: DataFrame, folder: str, newest: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run to the end of the input, merging every batch into one current table of the newest row per key.
+class Merged:
+    """A current table as a base and the deltas of the batches after it.
 
-    A batch writes the table's next version from the one before, and versions before that are dropped. The version
-    carries the batch's number, so a retried batch writes it again from the same start and adds nothing twice.
+    A batch adds its newest rows as a delta, so it writes what it brings. When the deltas hold as many rows as the base, a
+    new base is written from both; its size has doubled since the last one at most, so over all batches each row is
+    rewritten a number of times that grows with the logarithm of the table. Folders carry the batch's number and are
+    complete when their mark is there: a batch that is tried again writes the same folders from the same start.
     """
-    current = f"{folder}/current"
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        before = [v for v in _versions(lake, current) if v < batch_id]
-        merged = newest(batch)
-        if before:
-            stored = lake.spark.read.schema(rows.schema).parquet(f"{current}/version={before[-1]}")
-            merged = newest(stored.unionByName(merged.select(rows.columns)))
-        merged.write.mode("overwrite").parquet(f"{current}/version={batch_id}")
-        for old in before[:-1]:
-            path = lake.spark._jvm.org.apache.hadoop.fs.Path(f"{current}/version={old}")
-            path.getFileSystem(lake.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def __init__(self, lake: Lake, folder: str, schema, newest: Callable[[DataFrame], DataFrame]):
+        self.spark, self.folder, self.schema, self.newest = lake.spark, f"{folder}/current", schema, newest
+        self.path = lake.spark._jvm.org.apache.hadoop.fs.Path
+        self.files = self.path(self.folder).getFileSystem(lake.spark._jsc.hadoopConfiguration())
+
+    def _complete(self, kind: str) -> list[int]:
+        if not self.files.exists(self.path(self.folder)):
+            return []
+        names = [f.getPath().getName() for f in self.files.listStatus(self.path(self.folder))]
+        return sorted(
+            int(n.removeprefix(f"{kind}=")) for n in names
+            if n.startswith(f"{kind}=") and self.files.exists(self.path(f"{self.folder}/{n}/_SUCCESS")))
+
+    def parts(self, before: int | None = None) -> tuple[int | None, list[int]]:
+        """The newest base below batch `before`, and the deltas after it."""
+        bases = [v for v in self._complete("base") if before is None or v < before]
+        base = bases[-1] if bases else None
+        return base, [v for v in self._complete("delta") if (base is None or v > base) and (before is None or v < before)]
+
+    def _rows(self, base: int | None, deltas: list[int]) -> DataFrame | None:
+        paths = [f"{self.folder}/delta={v}" for v in deltas] + ([f"{self.folder}/base={base}"] if base is not None else [])
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else None
+
+    def merge(self, batch: DataFrame, number: int) -> None:
+        base, deltas = self.parts(before=number)
+        names = [f.name for f in self.schema]
+        self.newest(batch).select(names).write.mode("overwrite").parquet(f"{self.folder}/delta={number}")
+        deltas.append(number)
+        held = self._rows(base, []).count() if base is not None else 0  # footers only
+        if self._rows(None, deltas).count() > COMPACT_AT * held and len(deltas) > 1:
+            self.newest(self._rows(base, deltas)).select(names).write.mode("overwrite").parquet(f"{self.folder}/base={number}")
+            # What the new base replaces stays until the next one, so a reader that began before it can end.
+            for kind in ("base", "delta"):
+                for old in self._complete(kind):
+                    if base is not None and (old < base if kind == "base" else old <= base):
+                        self.files.delete(self.path(f"{self.folder}/{kind}={old}"), True)
+
+    def current(self) -> DataFrame:
+        rows = self._rows(*self.parts())
+        return self.spark.createDataFrame([], self.schema) if rows is None else self.newest(rows).select([f.name for f in self.schema])
+
+
+def run_merge(lake: Lake, rows: DataFrame, folder: str, newest: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run to the end of the input, merging every batch into one current table of the newest row per key."""
+    table = Merged(lake, folder, rows.schema, newest)
     query = (
         rows.writeStream.outputMode("append").trigger(availableNow=True)
-        .option("checkpointLocation", f"{folder}/state").foreachBatch(merge).start()
+        .option("checkpointLocation", f"{folder}/state").foreachBatch(table.merge).start()
     )
     query.awaitTermination()
-    versions = _versions(lake, current)
-    if not versions:
-        return lake.spark.createDataFrame([], rows.schema)
-    return lake.spark.read.schema(rows.schema).parquet(f"{current}/version={versions[-1]}")
+    return table.current()
 
 
 def cdc_latest(lake: Lake, stream: DataFrame | None = None, folder: str | None = None) -> DataFrame:
@@ -128,7 +150,7 @@ def cdc_latest(lake: Lake, stream: DataFrame | None = None, folder: str | None =
         return latest(rows, ["l_orderkey", "l_linenumber"], "l_shipdate", LINE_TIES)
 
     feed = stream if stream is not None else arriving(lake, "lineitem")
-    return run_merge(lake, feed, job_folder(lake, "cdc", folder, stream), newest)
+    return run_merge(lake, feed, job_folder(lake, "cdc", folder), newest)
 
 
 def fraud_tumbling(lake: Lake, stream: DataFrame | None = None, folder: str | None = None) -> DataFrame:
@@ -142,7 +164,7 @@ def fraud_tumbling(lake: Lake, stream: DataFrame | None = None, folder: str | No
         .agg(F.count(F.lit(1)).alias("alerts"), F.sum("loss_amount").alias("losses"))
         .select(wall("window.start").alias("day_start"), "alert_type", "alerts", "losses")
     )
-    return run_append(lake, counted, job_folder(lake, "fraud-tumbling", folder, stream))
+    return run_append(lake, counted, job_folder(lake, "fraud-tumbling", folder))
 
 
 def velocity_sliding(lake: Lake, stream: DataFrame | None = None, folder: str | None = None) -> DataFrame:
@@ -156,7 +178,7 @@ def velocity_sliding(lake: Lake, stream: DataFrame | None = None, folder: str |
         .where(F.col("events") >= VELOCITY_LIMIT)
         .select(wall("window.start").alias("window_start"), "user_id", "events", "amount")
     )
-    return run_append(lake, busy, job_folder(lake, "velocity", folder, stream))
+    return run_append(lake, busy, job_folder(lake, "velocity", folder))
 
 
 def sessions(lake: Lake, stream: DataFrame | None = None, folder: str | None = None) -> DataFrame:
@@ -173,7 +195,7 @@ def sessions(lake: Lake, stream: DataFrame | None = None, folder: str | None = N
         .select(wall("session_window.start").alias("session_start"), wall("session_window.end").alias("session_end"),
                 "user_id", "events", "errors")
     )
-    return run_append(lake, closed, job_folder(lake, "sessions", folder, stream))
+    return run_append(lake, closed, job_folder(lake, "sessions", folder))
 
 
 def dq_monitor(lake: Lake, stream: DataFrame | None = None, folder: str | None = None) -> DataFrame:
@@ -190,7 +212,7 @@ def dq_monitor(lake: Lake, stream: DataFrame | None = None, folder: str | None =
         .agg(F.count(F.lit(1)).alias("rows_evaluated"), *[F.count_if(is_true(ok)).alias(n) for n, ok in rules.items()])
         .select(wall("window.start").alias("day_start"), "rows_evaluated", *rules)
     )
-    return run_append(lake, monitored, job_folder(lake, "dq-monitor", folder, stream))
+    return run_append(lake, monitored, job_folder(lake, "dq-monitor", folder))
 
 
 STREAMS = {

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,35 @@ def test_closure_of_a_long_chain_ends_at_its_fixpoint(spark):
     assert pairs.agg(F.max("depth")).first()[0] == 70
 
 
+def test_closure_doubles_its_paths(spark, monkeypatch):
+    module = sys.modules[closure.__module__]
+
+    rounds, cut = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: rounds.append(1) or cut(df))
+    edges = spark.createDataFrame([(f"n{i}", f"n{i - 1}") for i in range(1, 601)], "child string, parent string")
+    pairs = closure(edges, "child", "parent")
+    assert pairs.count() == 600 * 601 // 2 and pairs.agg(F.max("depth")).first()[0] == 600
+    assert len(rounds) <= 12
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_closure_gives_shortest_distances(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    edges = {(rng.randrange(30), rng.randrange(30)) for _ in range(45)}
+    want = {}
+    for start in range(30):
+        at, near, depth = {start}, set(), 0
+        while at:
+            depth += 1
+            at = {c for c, p in edges if p in at} - near
+            near |= at
+            want.update({(start, c): depth for c in at})
+    got = closure(spark.createDataFrame(sorted(edges), "child long, parent long"), "child", "parent")
+    assert {(r.ancestor, r.descendant): r.depth for r in got.collect()} == want
+
+
 def test_factors_of_hot_keys_do_not_overflow(spark):
     parent = spark.createDataFrame([(1,)], "k int")
     arms = [Arm(spark.createDataFrame([(1, 4_000_000)], "k int, n long").withColumnRenamed("n", f"n{i}"), f"n{i}") for i in range(3)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.latest import latest
 from ledgerloom.sources.lake import Lake
 from ledgerloom.sources.landing import SCHEMAS
-from ledgerloom.streaming.jobs import arriving, cdc_latest, dq_monitor, fraud_tumbling, instant, sessions, velocity_sliding, wall
+from ledgerloom.streaming.jobs import Merged, arriving, cdc_latest, dq_monitor, fraud_tumbling, instant, sessions, velocity_sliding, wall
 
 
 def drop_file(spark, folder, n, rows):
@@ -96,7 +96,38 @@ def test_cdc_merges_into_one_table(spark, lake, tmp_path):
         rows = cdc_latest(fed, folder=f"{tmp_path}/job")
         expected = latest(spark.read.schema(SCHEMAS["lineitem"]).parquet(target), ["l_orderkey", "l_linenumber"], "l_shipdate", ("l_partkey", "l_suppkey"))
         assert rows.count() == expected.count() and rows.exceptAll(expected).isEmpty()
-        assert len(os.listdir(f"{tmp_path}/job/current")) <= 2
+
+
+def test_a_registered_run_reads_what_lies_there_now(spark, tmp_path):
+    day = datetime(2024, 1, 1)
+    lake = Lake(spark, str(tmp_path))
+    drop_file(spark, tmp_path, 0, [event(8, day), event(16, day + timedelta(days=2))])
+    first = dq_monitor(lake).collect()
+    assert [tuple(r) for r in dq_monitor(lake).collect()] == [tuple(r) for r in first] != []
+    drop_file(spark, tmp_path, 0, [event(8, day), event(24, day), event(16, day + timedelta(days=2))])
+    assert [r.rows_evaluated for r in dq_monitor(lake).collect()] == [2]
+
+
+def test_a_merge_writes_what_a_batch_brings(spark, lake, tmp_path):
+    def newest(rows):
+        return latest(rows, ["l_orderkey", "l_linenumber"], "l_shipdate", ("l_partkey", "l_suppkey"))
+
+    raw = lake.raw("lineitem").limit(4000).cache()
+    table = Merged(lake, str(tmp_path), raw.schema, newest)
+    table.merge(raw.where("l_orderkey % 2 = 0"), 0)
+    table.merge(raw.where("l_orderkey % 2 = 1"), 1)
+    assert table.parts() == (1, [])  # deltas beyond the base made a new one
+
+    def written(name):
+        return sum(os.path.getsize(f"{tmp_path}/current/{name}/{f}") for f in os.listdir(f"{tmp_path}/current/{name}"))
+
+    for n in (2, 3, 4):
+        table.merge(raw.limit(5).withColumn("l_shipdate", F.expr("timestamp_ntz '2030-01-01' + make_interval(0, 0, 0, " + str(n) + ")")), n)
+        table.merge(raw.limit(5).withColumn("l_shipdate", F.expr("timestamp_ntz '2030-01-01' + make_interval(0, 0, 0, " + str(n) + ")")), n)  # again
+        assert written(f"delta={n}") < written("base=1") / 10
+    assert table.parts() == (1, [2, 3, 4])
+    assert table.current().count() == newest(raw).count()
+    assert table.current().where("l_shipdate > timestamp_ntz '2029-01-01'").select(F.dayofmonth("l_shipdate")).distinct().collect()[0][0] == 5
 
 
 def test_instant_and_wall_do_not_depend_on_the_session_zone(spark):
