@@ -7,14 +7,17 @@ far the window may move on, buckets of the last block select test strings, and c
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from itertools import chain
 from math import ceil
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.support import plain_words
+from ledgerloom.llm.support import plain_words, stored
 
 WINDOW = 13
 #: Benchmark text is searched in blocks of about this many bytes, so that the tables sent to executors stay bounded.
@@ -37,12 +40,12 @@ class Patterns:
         self.shift: dict[bytes, int] = {}
         self.buckets: dict[bytes, dict[bytes, list[str]]] = {}
 
-    def add(self, words: list[bytes], item: str) -> None:
+    def add(self, words: list[bytes], item: str | None) -> None:
         for end in range(self.block, self.length + 1):
             block = b" ".join(words[end - self.block:end])
             self.shift[block] = min(self.shift.get(block, self.far), self.length - end)
         items = self.buckets.setdefault(b" ".join(words[-self.block:]), {}).setdefault(b" ".join(words), [])
-        if not items or items[-1] != item:
+        if item is not None and (not items or items[-1] != item):
             items.append(item)
 
     def search(self, words: list[bytes]) -> Iterator[tuple[int, list[str]]]:
@@ -55,12 +58,12 @@ class Patterns:
                 p += step
                 continue
             items = self.buckets[block].get(b" ".join(words[p - size + 1:p + 1]))
-            if items:
+            if items is not None:  # an item without an id has windows, but nothing to report
                 yield p, items
             p += 1
 
 
-def compiled(items: Iterable[tuple[str, bytes]], window: int = WINDOW) -> list[Patterns]:
+def compiled(items: Iterable[tuple[str | None, bytes]], window: int = WINDOW) -> list[Patterns]:
     """Tables by length. An item of fewer words than a window is one test string; an item without words is none."""
     tables: dict[int, Patterns] = {}
     for item, text in items:
@@ -102,48 +105,61 @@ def _scanner(broadcast) -> Callable[[pa.Array], pa.Array]:
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_OF_ITEMS) -> Iterator[list[tuple[str, bytes]]]:
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_OF_ITEMS) -> Iterator[list[tuple[str | None, bytes]]]:
     """(item_id, text) of the benchmark in blocks of about `block_bytes`, one at a time.
 
-    Items without an id or text have nothing to report and are left out; repeated rows count once.
+    Items without text have no words and are left out; repeated rows count once.
     """
-    items = benchmark.where("item_id is not null and text is not null").select(
+    items = benchmark.where("text is not null").select(
         F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, ceil(total / block_bytes))
     for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         yield [(r["item_id"], bytes(r["text"])) for r in part.toLocalIterator()]
 
 
-def found_column(text: Column, benchmark: DataFrame, block_bytes: int = BLOCK_OF_ITEMS) -> list[Column]:
-    """One struct column (n_words, n_hit, item_ids, places) for each block of the benchmark."""
-    context = benchmark.sparkSession.sparkContext
-    return [
-        F.arrow_udf(_scanner(context.broadcast(block)), FOUND)(text.cast("binary"))
-        for block in benchmark_blocks(benchmark, block_bytes)
-    ]
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_OF_ITEMS) -> DataFrame:
     """All columns of `docs` beside one struct `found` (n_words, n_hit, item_ids, contaminated).
 
     A word is hit if it is part of any occurrence of 13 consecutive words of an item; a document is contaminated if a
-    twentieth of its words or more are hit. A null or empty text has no words and is clean. An empty benchmark finds
-    nothing. Rows are kept as they are, repeated ones and those without an id too.
+    twentieth of its words or more are hit. Windows of items without an id hit words too; only ids are reported. A null or
+    empty text has no words and is clean. An empty benchmark finds nothing. Rows are kept as they are, repeated ones,
+    those without an id and columns of any name too.
+
+    A benchmark of one block is searched in one pass over `docs`. A larger one takes a pass for each block, whose finds
+    go to the shared folder, so driver and executors hold the tables of one block at a time.
     """
-    parts = found_column(F.col("text"), benchmark, block_bytes)
-    names = [f"_found_{k}" for k in range(len(parts))]
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[p.alias(n) for p, n in zip(parts, names)])
-    if len(parts) == 1:
-        n_hit, items = F.col("_found_0.n_hit"), F.col("_found_0.item_ids")
-    else:
-        n_hit = F.size(F.array_distinct(F.flatten(F.array(*[F.col(n)["places"] for n in names])))).cast("long")
-        items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(n)["item_ids"] for n in names]))))
-    n_words = F.col("_found_0.n_words")
-    return df.select("row", F.struct(
-        n_words.alias("n_words"), n_hit.alias("n_hit"), items.alias("item_ids"),
-        ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated")).alias("found"))
+    context = docs.sparkSession.sparkContext
+    blocks = benchmark_blocks(benchmark, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+    def search(text: Column, block: list[tuple[str | None, bytes]]) -> tuple[Column, Broadcast]:
+        sent = context.broadcast(block)
+        return F.arrow_udf(_scanner(sent), FOUND)(text.cast("binary")).alias("found"), sent
+
+    if second is None:
+        rows = docs.select(whole, search(F.col("text"), first)[0])
+        return rows.select("row", _judged(F.col("found.n_words"), F.col("found.n_hit"), F.col("found.item_ids")))
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("number"), whole), "numbered")
+    parts = []
+    for block in chain((first, second), blocks):
+        found, sent = search(F.col("row.text"), block)
+        hits = numbered.select("number", found).select("number", "found.*")
+        parts.append(stored(hits if not parts else hits.where("n_hit > 0"), "hits"))  # the first pass has all rows
+        sent.destroy()
+    merged = reduce(DataFrame.unionByName, parts).groupBy("number").agg(
+        F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
+    return numbered.join(merged, "number").select(
+        "row", _judged(F.col("n_words"), F.size("places").cast("long"), F.col("item_ids")))
+
+
+def _judged(n_words: Column, n_hit: Column, item_ids: Column) -> Column:
+    return F.struct(
+        n_words.alias("n_words"), n_hit.alias("n_hit"), item_ids.alias("item_ids"),
+        ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated")).alias("found")
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

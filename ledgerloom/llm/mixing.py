@@ -111,7 +111,8 @@ def mix(docs: DataFrame) -> DataFrame:
 def draw_mix(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that the mix takes, with size, source_size, target and taken after the columns of `docs`.
 
-    Rows that agree in id, source and draw share their numbers, so the decision is joined back on these.
+    Rows that agree in id, source and draw share their numbers, so the decision is joined back on these. Where `docs` has a
+    column of one of these four names already, its own stays and the number isn't added.
     """
     own = ["_mix_doc_id", "_mix_draw"]
     decided = mixed(docs).where("taken > 0").select(
@@ -121,4 +122,4 @@ def draw_mix(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("_mix_of", draw(F.col("doc_id"), F.col("text")))
     on = F.col("doc_id").eqNullSafe(F.col(own[0])) & (F.col("_mix_of") == F.col(own[1])) & F.col("source").eqNullSafe(F.col("_mix_source"))
     added = [c for c in ("size", "source_size", "target", "taken") if c not in names]
-    return rows.join(decided.hint("shuffle_hash"), on).select(*[f"`{c}`" for c in names], *[F.col(f"_mix.{c}").alias(c) for c in added])
+    return rows.join(decided, on).select(*[f"`{c}`" for c in names], *[F.col(f"_mix.{c}").alias(c) for c in added])

@@ -9,7 +9,7 @@ ORACLE: dict[str, str] = {}
 
 ORACLE["op2_decontaminate"] = f"""
 WITH items AS (
-  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {PLAIN} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, {PLAIN} AS w FROM benchmark WHERE text IS NOT NULL),
 windows AS (
   SELECT DISTINCT item, least(13, len(w)) AS size, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS gram
   FROM (SELECT item, w, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS i FROM items WHERE len(w) > 0)),
@@ -20,7 +20,7 @@ grams AS (
   FROM (SELECT r, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM docs, sizes WHERE len(w) >= size)),
 hits AS (SELECT r, i, size, item FROM grams JOIN windows USING (size, gram)),
 words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(i, i + size - 1)) AS p FROM hits) GROUP BY r),
-found AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY r)
+found AS (SELECT r, list_sort(list(DISTINCT item) FILTER (WHERE item IS NOT NULL)) AS items FROM hits GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated

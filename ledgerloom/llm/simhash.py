@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -274,16 +274,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` with one document of each group: the one whose doc_id is the component's.
 
-    Where that id stands on several rows of a group, or where no row of a group has an id, one of the rows stays.
+    Where that id stands on several rows of a group, or where no row of a group has an id, one of the rows stays: the one
+    with the smallest hash of all its columns.
     """
     names = docs.columns
     marked = stored(groups(docs), "groups")
     kept = marked.where(F.col("doc_id") == F.col("component_id"))
     rows = stored(kept.groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
-    out = docs.join(rows.where("rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
+    out = docs.join(rows.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
     several = rows.where("rows > 1").select("doc_id")
     if not several.isEmpty():
-        repeated = docs.join(several.hint("shuffle_hash"), "doc_id", "left_semi")
+        repeated = docs.join(several, "doc_id", "left_semi")
         out = out.unionByName(_one_of_each(repeated, kept.join(several, "doc_id", "left_semi"), True).select(names))
     unnamed = marked.where("component_id is null")
     if not unnamed.isEmpty():
@@ -297,4 +298,5 @@ def _one_of_each(docs: DataFrame, marked: DataFrame, by_id: bool) -> DataFrame:
     root = marked.select(F.col("fp").alias(of_row), F.col("root").alias("_root"), *([F.col("doc_id").alias("_id")] if by_id else [])).distinct()
     on = F.col(of_row) == F.col("_of_row")
     rows = docs.withColumn("_of_row", fingerprint_column(F.col("text"))).join(root, on & (F.col("doc_id") == F.col("_id")) if by_id else on)
-    return rows.dropDuplicates(["_root", "_id"] if by_id else ["_root"])
+    first = Window.partitionBy(*["_root", "_id"][:1 + by_id]).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), "text")
+    return rows.withColumn("_place", F.row_number().over(first)).where("_place = 1")

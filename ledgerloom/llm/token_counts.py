@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's makers cut text before merging; a fixed value that belongs to the vocabulary file.
@@ -18,9 +18,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 OUTSIDE = -1
 
 Span = tuple[int, int]
-COUNTS = T.ArrayType(T.StructType([
-    T.StructField("section", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()),
-    T.StructField("n_tokens", T.LongType()), T.StructField("n_crossing", T.LongType())]))
+COUNTS = pa.schema([("section", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.int64()), ("n_crossing", pa.int64())])
+#: Rows that a task hands on at once.
+ROWS = 50_000
 
 
 class Encoder:
@@ -101,24 +101,29 @@ def counts(text: str | None, sections: Sequence[Span | None] | None, encoder: En
     return out
 
 
-def _counter(vocabulary, pattern: str, given: bool) -> Callable[..., pa.Array]:
+def _counter(vocabulary, pattern: str, kind: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over (doc_id, text) and, where given, sections: a row for each section, some ROWS at a time."""
     made: list[Encoder] = []
-    kind = pa.list_(pa.struct([("section", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.int64()), ("n_crossing", pa.int64())]))
 
-    def run(texts: pa.Array, sections: pa.Array | None = None) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = made[0] if made else made.append(Encoder(vocabulary.value, pattern)) or made[0]
-        if not given:
-            return pa.array([counts(t.as_py(), None, encoder) for t in texts], kind)
-        rows = ([(s["start"], s["end"]) if s else None for s in row.as_py() or []] for row in sections)
-        return pa.array([counts(t.as_py(), row, encoder) for t, row in zip(texts, rows)], kind)
-
-    def plain(texts: pa.Array) -> pa.Array:
-        return run(texts)
-
-    def with_sections(texts: pa.Array, sections: pa.Array) -> pa.Array:
-        return run(texts, sections)
-
-    return with_sections if given else plain
+        for batch in batches:
+            ids, texts = batch.column(0).cast(kind), batch.column(1)
+            given = batch.column(2) if batch.num_columns > 2 else None
+            places: list[int] = []
+            found: list[dict] = []
+            for i, text in enumerate(texts):
+                sections = None if given is None else [(s["start"], s["end"]) if s else None for s in given[i].as_py() or []]
+                rows = counts(text.as_py(), sections, encoder)
+                places += [i] * len(rows)
+                found += rows
+                if len(found) >= ROWS or i == len(texts) - 1:
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(pa.array(places, pa.int64())), *[pa.array([r[f.name] for r in found], f.type) for f in COUNTS]],
+                        names=["doc_id", *[f.name for f in COUNTS]])
+                    places, found = [], []
+
+    return run
 
 
 def section_tokens(
@@ -131,15 +136,16 @@ def section_tokens(
     once, in the section that holds most of its characters (`attribute`), and n_crossing counts those of them that reach
     beyond it. Tokens outside of all sections are counted in a row with section -1, so that a document's rows add up to
     its tokens; a null or empty text has that row alone, with 0. Empty, null and overlapped sections are left out or cut.
+    Repeated rows and rows without doc_id have rows of their own; an empty table has none. Other columns are not read.
 
     The vocabulary file is read on the driver and sent to the executors; its size is that of a vocabulary.
     """
     spark = docs.sparkSession
     with open(vocabulary, "rb") as file:
         sent = spark.sparkContext.broadcast(file.read())
-    count = F.arrow_udf(_counter(sent, pattern, sections is not None), COUNTS)
-    found = docs.select("doc_id", count(*[F.col("text"), *([sections] if sections is not None else [])]).alias("found"))
-    return found.select("doc_id", F.explode("found").alias("s")).select("doc_id", "s.*")
+    given = [sections.alias("sections")] if sections is not None else []
+    columns = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *from_arrow_schema(COUNTS).fields])
+    return docs.select("doc_id", "text", *given).mapInArrow(_counter(sent, pattern, to_arrow_type(columns["doc_id"].dataType)), columns)
 
 
 def document_tokens(docs: DataFrame) -> DataFrame:

@@ -21,17 +21,17 @@ def plain(text):
 
 
 def contamination(text, items):
-    """items: (item_id, text)."""
+    """items: (item_id, text); an item without an id has windows, but isn't reported."""
     words, hit, found = plain(text), set(), set()
     for item, body in items:
-        if item is None or body is None:
+        if body is None:
             continue
         other = plain(body)
         size = min(13, len(other))
         windows = {tuple(other[i:i + size]) for i in range(len(other) - size + 1)} if size else set()
         for i in range(len(words) - size + 1):
             if size and tuple(words[i:i + size]) in windows:
-                found.add(str(item))
+                found.update([] if item is None else [str(item)])
                 hit.update(range(i, i + size))
     digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
     return len(words), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(words)

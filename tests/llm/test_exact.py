@@ -156,6 +156,67 @@ def test_tokens_add_up_and_decode(spark, texts):
     assert [(r.section, r.start, r.end, r.n_tokens) for r in got] == [(0, 0, 7, 2), (2, 7, 13, 1)]
 
 
+def test_documents_are_encoded_once(spark, texts):
+    """One Python node in the plan, and the tokens of every line against a plain walk over the spans."""
+    got = catalog.QUERIES["op1_token_counts"](spark, SMALL)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert text.count("MapInArrow") == 1 and "EvalPython" not in text
+    with open(token_counts.VOCABULARY, "rb") as f:
+        encoder = token_counts.Encoder(f.read(), token_counts.PATTERN)
+    rows = {(r.doc_id, r.section): (r.start, r.end, r.n_tokens, r.n_crossing) for r in got.collect()}
+    seen = 0
+    for d, t in texts:
+        lines, at = [], 0
+        for line in t.splitlines(keepends=True) if set(t) & set("\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029") == set() else []:
+            lines.append((at, at + len(line)))
+            at += len(line)
+        if not lines:
+            continue
+        tokens = [[0, 0] for _ in lines]
+        for a, b in zip(*(x.tolist() for x in encoder.spans(t))):
+            held = [min(b, y) - max(a, x) for x, y in lines]
+            tokens[held.index(max(held))][0] += 1
+            tokens[held.index(max(held))][1] += max(held) < b - a
+        for k, ((a, b), (n, crossing)) in enumerate(zip(lines, tokens)):
+            assert rows[d, k] == (a, b, n, crossing)
+            seen += 1
+    assert seen > 500
+
+
+def test_windows_of_items_without_an_id_hit_words(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "alpha beta"), (7, "beta gamma")], "item_id long, text string")
+    for size in (1 << 20, 1):
+        got = {r.row.doc_id: r.found for r in decontaminate.contamination(docs, bench, size).collect()}
+        assert (got[1].n_hit, got[1].item_ids, got[1].contaminated) == (3, ["7"], True) and (got[2].n_hit, got[2].contaminated) == (0, False)
+
+
+def test_one_block_of_the_benchmark_at_a_time(spark, monkeypatch):
+    """A larger benchmark takes more passes, each with the tables of its own block alone."""
+    held, live = [], set()
+
+    class Sent:
+        def __init__(self, block):
+            self.block, self.inner = block, send(block)
+            live.add(id(self))
+            held.append((len(live), sum(len(t) for _, t in block)))
+
+        value = property(lambda self: self.inner.value)
+
+        def destroy(self):
+            live.discard(id(self))
+
+        def __reduce__(self):
+            return self.inner.__reduce__()
+
+    send = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", Sent)
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, f"a b w{i}") for i in range(60)], "item_id long, text string")
+    assert decontaminate.contamination(docs, bench, 60).count() == 1
+    assert len(held) > 3 and {n for n, _ in held} == {1} and max(size for _, size in held) < 200
+
+
 def test_licence_expressions():
     read = license_scan.postfix
     assert read("mit or (apache-2.0 and gpl-2.0-only with classpath-exception-2.0)\nmore") == [
