@@ -43,7 +43,11 @@ HEADLINE = (
     "staging_fr_y9c",
     "dq_rule_results",
     "profile",
+    "profile_exact_loans",
     "pii_leak_scan",
+    "dq_volume_rules",
+    "retention_due",
+    "vw_profile_summary",
     "ev_outcome",
     "ev_report",
 )
