@@ -21,6 +21,7 @@ class Lake:
         self.clock = clock
         self.landing = Landing(spark, path, dealt)
         self._tables: dict[str, DataFrame] = {}
+        self.pinned: dict[str, DataFrame] = {}
         self._store = None
 
     @property
@@ -41,7 +42,8 @@ class Lake:
         return self.landing.table(name)
 
     def pin(self, name: str, frame: DataFrame) -> None:
-        self._tables[name] = frame
+        self._tables[name] = self.pinned[name] = frame
+        self._store = None
 
     def once(self, name: str, build) -> DataFrame:
         if name not in self._tables:

@@ -73,15 +73,22 @@ class LayerStore:
     A table is written to a folder of its own, then entered in a small file that is created once, so of two sessions that
     write the same table the first entry counts, and a broken write is never read. Layers are planned over what is stored
     below them. Changed landing files give another folder; nothing is ever read from an older one.
+
+    Tables that the lake has pinned are taken as they are. What follows from them is this lake's own matter, so a lake with
+    pinned tables gets a folder that no other shares.
     """
 
     def __init__(self, lake: Lake):
         self.spark = lake.spark
         state = f"{lake.identity} {lake.clock} {code_digest()}"
-        self.root = f"{checkpoint_root(lake.spark)}/layers/{hashlib.sha256(state.encode()).hexdigest()[:24]}"
+        digest = uuid.uuid4().hex if lake.pinned else hashlib.sha256(state.encode()).hexdigest()[:24]
+        self.root = f"{checkpoint_root(lake.spark)}/layers/{digest}"
         self.files = Files(lake.spark, self.root)
         # Tables are written side by side, so landing files needn't be dealt out to fill the cores of one machine.
         self.lake = Lake(lake.spark, lake.landing.path, lake.clock, dealt=False)
+        self.pinned = dict(lake.pinned)
+        for name, frame in self.pinned.items():
+            self.lake.pin(name, frame)
         self._entries: dict[str, dict] = {}
         self._frames: dict[str, DataFrame] = {}
 
@@ -115,10 +122,10 @@ class LayerStore:
 
     def tables(self, names: Iterable[str]) -> dict[str, DataFrame]:
         """Stored layer tables by full name; layers below them are stored first."""
-        found: dict[str, DataFrame] = {}
         names = list(names)
+        found = {n: self.pinned[n] for n in names if n in self.pinned}
         for layer in ("bronze", "silver", "gold"):
-            wanted = [n for n in names if n.startswith(f"{layer}_")]
+            wanted = [n for n in names if n.startswith(f"{layer}_") and n not in found]
             found |= self.keep_all({n: (lambda n=n: self.lake(n)) for n in wanted})
             for n in wanted:
                 self.lake.pin(n, found[n])
@@ -144,5 +151,7 @@ class LayerStore:
         """(table_name, row_count) of every named table: one row a table, so the counts pass through the driver."""
         names = list(names)
         self.tables(names)
-        found = {r["table_name"]: r["row_count"] for r in self.footers(names).collect()}
+        found = {n: self.pinned[n].count() for n in names if n in self.pinned}
+        if written := [n for n in names if n not in found]:
+            found |= {r["table_name"]: r["row_count"] for r in self.footers(written).collect()}
         return self.spark.createDataFrame([(n, found.get(n, 0)) for n in names], "table_name string, row_count long")
