@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, mixing, secret_scan, simhash
+from ledgerloom.llm import decontaminate, mixing, near_copies, secret_scan
 from ledgerloom.llm import toxicity as toxic
 from ledgerloom.llm.support import read, shared_path
 
@@ -19,8 +19,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    """One document of each SimHash group, near copies of 0.8 or more included, stays: the one with the smallest doc_id."""
+    return near_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

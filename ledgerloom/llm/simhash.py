@@ -248,9 +248,14 @@ def groups(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     Rows without an id take part and get the id of their component, or null if no row of it has an id. Rows without
     words share the fingerprint zero. Repeated rows each come back. An empty table gives an empty result.
     """
-    prints = stored(fingerprints(docs), "fingerprints")
+    return grouped(stored(fingerprints(docs), "fingerprints"), bucket_rows)
+
+
+def grouped(prints: DataFrame, bucket_rows: int = BUCKET_ROWS, more: DataFrame | None = None) -> DataFrame:
+    """As `groups`, from stored rows (doc_id, fp); `more` are further links (a, b) between their fingerprints."""
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    star = components(links(distinct.select("fp"), bucket_rows))
+    between = links(distinct.select("fp"), bucket_rows)
+    star = components(between if more is None else between.unionByName(more))
     members = star.select(F.col("node").alias("fp"), "root").unionByName(
         star.select(F.col("root").alias("fp"), "root").distinct())
     rooted = members.join(distinct, "fp")
@@ -271,14 +276,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """The rows of `docs` with one document of each group: the one whose doc_id is the component's.
 
+    `members` are the rows that `groups` gives, if other links than its own are to count as well.
+
     Where that id stands on several rows of a group, or where no row of a group has an id, one of the rows stays: the one
     with the smallest hash of all its columns.
     """
     names = docs.columns
-    marked = stored(groups(docs), "groups")
+    marked = stored(groups(docs) if members is None else members, "groups")
     kept = marked.where(F.col("doc_id") == F.col("component_id"))
     rows = stored(kept.groupBy("doc_id").agg(F.count("*").alias("rows")), "kept")
     out = docs.join(rows.where("rows = 1").select("doc_id"), "doc_id", "left_semi")

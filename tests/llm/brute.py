@@ -56,8 +56,29 @@ def fingerprint(text):
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
-def component_ids(rows):
-    """rows: (doc_id, fingerprint); the smallest id reachable over at most two bits, for each row."""
+def shingles5(text):
+    words = SPACED.findall((text or "").translate(LOWER))
+    return {" ".join(words[i:i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set())
+
+
+def similar(a, b):
+    """Jaccard similarity of two shingle sets of 0.8 or more; empty sets are alike by their fingerprint only."""
+    shared = len(a & b)
+    return bool(shared) and 5 * shared >= 4 * (len(a) + len(b) - shared)
+
+
+def near_copy_ids(rows):
+    """rows: (doc_id, text); the smallest id reachable over two fingerprint bits or near copies, for each row."""
+    prints = [(d, fingerprint(t)) for d, t in rows]
+    of_text = {t: (shingles5(t), f) for (_, t), (_, f) in zip(rows, prints)}
+    texts, more = list(of_text.values()), []
+    for i, (a, fa) in enumerate(texts):
+        more += [(fa, fb) for b, fb in texts[i + 1:] if similar(a, b)]
+    return component_ids(prints, more)
+
+
+def component_ids(rows, more=()):
+    """rows: (doc_id, fingerprint); the smallest id reachable over at most two bits, or the links of `more`, for each row."""
     prints = sorted({f for _, f in rows})
     root = {f: f for f in prints}
 
@@ -70,6 +91,9 @@ def component_ids(rows):
         for b in prints[i + 1:]:
             if (a ^ b).bit_count() <= 2 and find(a) != find(b):
                 root[find(b)] = find(a)
+    for a, b in more:
+        if find(a) != find(b):
+            root[find(b)] = find(a)
     smallest = {}
     for d, f in rows:
         if d is not None:

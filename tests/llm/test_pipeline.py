@@ -19,8 +19,8 @@ def test_stages_in_order_against_brute_force(spark):
         return x @ lexicon.slopes + lexicon.bias >= 0
 
     kept = {d: r for d, r in rows.items() if not toxic(r.text)}
-    prints = [(d, brute.fingerprint(r.text)) for d, r in kept.items()]
-    kept = {d: kept[d] for (d, _), c in zip(prints, brute.component_ids(prints)) if d == c}
+    texts = [(d, r.text) for d, r in kept.items()]
+    kept = {d: kept[d] for (d, _), c in zip(texts, brute.near_copy_ids(texts)) if d == c}
     items = [(r.item_id, r.text) for r in support.read(spark, SMALL, "benchmark").collect()]
     kept = {d: r for d, r in kept.items() if not brute.contamination(r.text, items)[-1]}
     before = {d for d, r in kept.items() if not brute.base_spans(r.text)}
