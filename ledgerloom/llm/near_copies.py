@@ -87,7 +87,7 @@ def shingled(data: bytes | None) -> dict | None:
     least = _least(hashes)
     return {
         "sig": xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63), "n": len(hashes), "low": (_mixed(least) & np.uint64(255)).astype(np.uint8).tobytes(),
-        "bands": [xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63) for k, b in enumerate(least.reshape(BANDS, ROWS))],
+        "bands": [(xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63)) // 32 * 32 + k for k, b in enumerate(least.reshape(BANDS, ROWS))],
         "shingles": hashes.view(np.int64)}
 
 
@@ -142,30 +142,73 @@ def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sig), pa.array(out)], names=["key", "sig", "leader"])
 
 
-def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by key, the rows outside the bucket's main group first: candidates (a, b) of different groups.
+def _first_shared(low: np.ndarray, one_low: np.ndarray, band: int) -> np.ndarray:
+    """Which rows share `band`, but none before it, with one: each pair is looked at in one bucket only."""
+    equal = (low == one_low).reshape(-1, BANDS, ROWS).all(axis=2)
+    return equal[:, band] & ~equal[:, :band].any(axis=1)
 
-    Every such pair has an end outside the main group; only those rows are held.
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return (OF + SHARE) * shared >= SHARE * (len(a) + len(b))
+
+
+def across(exact: bool):
+    """For mapInArrow over rows sorted by key, the rows outside the bucket's main group first.
+
+    Every pair of different groups has an end outside the main group; only those rows are held. If not `exact`, rows
+    (a, b) are the key and the set id of each row with a possible near copy in another group. If `exact`, they are links
+    between set ids, found on whole sets, that join groups of the bucket; groups joined already are not joined again.
     """
-    key_now, held = None, None
-    for batch in batches:
-        key, sig, n, low = _columns(batch)
-        root, main = batch.column("root").to_numpy(), batch.column("main").to_numpy(zero_copy_only=False)
-        for part in _buckets(key):
-            if key[part.start] != key_now:
-                key_now, held = key[part.start], (sig[:0], n[:0], low[:0], root[:0])
-            inside = np.arange(part.start, part.stop)
-            outside = inside[~main[inside]]
-            known = len(held[0])
-            if len(outside):
-                held = tuple(np.concatenate([h, c[outside]]) for h, c in zip(held, (sig, n, low, root)))
-            for at in range(len(held[0])):
-                # a row held before meets all rows of this batch; one held now meets those after it, the main group's too
-                others = inside if at < known else inside[inside > outside[at - known]]
-                others = others[root[others] != held[3][at]]
-                found = others[_near(low[others], n[others], held[2][at], held[1][at])]
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), held[0][at])), pa.array(sig[found])], names=["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key_now, held, held_sets, seen, joined = None, None, [], np.zeros(0, bool), simhash.Forest()
+        for batch in batches:
+            key, sig, n, low = _columns(batch)
+            root, main = batch.column("root").to_numpy(), batch.column("main").to_numpy(zero_copy_only=False)
+            sets = [x.values.to_numpy() for x in batch.column("shingles")] if exact else []
+            found_a, found_b = [], []
+            for part in _buckets(key):
+                if key[part.start] != key_now:
+                    key_now, held, held_sets, seen = key[part.start], (sig[:0], n[:0], low[:0], root[:0]), [], np.zeros(0, bool)
+                    joined.parent.clear()
+                inside = np.arange(part.start, part.stop)
+                outside = inside[~main[inside]]
+                known = len(seen)
+                if len(outside):
+                    held = tuple(np.concatenate([h, c[outside]]) for h, c in zip(held, (sig, n, low, root)))
+                    seen = np.r_[seen, np.zeros(len(outside), bool)]
+                    held_sets += [sets[i] for i in outside] if exact else []
+                met = np.zeros(len(inside), bool)
+                for at in range(len(seen)):
+                    # a row held before meets all rows of this batch; one held now meets those after it
+                    others = inside if at < known else inside[inside > outside[at - known]]
+                    others = others[root[others] != held[3][at]]
+                    others = others[_near(low[others], n[others], held[2][at], held[1][at])]
+                    others = others[_first_shared(low[others], held[2][at], int(key_now) & 31)]
+                    if exact:
+                        one = int(held[3][at])
+                        for other in others.tolist():
+                            if joined.find(one) != joined.find(int(root[other])) and _alike(held_sets[at], sets[other]):
+                                joined.join(one, int(root[other]))
+                                found_a.append(int(held[0][at]))
+                                found_b.append(int(sig[other]))
+                    elif len(others):
+                        met[others - part.start] = True
+                        if at < known and not seen[at]:
+                            found_a.append(int(key_now))
+                            found_b.append(int(held[0][at]))
+                        elif at >= known:
+                            met[outside[at - known] - part.start] = True
+                        seen[at] = True
+                if not exact:
+                    if len(outside):
+                        seen[known:] |= met[outside - part.start]
+                    found_a += key[inside[met]].tolist()
+                    found_b += sig[inside[met]].tolist()
+            if found_a:
+                yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -187,10 +230,13 @@ def set_links(sets: DataFrame) -> DataFrame:
     """Links (a, b) between set ids that connect the sets of `sets` as all links of 0.8 or more would.
 
     First each row of a bucket meets its leader. What the verified links leave in several groups within a bucket is
-    compared across the groups. Equal sets are one row, so copies cost nothing here.
+    compared across the groups: rows with a possible partner are marked, and only they bring their whole sets along.
+    Each step writes no more rows than it reads. Equal sets are one row, so copies cost nothing here. A band's lowest
+    five bits are its number.
     """
     keyed = sets.select(F.explode("bands").alias("key"), "sig", "n", "low")
-    sorted_rows = keyed.repartition("key").sortWithinPartitions("key", "sig")
+    # by a hash within a bucket, so a row meets other leaders in its other buckets
+    sorted_rows = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "sig"), "sig")
     leads = stored(sorted_rows.mapInArrow(led, "key long, sig long, leader long"), "leads")
     first = stored(verified(_ordered(leads.select(F.col("sig").alias("a"), F.col("leader").alias("b"))), sets), "near-links")
     roots = components(first)
@@ -200,13 +246,18 @@ def set_links(sets: DataFrame) -> DataFrame:
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("rows"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("rows", "root")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
     rows = placed.join(mixed.select("key", F.col("most.root").alias("largest")), "key").select(
-        "key", "sig", "root", (F.col("root") == F.col("largest")).alias("main")).join(sets.select("sig", "n", "low"), "sig")
-    pairs = rows.select("key", "sig", "root", "main", "n", "low").repartition("key").sortWithinPartitions("key", "main", "sig").mapInArrow(
-        crossing, "a long, b long")
-    second = stored(verified(stored(_ordered(pairs), "crossing"), sets), "near-links")
+        "key", "sig", "root", (F.col("root") == F.col("largest")).alias("main"))
+    possible = _sorted(rows.join(sets.select("sig", "n", "low"), "sig")).mapInArrow(across(False), "a long, b long")
+    marked = stored(possible.select(F.col("a").alias("key"), F.col("b").alias("sig")).distinct(), "marked")
+    again = rows.join(marked, ["key", "sig"]).join(sets.select("sig", "n", "low", "shingles"), "sig")
+    second = stored(_sorted(again).mapInArrow(across(True), "a long, b long"), "near-links")
     return first.unionByName(second)
 
 
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", "main", "sig")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, root, component_id) as by `simhash.groups`, with links between near copies as well.
 
