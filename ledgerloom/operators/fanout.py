@@ -87,8 +87,8 @@ def left_join_many(parent: DataFrame, children: DataFrame, key: str) -> DataFram
     return alone.unionByName(matched, allowMissingColumns=True)
 
 
-def join_groups(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join of two aggregates over the same groups; NULL is a group like any other."""
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join of two aggregates over the same groups; NULL is a group like any other."""
     renamed = right.withColumnsRenamed({k: f"_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return left.join(renamed, same).drop(*[f"_{k}" for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_{k}" for k in keys])

@@ -21,6 +21,7 @@ from ledgerloom.functions.scalars import (
     ts_lit,
 )
 from ledgerloom.operators.fanout import Arm, at_least_one, join_groups, left_join_many, side_by_side
+from ledgerloom.operators.medians import group_medians
 from ledgerloom.sources.lake import Lake
 
 CUSTOMER_COLUMNS = (
@@ -128,8 +129,8 @@ def account_summary_dormancy_fixed(lake: Lake) -> DataFrame:
 def transaction_patterns(lake: Lake) -> DataFrame:
     """Monthly volumes by channel, merchant category and type.
 
-    The distinct accounts are counted on their own: next to a distinct count
-    the quantile sketches would be kept per account instead of per group.
+    The distinct accounts and the medians are found on their own: next to a distinct
+    count the other measures would be kept per account instead of per group.
     """
     keys = ["month", "channel", "merchant_category", "transaction_type"]
     rows = lake.silver("transactions").where(F.col("transaction_date").isNotNull()).select(
@@ -138,11 +139,12 @@ def transaction_patterns(lake: Lake) -> DataFrame:
         F.count(F.lit(1)).alias("transaction_count"),
         total("amount").alias("total_amount"),
         mean("amount", 2).alias("avg_amount"),
-        F.round(F.percentile_approx("amount", 0.5, 10000), 2).alias("median_amount"),
         count_where(F.col("fraud_score") > FRAUD_SCORE_ALERT).alias("high_fraud_score_count"),
     )
     accounts = rows.groupBy(*keys).agg(F.countDistinct("account_id").alias("unique_accounts"))
-    return join_groups(measures, accounts, keys)
+    medians = group_medians(rows, keys, "amount", "median_amount")
+    return join_groups(join_groups(measures, accounts, keys), medians, keys, "left").select(
+        *keys, "transaction_count", "total_amount", "avg_amount", "median_amount", "high_fraud_score_count", "unique_accounts")
 
 
 def aml_risk_scoring(lake: Lake, repeat: bool = True) -> DataFrame:
