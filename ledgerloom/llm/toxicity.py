@@ -10,18 +10,20 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.support import calibrated, held_out, training_rows
+from ledgerloom.llm.support import calibrated, held_out, stored, training_rows
 
 #: Labelled documents that lexicon and calibration are fitted on, at most.
 TRAINING_ROWS = 20_000
 THRESHOLD = 0.5
 #: Entries that a lexicon may have, and how many times the odds of any labelled document those of an entry's holders
-#: must be, at the lower end of a confidence interval this many standard deviations wide to each side.
+#: must be, at the lower end of a confidence interval this many standard deviations wide to each side. These two hold
+#: where nothing can be compared; else one pair of the grid is chosen by cross-validation over FOLDS parts of the sample.
 ENTRIES, ODDS, DEVIATIONS = 2_000, 5.0, 1.96
+GRID_ODDS, GRID_DEVIATIONS, FOLDS = (3.0, 5.0, 10.0, 20.0), (1.28, 1.96, 2.58), 5
 #: Lengths of the word beginnings that may become entries.
 STEMS = range(4, 8)
 #: Phrases in which a word of the lexicon means no harm.
@@ -81,91 +83,186 @@ def mass(text: str, automaton: ahocorasick.Automaton) -> float:
     return sum(at.values())
 
 
+def masses(text: str, automaton: ahocorasick.Automaton, lexicons: list[tuple[int, float]]) -> list[float]:
+    """`mass` of a folded text by each of several lexicons, its matches found once.
+
+    The automaton holds (length, weights by width of the interval) for entries and (length, None) for exceptions; a
+    lexicon is the place of its width and the least weight of its entries.
+    """
+    found = [(end - length + 1, end, weights) for end, (length, weights) in automaton.iter(text)]
+    spared = {place for start, end, weights in found if weights is None for place in range(start, end)}
+    live = [(start, weights) for start, _, weights in found if weights is not None and start not in spared]
+    out = []
+    for width, least in lexicons:
+        at: dict[int, float] = {}
+        for start, weights in live:
+            if weights[width] >= least:
+                at[start] = max(at.get(start, 0.0), weights[width])
+        out.append(sum(at.values()))
+    return out
+
+
+def _pair(total: float, n_words: int) -> list[float]:
+    return [math.log1p(total), math.log1p(100 * total / n_words) if n_words > 0 else 0.0]
+
+
 def measures(text: str | None, automaton: ahocorasick.Automaton | None) -> np.ndarray:
     """What a score is made of: the mass, and the mass for a hundred words, both as logarithms."""
     words = folded(text)
     total = mass(words, automaton) if automaton is not None else 0.0
-    n = words.count(" ") - 1
-    return np.array([math.log1p(total), math.log1p(100 * total / n) if n > 0 else 0.0])
+    return np.array(_pair(total, words.count(" ") - 1))
 
 
 def _terms(stems: Iterable[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Documents that hold each word or beginning, counted by label; at most 200 documents' terms are held."""
+    """Documents that hold each word or beginning, counted by fold and label; at most 200 documents' terms are held."""
     def flush(found: dict[int, Counter]) -> pa.RecordBatch:
-        terms = sorted(set(found[0]) | set(found[1]))
+        terms = sorted(set().union(*found.values()))
         return pa.RecordBatch.from_arrays(
-            [pa.array(terms, pa.string()), pa.array([found[0][t] for t in terms], pa.int64()), pa.array([found[1][t] for t in terms], pa.int64())],
-            names=["term", "clean", "toxic"])
+            [pa.array(terms, pa.string()), *[pa.array([found[k][t] for t in terms], pa.int64()) for k in range(2 * FOLDS)]],
+            names=["term", *COUNTS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, n = {0: Counter(), 1: Counter()}, 0
+        found, n = {k: Counter() for k in range(2 * FOLDS)}, 0
         for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
+            for text, fold, label in zip(batch.column("text"), batch.column("fold").to_pylist(), batch.column("label").to_pylist()):
                 words = set(folded(text.as_py()).split())
                 terms = {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in stems if len(w) >= k}
-                found[1 if label else 0].update(terms)
+                found[2 * fold + (1 if label else 0)].update(terms)
                 n += 1
                 if n % 200 == 0:
                     yield flush(found)
-                    found = {0: Counter(), 1: Counter()}
+                    found = {k: Counter() for k in range(2 * FOLDS)}
         yield flush(found)
 
     return run
 
 
-def least_share(part: Column, whole: Column, deviations: float = DEVIATIONS) -> Column:
+#: Columns of counted terms: clean and toxic holders in each fold.
+COUNTS = tuple(f"{label}{fold}" for fold in range(FOLDS) for label in ("clean", "toxic"))
+
+
+def fold_of(text: Column) -> Column:
+    """The part of the sample that a text is in: all rows of one text are in the same."""
+    return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
+
+
+def least_share(part: Column, whole: Column, deviations: Column | float = DEVIATIONS) -> Column:
     """The lower end of Wilson's interval for the share that `part` is of `whole`."""
     share, z2 = part / whole, deviations * deviations
     spread = deviations * F.sqrt(share * (1 - share) / whole + z2 / (4 * whole * whole))
     return (share + z2 / (2 * whole) - spread) / (1 + z2 / whole)
 
 
-def lexicon_terms(sample: DataFrame, entries: int = ENTRIES) -> dict[str, float]:
-    """Words and word beginnings whose holders are toxic far more often than others, with log-odds as weights.
+def weighted_terms(sample: DataFrame, odds: float, deviations: tuple[float, ...], left_out: tuple[int, ...], entries: int = ENTRIES) -> DataFrame:
+    """(left_out, deviations, term, weight) of the entries that the sample without one fold gives, none left out at -1.
 
-    The odds are those of the least share of toxic holders that the counts allow, so a few holders are enough if all of
-    them are toxic, they weigh less than many, and no number of documents is fixed.
+    `sample` has text and label. An entry is a word or word beginning whose holders are toxic at `odds` times those of
+    any document. The odds are those of the least share of toxic holders that the counts allow, so a few holders are
+    enough if all of them are toxic, they weigh less than many, and no number of documents is fixed. At most `entries`
+    entries, the heaviest, for each fold and width of the interval. Nothing where one kind of label is missing.
     """
-    totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
-    clean, toxic = totals.get(0, 0), totals.get(1, 0)
-    if not toxic or not clean:
-        return {}
-    counted = sample.select("text", "label").mapInArrow(_terms(STEMS), "term string, clean long, toxic long")
-    counted = counted.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic > 0")
-    share = least_share(F.col("toxic"), F.col("toxic") + F.col("clean"))
-    odds = share / (1 - share) / (toxic / clean)
-    chosen = counted.where(odds >= ODDS).select(
-        "term", F.round(F.log(odds), 6).alias("weight")).orderBy(F.desc("weight"), "term").limit(entries)
-    return {r["term"]: r["weight"] for r in chosen.collect()}  # `entries` rows at most
-
-
-def _measured(sent) -> Callable[[pa.Array], pa.Array]:
-    made: list = []
-
-    def run(texts: pa.Array) -> pa.Array:
+    sample = sample.select("text", "label", fold_of(F.col("text")).alias("fold"))
+    totals = {(r["fold"], r["label"]): r["n"] for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}  # two a fold
+    cases = []
+    for fold in left_out:
+        kept = [k for k in range(FOLDS) if k != fold]
+        clean, toxic = (sum(totals.get((k, label), 0) for k in kept) for label in (0, 1))
+        if clean and toxic:
+            held = {label: sum((F.col(f"{label}{k}") for k in kept), F.lit(0)).cast("double") for label in ("clean", "toxic")}
+            cases.append(F.struct(
+                F.lit(fold).alias("left_out"), held["clean"].alias("clean"), held["toxic"].alias("toxic"), F.lit(toxic / clean).alias("base")))
+    if not cases:
+        return sample.sparkSession.createDataFrame([], "left_out int, deviations double, term string, weight double")
+    counted = sample.mapInArrow(_terms(STEMS), ", ".join(["term string", *[f"{c} long" for c in COUNTS]]))
+    counted = counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    holders = counted.select("term", F.explode(F.array(*cases)).alias("c")).select("term", "c.*").where("toxic > 0")
+    holders = holders.withColumn("deviations", F.explode(F.array(*map(F.lit, deviations))))
+    share = F.when(F.col("toxic") > 0, least_share(F.col("toxic"), F.col("toxic") + F.col("clean"), F.col("deviations")))
+    ratio = share / (1 - share) / F.col("base")
+    entered = holders.where(ratio >= odds).select("left_out", "deviations", "term", F.round(F.log(ratio), 6).alias("weight"))
+    heaviest = Window.partitionBy("left_out", "deviations").orderBy(F.desc("weight"), "term")
+    return entered.withColumn("place", F.row_number().over(heaviest)).where(F.col("place") <= entries).drop("place")
+
+
+def lexicon_terms(sample: DataFrame, entries: int = ENTRIES, odds: float = ODDS, deviations: float = DEVIATIONS) -> dict[str, float]:
+    """Words and word beginnings of the whole sample that become entries, with log-odds as weights."""
+    return {r["term"]: r["weight"] for r in weighted_terms(sample, odds, (deviations,), (-1,), entries).collect()}  # `entries` rows
+
+
+def _compared(sent) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """The measures of a text by every lexicon of the grid, each made without the text's fold, one after another."""
+    made: dict[int, ahocorasick.Automaton] = {}
+
+    def run(texts: pa.Array, folds: pa.Array) -> pa.Array:
+        by_fold, exceptions, lexicons = sent.value
         if not made:
-            made.append(sent.value.automaton())
-        return pa.array([measures(t.as_py(), made[0]).tolist() for t in texts], pa.list_(pa.float64()))
+            for fold, weights in by_fold.items():
+                made[fold] = ahocorasick.Automaton()
+                for entry, by_width in weights.items():
+                    made[fold].add_word(entry, (len(entry), by_width))
+                for phrase in exceptions:
+                    made[fold].add_word(key := folded(phrase), (len(key), None))
+                made[fold].make_automaton()
+        out = []
+        for text, fold in zip(texts, folds.to_pylist()):
+            words = folded(text.as_py())
+            n = words.count(" ") - 1
+            out.append([v for total in masses(words, made[fold], lexicons) for v in _pair(total, n)])
+        return pa.array(out, pa.list_(pa.float64()))
 
     return run
 
 
+def losses(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[int, float]:
+    """Documents that measures, calibrated on their labels, predict wrongly; and their mean log-loss."""
+    v = np.clip(np.c_[x, np.ones(len(x))] @ calibrated(x, y, weight), -35, 35)
+    wrong = int(weight[(v >= 0) != (y == 1)].sum())
+    return wrong, round(float((weight * (np.log1p(np.exp(v)) - y * v)).sum() / weight.sum()), 6)
+
+
+def chosen(sample: DataFrame, entries: int = ENTRIES, exceptions: tuple[str, ...] = EXCEPTIONS) -> tuple[Lexicon, float, float]:
+    """The lexicon of the whole sample, and the odds and deviations its entries are chosen by.
+
+    Every pair of the grid makes a lexicon without each fold in turn and measures that fold's documents by it. The pair
+    whose measures, calibrated, predict the fewest documents wrongly is taken; at a tie the one of less log-loss, then of
+    fewer odds and the wider interval. The same measures calibrate the lexicon: words that stand in toxic documents by
+    chance say little about another fold. So both see training labels only, and no document by words learnt from it.
+    Where the sample without some fold gives no entries, ODDS and DEVIATIONS are taken and the sample measures itself.
+    """
+    rows = weighted_terms(sample, min(GRID_ODDS), GRID_DEVIATIONS, (-1, *range(FOLDS)), entries).collect()  # `entries` rows for each fold and width
+    by_fold: dict[int, dict[str, list[float]]] = {}
+    for r in rows:
+        by_fold.setdefault(r["left_out"], {}).setdefault(r["term"], [-1.0] * len(GRID_DEVIATIONS))[GRID_DEVIATIONS.index(r["deviations"])] = r["weight"]
+    compared = all(fold in by_fold for fold in range(FOLDS))
+    own = (ODDS, GRID_DEVIATIONS.index(DEVIATIONS))
+    pairs = [(odds, width) for odds in GRID_ODDS for width in range(len(GRID_DEVIATIONS))] if compared else [own]
+    lexicons = [(width, math.log(odds)) for odds, width in pairs]
+    sent = sample.sparkSession.sparkContext.broadcast(
+        ({k: by_fold.get(k if compared else -1, {}) for k in range(FOLDS)}, exceptions, lexicons))
+    x = F.arrow_udf(_compared(sent), T.ArrayType(T.DoubleType()))("text", fold_of(F.col("text")))
+    grouped = sample.select("label", F.transform(x, lambda v: F.round(v, 2)).alias("x")).groupBy("label", "x").agg(F.count("*").alias("n"))
+    found = grouped.orderBy("label", "x").collect()  # a row for each document of the sample at most, 24 numbers each
+    x, y, n = np.array([r["x"] for r in found]), np.array([r["label"] for r in found]), np.array([float(r["n"]) for r in found])
+    measured = [x[:, 2 * k:2 * k + 2] for k in range(len(pairs))]
+    best = min(range(len(pairs)), key=lambda k: (*losses(measured[k], y, n), pairs[k][0], -pairs[k][1]))
+    width, least = lexicons[best]
+    weights = {term: by_width[width] for term, by_width in by_fold.get(-1, {}).items() if by_width[width] >= least}
+    w = calibrated(measured[best], y, n)
+    return Lexicon(weights, exceptions, float(w[2]), (float(w[0]), float(w[1]))), pairs[best][0], GRID_DEVIATIONS[width]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAINING_ROWS, entries: int = ENTRIES,
         exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """A lexicon and its calibration from at most `rows` labelled documents that are not held out.
 
-    Without labelled rows of both kinds the lexicon is empty, and no document is toxic.
+    The sample is drawn and written once. Without labelled rows of both kinds the lexicon is empty, and no document is
+    toxic.
     """
-    sample = training_rows(docs, labels, label, rows)
-    weights = lexicon_terms(sample, entries)
-    if not weights:
+    sample = stored(training_rows(docs, labels, label, rows), "toxicity-sample")
+    if sample.select("label").distinct().count() < 2:
         return Lexicon({}, exceptions, bias=-4.0)
-    sent = docs.sparkSession.sparkContext.broadcast(Lexicon(weights, exceptions))
-    found = sample.select("label", F.arrow_udf(_measured(sent), T.ArrayType(T.DoubleType()))("text").alias("x"))
-    grouped = found.groupBy("label", F.transform("x", lambda v: F.round(v, 2)).alias("x")).agg(F.count("*").alias("n"))
-    rows_ = grouped.orderBy("label", "x").collect()  # `rows` rows at most, two numbers each
-    w = calibrated(np.array([r["x"] for r in rows_]), np.array([r["label"] for r in rows_]), np.array([float(r["n"]) for r in rows_]))
-    return Lexicon(weights, exceptions, float(w[2]), (float(w[0]), float(w[1])))
+    lexicon, _, _ = chosen(sample, entries, exceptions)
+    return lexicon if lexicon.weights else Lexicon({}, exceptions, bias=-4.0)
 
 
 def _scorer(sent) -> Callable[[pa.Array], pa.Array]:

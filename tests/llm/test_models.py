@@ -65,6 +65,30 @@ def test_few_but_only_toxic_holders_make_an_entry(spark):
     assert " viie " in terms and " words " not in terms and " piain " not in terms
 
 
+def test_masses_of_several_lexicons_equal_those_of_each():
+    fold, weights = toxicity.folded, {" vie": [1.0, 0.5], " viie ": [2.0, 0.2], " trash ": [3.0, -1.0]}
+    together = toxicity.ahocorasick.Automaton()
+    for entry, by_width in weights.items():
+        together.add_word(entry, (len(entry), by_width))
+    together.add_word(key := fold("trash can"), (len(key), None))
+    together.make_automaton()
+    texts = ("vile trash", "trash can, vile", "view of a trash heap", "", None, "trash trash can trash")
+    for width, least in ((0, 0.0), (0, 2.0), (1, 0.0), (1, 0.4)):
+        alone = toxicity.Lexicon({e: w[width] for e, w in weights.items() if w[width] >= least}, ("trash can",)).automaton()
+        for text in texts:
+            assert toxicity.masses(fold(text), together, [(width, least)]) == [toxicity.mass(fold(text), alone)]
+
+
+def test_odds_are_chosen_without_a_fold_at_a_time(spark):
+    """Words of one toxic text each say nothing about other folds; where no fold can be compared the defaults are taken."""
+    rows = [(f"filler{k} " + ("vile words" if k % 4 == 0 else "plain words"), int(k % 4 == 0)) for k in range(200)]
+    lexicon, odds, width = toxicity.chosen(spark.createDataFrame(rows, "text string, label int"))
+    assert " viie " in lexicon.weights and not any(e.startswith(" fiiier") and e.endswith(" ") for e in lexicon.weights)
+    assert odds in toxicity.GRID_ODDS and width in toxicity.GRID_DEVIATIONS
+    few = spark.createDataFrame([("vile", 1), ("plain", 0)], "text string, label int")
+    assert toxicity.chosen(few)[1:] == (toxicity.ODDS, toxicity.DEVIATIONS)
+
+
 def test_trees_learn_from_labelled_urls(spark):
     """Long digit-laden paths are bad here, whatever the host; half of the URLs are kept from the fit."""
     rows = [(f"http://h{i % 50}.example.net/{'a' * (i % 7)}" + (f"/{i * 7919 % 10**9}{i}?p={i}&q={i}" if i % 2 else "/page"), i % 2) for i in range(2000)]
