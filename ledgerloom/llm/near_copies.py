@@ -35,7 +35,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 SHINGLED = T.StructType([
     T.StructField("sig", T.LongType()), T.StructField("n", T.LongType()), T.StructField("low", T.BinaryType()),
-    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    T.StructField("bands", T.ArrayType(T.LongType()))])
+WHOLE = T.StructType([T.StructField("sig", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -79,26 +80,39 @@ def _least(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _set_id(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
 def shingled(data: bytes | None) -> dict | None:
-    """A text's set id, size, 80 signature bytes, 20 band keys and shingle hashes; None if it has no words."""
+    """A text's set id, size, 80 signature bytes and 20 band keys; None if it has no words."""
     hashes = shingle_set(data)
     if not len(hashes):
         return None
     least = _least(hashes)
     return {
-        "sig": xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63), "n": len(hashes), "low": (_mixed(least) & np.uint64(255)).astype(np.uint8).tobytes(),
-        "bands": [(xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63)) // 32 * 32 + k for k, b in enumerate(least.reshape(BANDS, ROWS))],
-        "shingles": hashes.view(np.int64)}
+        "sig": _set_id(hashes), "n": len(hashes), "low": (_mixed(least) & np.uint64(255)).astype(np.uint8).tobytes(),
+        "bands": [(xxhash.xxh64_intdigest(b.tobytes(), k) - (1 << 63)) // 32 * 32 + k for k, b in enumerate(least.reshape(BANDS, ROWS))]}
 
 
-_ARROW = pa.struct([("sig", pa.int64()), ("n", pa.int64()), ("low", pa.binary()), ("bands", pa.list_(pa.int64())),
-                    ("shingles", pa.list_(pa.int64()))])
+def whole(data: bytes | None) -> dict:
+    """A text's set id and its shingle hashes."""
+    hashes = shingle_set(data)
+    return {"sig": _set_id(hashes), "shingles": hashes.view(np.int64)}
+
+
+_ARROW = pa.struct([("sig", pa.int64()), ("n", pa.int64()), ("low", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_ARROW_WHOLE = pa.struct([("sig", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
 
 def shingled_column(text: Column) -> Column:
     return F.arrow_udf(lambda texts: pa.array([shingled(t.as_py()) for t in texts], _ARROW), SHINGLED)(text.cast("binary"))
 
 
+def whole_column(text: Column) -> Column:
+    return F.arrow_udf(lambda texts: pa.array([whole(t.as_py()) for t in texts], _ARROW_WHOLE), WHOLE)(text.cast("binary"))
+
+
 def _near(low: np.ndarray, n: np.ndarray, one_low: np.ndarray, one_n: int) -> np.ndarray:
     """Which rows can be near copies of one: sizes allow it, and enough signature bytes are equal."""
     fits = (OF * np.minimum(n, one_n) >= SHARE * np.maximum(n, one_n))
@@ -226,7 +240,23 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def set_links(sets: DataFrame) -> DataFrame:
+def crowded(sets: DataFrame) -> DataFrame:
+    """(key, sig) of the buckets that hold two sets or more; a set alone in all its buckets has no near copy."""
+    keyed = sets.select(F.explode("bands").alias("key"), "sig")
+    several = keyed.groupBy("key").agg(F.min("sig").alias("least"), F.max("sig").alias("most")).where("least < most").select("key")
+    return keyed.join(several, "key", "left_semi")
+
+
+def whole_sets(sets: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(sig, shingles) of the sets `wanted` (sig), made anew from one text of each, so that no other set is written."""
+    asked = sets.join(wanted, "sig").select("copy", F.col("sig").alias("asked"))
+    texts = docs.select("text").where("text is not null").withColumn("copy", copy_of(F.col("text"))).join(asked, "copy")
+    one = texts.groupBy("copy", "asked", F.xxhash64("text", F.lit(1)).alias("_again")).agg(F.min("text").alias("text"))
+    made = one.select("asked", whole_column(F.col("text")).alias("w")).where("w.sig = asked").select("w.*")
+    return made.groupBy("sig").agg(F.first("shingles").alias("shingles"))
+
+
+def set_links(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Links (a, b) between set ids that connect the sets of `sets` as all links of 0.8 or more would.
 
     First each row of a bucket meets its leader. What the verified links leave in several groups within a bucket is
@@ -234,11 +264,14 @@ def set_links(sets: DataFrame) -> DataFrame:
     Each step writes no more rows than it reads. Equal sets are one row, so copies cost nothing here. A band's lowest
     five bits are its number.
     """
-    keyed = sets.select(F.explode("bands").alias("key"), "sig", "n", "low")
+    buckets = stored(crowded(sets), "buckets")
+    keyed = buckets.join(sets.select("sig", "n", "low"), "sig")
     # by a hash within a bucket, so a row meets other leaders in its other buckets
     sorted_rows = keyed.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "sig"), "sig")
     leads = stored(sorted_rows.mapInArrow(led, "key long, sig long, leader long"), "leads")
-    first = stored(verified(_ordered(leads.select(F.col("sig").alias("a"), F.col("leader").alias("b"))), sets), "near-links")
+    pairs = stored(_ordered(leads.select(F.col("sig").alias("a"), F.col("leader").alias("b"))), "pairs")
+    first_sets = stored(whole_sets(sets, pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), docs), "whole-sets")
+    first = stored(verified(pairs, first_sets), "near-links")
     roots = components(first)
     placed = leads.select("key", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select(
         "key", "sig", F.coalesce("root", "sig").alias("root"))
@@ -249,11 +282,19 @@ def set_links(sets: DataFrame) -> DataFrame:
         "key", "sig", "root", (F.col("root") == F.col("largest")).alias("main"))
     possible = _sorted(rows.join(sets.select("sig", "n", "low"), "sig")).mapInArrow(across(False), "a long, b long")
     marked = stored(possible.select(F.col("a").alias("key"), F.col("b").alias("sig")).distinct(), "marked")
-    again = rows.join(marked, ["key", "sig"]).join(sets.select("sig", "n", "low", "shingles"), "sig")
+    asked = marked.select("sig").distinct()
+    more = whole_sets(sets, asked.join(first_sets, "sig", "left_anti"), docs)
+    again = rows.join(marked, ["key", "sig"]).join(sets.select("sig", "n", "low"), "sig").join(
+        first_sets.join(asked, "sig", "left_semi").unionByName(more), "sig")
     second = stored(_sorted(again).mapInArrow(across(True), "a long, b long"), "near-links")
     return first.unionByName(second)
 
 
+def copy_of(text: Column) -> Column:
+    """Names the texts that are the same; different texts of one name are told apart by their sets."""
+    return F.xxhash64(text)
+
+
 def _sorted(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "main", "sig")
 
@@ -266,13 +307,13 @@ def groups(docs: DataFrame) -> DataFrame:
     one group. Rows without an id take part. An empty table gives an empty result.
     """
     text = F.col("text")
-    prints = stored(docs.select("doc_id", simhash.fingerprint_column(text).alias("fp"), shingled_column(text).alias("s")), "shingled")
-    sets = prints.where("s is not null").select("fp", "s.*").groupBy("sig").agg(
-        F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bands").alias("bands"),
-        F.first("shingles").alias("shingles"))
+    prints = stored(docs.select(
+        "doc_id", simhash.fingerprint_column(text).alias("fp"), copy_of(text).alias("copy"), shingled_column(text).alias("s")), "shingled")
+    sets = prints.where("s is not null").select("fp", "copy", "s.*").groupBy("sig").agg(
+        F.min("fp").alias("fp"), F.min("copy").alias("copy"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("bands").alias("bands"))
     sets = stored(sets, "sets")
     fp_of = sets.select("sig", "fp")
-    between = set_links(sets).join(fp_of.select(F.col("sig").alias("a"), F.col("fp").alias("fa")), "a").join(
+    between = set_links(sets, docs).join(fp_of.select(F.col("sig").alias("a"), F.col("fp").alias("fa")), "a").join(
         fp_of.select(F.col("sig").alias("b"), F.col("fp").alias("fb")), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     # copies of one set whose fingerprints differ, as repeats of a shingle count there
     same = prints.where("s is not null").select("fp", F.col("s.sig").alias("sig")).distinct().join(
