@@ -249,7 +249,8 @@ def crowded(sets: DataFrame) -> DataFrame:
 
 def whole_sets(sets: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(sig, shingles) of the sets `wanted` (sig), made anew from one text of each, so that no other set is written."""
-    asked = sets.join(wanted, "sig").select("copy", F.col("sig").alias("asked"))
+    # written first, so that Catalyst knows its size and need not shuffle the texts where it is small
+    asked = stored(sets.join(wanted, "sig").select("copy", F.col("sig").alias("asked")), "asked")
     texts = docs.select("text").where("text is not null").withColumn("copy", copy_of(F.col("text"))).join(asked, "copy")
     one = texts.groupBy("copy", "asked", F.xxhash64("text", F.lit(1)).alias("_again")).agg(F.min("text").alias("text"))
     made = one.select("asked", whole_column(F.col("text")).alias("w")).where("w.sig = asked").select("w.*")
