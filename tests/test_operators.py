@@ -3,9 +3,12 @@ from __future__ import annotations
 import sys
 from decimal import Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom import oracle_catalog
+from ledgerloom.catalog import QUERIES
 from ledgerloom.operators.aligned import append_aligned
 from ledgerloom.operators.closure import closure
 from ledgerloom.operators.fanout import Arm, join_groups, left_join_many, side_by_side
@@ -13,6 +16,8 @@ from ledgerloom.operators.latest import latest
 from ledgerloom.operators.policy import apply_policy
 from ledgerloom.plans.gold.risk import sample_stddev
 from ledgerloom.sources.refdata import FEE_TIERS, in_range
+from tests.conftest import SMALL
+from tests.support import TABLES, difference
 
 
 def rows(df):
@@ -32,6 +37,23 @@ def test_latest_settles_ties_the_same_way_in_any_order(spark):
     assert len(picks) == 1
 
 
+def test_latest_settles_ties_by_the_columns_in_their_order(spark):
+    data = [(1, 5, "a", 9), (1, 5, "c", None), (1, 5, "c", 1), (1, 4, "z", 9), (2, 5, None, 7), (2, 5, "", 0)]
+    df = spark.createDataFrame(data, "k int, created_at int, v string, w int")
+    assert rows(latest(df, "k")) == [(1, 5, "c", 1), (2, 5, "", 0)]
+
+
+def test_silver_is_that_of_its_sql_where_keys_are_cut_to_their_width(spark, tmp_path):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'" if t != "supplier" else
+                    f"CREATE TABLE {t} AS SELECT t.* REPLACE (s_suppkey + i * 10 AS s_suppkey) FROM range(1200) r(i), '{SMALL}/{t}.parquet' t")
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    for name in ("silver_advisors", "silver_branches", "silver_cost_centers"):
+        got, want = QUERIES[name](spark, str(tmp_path)), con.execute(oracle_catalog()[name])
+        assert not difference(got.columns, [tuple(r) for r in got.collect()], [d[0] for d in want.description], want.fetchall()), name
+
+
 def test_latest_is_idempotent(spark, lake):
     once = latest(lake.bronze("customers"), "customer_id")
     assert rows(latest(once, "customer_id")) == rows(once)
