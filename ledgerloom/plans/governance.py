@@ -157,7 +157,7 @@ def retention_starts(lake, table: str) -> DataFrame:
 
     The period starts at the creation of the record, at the end of the fiscal year of the row, or at the end or last
     activity of the relation. An account runs until it is no longer active, then counts from its closure or last
-    transaction; a loan counts from its maturity or last payment, whichever is later. `lake` is a lake, or a store of one.
+    transaction; a loan counts from its maturity or last payment, whichever is later. `lake` gives tables by name.
     """
     rows = lake(f"silver_{table}")
     if retention_family(table) == "creation":
@@ -177,10 +177,9 @@ def retention_starts(lake, table: str) -> DataFrame:
 
 
 def retention_due(lake: Lake) -> DataFrame:
-    """Rows past their retention period, for every silver table: stored tables, one aggregate over all of them."""
+    """Rows past their retention period, for every silver table: one aggregate over all of them, nothing stored."""
     today = day_lit(lake.clock.book_day)
-    stored = lake.stored.tables([f"silver_{t}" for t in SILVER])
-    starts = reduce(DataFrame.unionByName, [retention_starts(stored.__getitem__, t).select(
+    starts = reduce(DataFrame.unionByName, [retention_starts(lake.undealt, t).select(
         F.lit(t).alias("table_name"), F.lit(retention_years(t)).alias("retention_years"), "start") for t in SILVER])
     found = starts.groupBy("table_name", "retention_years").agg(
         F.count(F.lit(1)).alias("rows_total"),
@@ -209,9 +208,8 @@ def freshness_check(lake: Lake) -> DataFrame:
     """
     assets = asset_sources()
     sources = list(dict.fromkeys(a[4] for a in assets))
-    stored = lake.stored.tables([f"bronze_{s}" for s in sources])
     # Loads stamped after the run's clock are late arrivals of the fixture, not fresher data.
-    loads = reduce(DataFrame.unionByName, [stored[f"bronze_{s}"].select(
+    loads = reduce(DataFrame.unionByName, [lake.undealt(f"bronze_{s}").select(
         F.lit(s).alias("source"), ts_lit(lake.now_of(s)).alias("now"),
         F.when(F.col("created_at") <= ts_lit(lake.now_of(s)), F.col("created_at")).alias("loaded_at")) for s in sources])
     found = loads.groupBy("source", "now").agg(F.max("loaded_at").alias("loaded_at"))
