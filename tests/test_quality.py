@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.aligned import align
-from ledgerloom.plans.quality import dirty, injected_rows, rerun_delta
+from ledgerloom.plans.governance import freshness_check, retention_due
+from ledgerloom.plans.quality import SCANNED, all_results, dirty, injected_rows, rerun_delta
 from ledgerloom.quality.engine import evaluate, quarantine
 from ledgerloom.quality.profile import column_sketches, merged_profile, profile, summaries
 from ledgerloom.quality.rules import HAS_ROWS, INJECTION_RULES, RULES, matches, min_rows, not_null, unique
-from ledgerloom.sources.lake import lake_for
+from ledgerloom.sources.lake import Lake, lake_for
+from ledgerloom.sources.store import LayerStore
 from tests.conftest import SMALL
 from tests.test_plans import plan
 
@@ -128,6 +130,19 @@ def test_stored_layers_follow_the_landing_files(spark, tmp_path):
     assert store.root != lake_for(spark, str(tmp_path)).stored.root
 
 
+def test_rules_and_dates_of_whole_layers_write_no_layers(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a layer was stored")
+
+    monkeypatch.setattr(LayerStore, "keep", refuse)
+    lake = Lake(spark, SMALL)
+    counts = {r.table_name: r.rows_evaluated for r in all_results(lake).collect() if r.rule_name == "has-rows"}
+    assert set(counts) == set(SCANNED) - set(RULES)
+    for table in ("bronze_holdings", "silver_portfolios", "silver_fee_schedules", "silver_employees", "gold_aml_risk_scoring"):
+        assert counts[table] == lake(table).count()
+    assert retention_due(lake).count() == 40 and freshness_check(lake).count() == 23
+
+
 def test_row_counts_read_footers_only(spark, lake):
     lake.stored.tables(["silver_loans", "silver_branches"])
     text = plan(lake.stored.footers(["silver_loans", "silver_branches"]))
