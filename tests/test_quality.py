@@ -1,13 +1,14 @@
 from __future__ import annotations
 
+import sys
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.aligned import align
-from ledgerloom.plans.governance import freshness_check, retention_due
-from ledgerloom.plans.quality import SCANNED, all_results, dirty, injected_rows, rerun_delta
+from ledgerloom.plans.governance import freshness_check, pii_leak_scan, retention_due
+from ledgerloom.plans.quality import SCANNED, all_results, dirty, injected_rows, profile_all, rerun_delta
 from ledgerloom.quality.engine import evaluate, quarantine
 from ledgerloom.quality.profile import column_sketches, merged_profile, profile, summaries
 from ledgerloom.quality.rules import HAS_ROWS, INJECTION_RULES, RULES, matches, min_rows, not_null, unique
@@ -143,6 +144,29 @@ def test_rules_and_dates_of_whole_layers_write_no_layers(spark, monkeypatch):
     assert retention_due(lake).count() == 40 and freshness_check(lake).count() == 23
 
 
+def test_profiles_and_leak_scan_write_sketches_at_most(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(LayerStore, "keep", lambda self, name, build: written.append(name) or build())
+    lake = Lake(spark, SMALL)
+    profile_all(lake)
+    assert len(written) == len(SCANNED) and all(n.startswith("sketches-") for n in written)
+    written.clear()
+    pii_leak_scan(lake)
+    assert written == []
+
+
+def test_keys_are_sought_in_later_columns_only_where_needed(spark, monkeypatch):
+    asked = []
+    module = sys.modules[summaries.__module__]
+    plain = module.text_values
+    monkeypatch.setattr(module, "text_values", lambda tables, wanted: asked.append(dict(wanted)) or plain(tables, wanted))
+    df = spark.createDataFrame([(i, i // 2, i) for i in range(4)], "a_id int, b_id int, c_id int")
+    tables = {"silver_first": df, "silver_later": df.select("b_id", "c_id", "a_id")}
+    counts = spark.createDataFrame([(t, 4) for t in tables], "table_name string, row_count long")
+    assert {r.table_name: r.pk_column for r in summaries(tables, counts).collect()} == {"silver_first": "a_id", "silver_later": "c_id"}
+    assert asked == [{"silver_first": ["a_id"], "silver_later": ["b_id"]}, {"silver_later": ["c_id"]}]
+
+
 def test_row_counts_read_footers_only(spark, lake):
     lake.stored.tables(["silver_loans", "silver_branches"])
     text = plan(lake.stored.footers(["silver_loans", "silver_branches"]))
