@@ -42,3 +42,8 @@ def test_scan_reads_only_the_columns_needed(spark):
 def test_period_filter_reaches_the_event_scan(spark):
     text = plan(QUERIES["ev_event_counts"](spark, SMALL))
     assert "GreaterThan(ts," in text
+
+
+def test_positions_are_summed_before_they_are_spread_over_the_quarters(spark):
+    tree = plan(QUERIES["snapshot_quarterly_positions"](spark, SMALL)).split("\n\n")[0]
+    assert 0 < tree.index("Generate") < tree.index("HashAggregate")
