@@ -47,3 +47,8 @@ def test_period_filter_reaches_the_event_scan(spark):
 def test_positions_are_summed_before_they_are_spread_over_the_quarters(spark):
     tree = plan(QUERIES["snapshot_quarterly_positions"](spark, SMALL)).split("\n\n")[0]
     assert 0 < tree.index("Generate") < tree.index("HashAggregate")
+
+
+def test_a_table_with_bad_rows_is_read_and_joined_once(spark):
+    tree = plan(QUERIES["dirty_wires"](spark, SMALL)).split("\n\n")[0]
+    assert tree.count("Scan parquet") == 2 and "Union" not in tree
