@@ -52,3 +52,7 @@ def test_positions_are_summed_before_they_are_spread_over_the_quarters(spark):
 def test_a_table_with_bad_rows_is_read_and_joined_once(spark):
     tree = plan(QUERIES["dirty_wires"](spark, SMALL)).split("\n\n")[0]
     assert tree.count("Scan parquet") == 2 and "Union" not in tree
+
+
+def test_allocation_does_not_repeat_holdings_for_its_distinct_counts(spark):
+    assert "Expand" not in plan(QUERIES["gold_asset_allocation"](spark, SMALL))
