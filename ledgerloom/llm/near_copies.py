@@ -26,6 +26,8 @@ BANDS, ROWS = 20, 4
 HASHES = BANDS * ROWS
 #: Pairs with fewer equal bytes of the 80 are no candidates: of pairs at 0.8 about 1 in 100,000 has fewer.
 LEAST_EQUAL = 48
+#: Bits of the filter in front of the join with texts, in pages of 32,768: 2 MB at most, however many sets are asked for.
+FILTER_BITS = 1 << 24
 
 _draw = np.random.Generator(np.random.PCG64(20))
 _TIMES = _draw.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -247,11 +249,24 @@ def crowded(sets: DataFrame) -> DataFrame:
     return keyed.join(several, "key", "left_semi")
 
 
+def likely(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of `texts` whose `copy` is among those `asked`, and few others: so the rest need no shuffle to be dropped.
+
+    A bit is set for each copy asked for. Texts that only share a bit with one are left to the join that follows.
+    """
+    place = F.pmod("copy", F.lit(FILTER_BITS))
+    page, bit = F.floor(place / 32768).cast("int"), (place % 32768).cast("int")
+    pages = asked.select(page.alias("page"), bit.alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    found = texts.withColumns({"page": page, "bit": bit}).join(F.broadcast(pages), "page")
+    byte = F.conv(F.hex(F.expr("substring(bits, bit div 8 + 1, 1)")), 16, 10).cast("int")
+    return found.where((byte / F.pow(F.lit(2), F.col("bit") % 8)).cast("int") % 2 == 1).select(*texts.columns)
+
+
 def whole_sets(sets: DataFrame, wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(sig, shingles) of the sets `wanted` (sig), made anew from one text of each, so that no other set is written."""
-    # written first, so that Catalyst knows its size and need not shuffle the texts where it is small
+    # written first, as it is read twice
     asked = stored(sets.join(wanted, "sig").select("copy", F.col("sig").alias("asked")), "asked")
-    texts = docs.select("text").where("text is not null").withColumn("copy", copy_of(F.col("text"))).join(asked, "copy")
+    texts = likely(docs.select("text").where("text is not null").withColumn("copy", copy_of(F.col("text"))), asked).join(asked, "copy")
     one = texts.groupBy("copy", "asked", F.xxhash64("text", F.lit(1)).alias("_again")).agg(F.min("text").alias("text"))
     made = one.select("asked", whole_column(F.col("text")).alias("w")).where("w.sig = asked").select("w.*")
     return made.groupBy("sig").agg(F.first("shingles").alias("shingles"))

@@ -96,3 +96,14 @@ def test_one_row_of_each_group_stays_and_columns_are_kept(spark):
 def test_an_empty_table_has_no_groups(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_copies.groups(empty).count() == 0 and near_copies.keep_one(empty).count() == 0
+
+
+def test_texts_not_asked_for_go_before_the_join(spark):
+    texts = spark.range(20000).selectExpr("xxhash64(id) AS copy", "id")
+    asked = texts.where("id % 97 = 0").select("copy")
+    kept = near_copies.likely(texts, asked)
+    assert kept.columns == ["copy", "id"] and kept.where("id % 97 = 0").count() == asked.count() == 207
+    assert kept.count() < 250
+    ends = spark.createDataFrame([(x,) for x in (0, -1, 1, 7, 8, 32767, 32768, 2**63 - 1, -2**63)], "copy long")
+    assert near_copies.likely(ends, ends.distinct()).distinct().count() == 8 + 1
+    assert near_copies.likely(ends, ends.limit(0)).count() == 0
