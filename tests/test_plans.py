@@ -56,3 +56,7 @@ def test_a_table_with_bad_rows_is_read_and_joined_once(spark):
 
 def test_allocation_does_not_repeat_holdings_for_its_distinct_counts(spark):
     assert "Expand" not in plan(QUERIES["gold_asset_allocation"](spark, SMALL))
+
+
+def test_portfolio_performance_does_not_repeat_holdings_for_its_distinct_counts(spark):
+    assert "Expand" not in plan(QUERIES["gold_portfolio_performance_grain_safe"](spark, SMALL))
