@@ -21,6 +21,7 @@ GROWN = {
 }
 CUT = (
     "bq_filing_readiness",
+    "silver_gl_accounts",
 )
 
 
