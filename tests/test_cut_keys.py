@@ -22,6 +22,7 @@ GROWN = {
 CUT = (
     "bq_filing_readiness",
     "silver_gl_accounts",
+    "silver_securities",
 )
 
 
