@@ -24,6 +24,7 @@ CUT = (
     "silver_gl_accounts",
     "silver_securities",
     "gl_hierarchy_rollup",
+    "gold_advisor_scorecard_grain_safe",
 )
 
 
