@@ -26,6 +26,7 @@ CUT = (
     "gl_hierarchy_rollup",
     "gold_advisor_scorecard_grain_safe",
     "gold_liquidity_coverage",
+    "hierarchy_closure_gl",
 )
 
 
