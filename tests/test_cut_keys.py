@@ -27,6 +27,7 @@ CUT = (
     "gold_advisor_scorecard_grain_safe",
     "gold_liquidity_coverage",
     "hierarchy_closure_gl",
+    "ref_cusip_master",
 )
 
 
