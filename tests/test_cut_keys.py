@@ -28,6 +28,7 @@ CUT = (
     "gold_liquidity_coverage",
     "hierarchy_closure_gl",
     "ref_cusip_master",
+    "ref_isin_mapping",
 )
 
 
