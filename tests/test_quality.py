@@ -1,16 +1,17 @@
 from __future__ import annotations
 
 import sys
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.aligned import align
 from ledgerloom.plans.governance import freshness_check, pii_leak_scan, retention_due
-from ledgerloom.plans.quality import SCANNED, all_results, dirty, injected_rows, profile_all, rerun_delta
+from ledgerloom.plans.quality import SCANNED, all_results, dirty, injected_rows, profile_all, profile_sampled, rerun_delta
+from ledgerloom.plans.silver import SILVER, beside, refine
 from ledgerloom.quality.engine import evaluate, quarantine
-from ledgerloom.quality.profile import column_sketches, merged_profile, profile, summaries
+from ledgerloom.quality.profile import Part, column_sketches, merged_profile, part_sketches, portable_sample, profile, summaries
 from ledgerloom.quality.rules import HAS_ROWS, INJECTION_RULES, RULES, matches, min_rows, not_null, unique
 from ledgerloom.sources.lake import Lake, lake_for
 from ledgerloom.sources.store import LayerStore
@@ -103,6 +104,51 @@ def test_sketches_merge_to_the_exact_profile(spark):
     assert (s.distinct_count, s.min_text, s.max_text, s.median, s.mean) == (12, "", "k9", None, None)
 
 
+def test_tables_in_the_rows_of_one_frame_have_the_profiles_of_their_own(spark):
+    rows = [(f"T{i}" if i % 9 else None, f"A{i % 4}" if i % 5 else None, i if i % 7 else -i) for i in range(400)]
+    bronze = spark.createDataFrame(rows, "transaction_id string, account_id string, amount int").selectExpr(
+        "transaction_id", "account_id", "cast(amount / 8 as decimal(18,2)) as amount", "timestamp_ntz'2020-01-01' as created_at").repartition(3)
+    now = datetime(2001, 8, 1)
+    frame, mark, places = beside("transactions", bronze, now)
+    silver = refine("transactions", bronze, now)
+    assert list(places) == silver.columns and 0 < silver.count() < 400
+    parts = [Part("d", "all", {c: c for c in bronze.columns}), Part("d", "kept", places, mark)]
+    for part in (lambda df: df, portable_sample):
+        got = merged_profile(part_sketches(part(frame), parts))
+        alone = merged_profile(column_sketches(part(bronze), "d", "all").unionByName(column_sketches(part(silver), "d", "kept")))
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, alone.collect()), key=repr)
+    assert part_sketches(frame.where("amount < 0 and not _passes"), parts).select("table_name").distinct().collect() == [("all",)]
+
+
+def test_sketches_take_texts_of_every_type(spark):
+    df = spark.sql("""select * from values (date'0900-01-01', -0.0D, true, '', 1.50BD), (date'+10000-01-01', 0.0D, null, 'a', 1.50BD),
+        (null, 0.0D, false, null, -2.25BD) as t(day, number, flag, label, money)""")
+    got = {r.column_name: r for r in merged_profile(column_sketches(df, "d", "t")).collect()}
+    for f in df.schema:
+        texts = [str(r[0]) for r in df.select(F.col(f.name).cast("string")).where(F.col(f.name).isNotNull()).collect()]
+        row = got[f.name]
+        assert (row.distinct_count, row.null_count) == (len(set(texts)), 3 - len(texts))
+        if f.name in ("day", "flag", "label"):
+            assert (row.min_text, row.max_text) == (min(texts), max(texts))
+    assert (got["number"].distinct_count, got["money"].min_number, got["money"].mean) == (2, -2.25, 0.25)
+
+
+@pytest.mark.parametrize("query", [profile_all, profile_sampled])
+def test_silver_that_takes_bronze_rows_one_by_one_is_sketched_with_bronze(spark, monkeypatch, query):
+    module, alone, together = sys.modules[query.__module__], [], []
+    found = spark.createDataFrame([("t",)], "table_name string")
+    monkeypatch.setattr(LayerStore, "_read_or_write", lambda self, name, build: build())
+    monkeypatch.setattr(module, "merged_profile", lambda sketches: sketches)
+    monkeypatch.setattr(module, "column_sketches", lambda df, dataset, table: alone.append(table) or found)
+    monkeypatch.setattr(module, "part_sketches", lambda df, parts: together.append([p.table for p in parts]) or found)
+    lake = Lake(spark, SMALL)
+    lake.pin("silver_trades", lake("silver_trades"))
+    query(lake)
+    pairs = {n for n, spec in SILVER.items() if not spec.dedupe} - {"trades"}
+    assert sorted(together) == sorted([f"bronze_{n}", f"silver_{n}"] for n in pairs)
+    assert sorted(alone) == sorted(set(SCANNED) - {t for pair in together for t in pair})
+
+
 def test_sketches_keep_to_their_error_bound(spark):
     """Beyond the exact range: distinct values within four standard deviations, quartiles within a tenth of a percent of ranks."""
     n = 400_000
