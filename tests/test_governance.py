@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.policy import apply_policy
-from ledgerloom.plans.governance import LEAK_TABLES, freshness_check, pii_leak_scan, retention_due, retention_starts
+from ledgerloom.plans.governance import LEAK_TABLES, freshness_check, leaks, pii_leak_scan, retention_due, retention_starts
 from ledgerloom.plans.gold import GOLD
 from ledgerloom.plans.quality import by_term
 from ledgerloom.plans.silver import SILVER
 from ledgerloom.sources.lake import Lake
 from tests.conftest import SMALL
+from tests.test_plans import plan
 
 
 def test_source_that_was_never_loaded_is_not_fresh(spark):
@@ -51,3 +52,12 @@ def test_leak_scan_reads_every_silver_and_gold_table(spark):
         found[table, column, pattern] = lake(table).count()
     got = {(r.table_name, r.column_name, r.pattern): r.hits for r in pii_leak_scan(lake).collect()}
     assert all(n > 0 and got[key] == n for key, n in found.items())
+
+
+def test_leaks_are_counted_by_column_and_pattern_without_rebuilding_rows(spark):
+    rows = [("123-45-6789", "x"), ("1-2", None), ("a-123-45-6789-b (555) 123-4567", "a.b@example.org"), (None, "no@where"), ("--", ""), ("12-345-6789", "(5) 5-5")]
+    df = spark.createDataFrame(rows, "one string, `two b` string").selectExpr("*", "1 as n")
+    found = leaks(df, "t")
+    assert {tuple(r) for r in found.collect()} == {("t", "one", "ssn", 2), ("t", "one", "phone", 1), ("t", "two b", "email", 1)}
+    assert leaks(df.select("n"), "t") is None
+    assert "lambda" not in plan(found)
