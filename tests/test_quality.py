@@ -213,6 +213,19 @@ def test_keys_are_sought_in_later_columns_only_where_needed(spark, monkeypatch):
     assert asked == [{"silver_first": ["a_id"], "silver_later": ["b_id"]}, {"silver_later": ["c_id"]}]
 
 
+def test_keys_are_sought_by_hash_and_chance_is_told_from_repeats(spark, monkeypatch):
+    module, grouped = sys.modules[summaries.__module__], []
+    plain = module._repeats
+    monkeypatch.setattr(module, "_repeats", lambda values, by: grouped.append("xxhash64" in str(by)) or plain(values, by))
+    rows = spark.range(200)
+    same = spark.createDataFrame([("1",), ("1",), ("2",)], "a_id string")
+    monkeypatch.setattr(F, "xxhash64", lambda c: F.expr(f"if({c} in ('7', '8'), 1L, xxhash64({c}))"))  # two that agree by chance
+    tables = {"silver_chance": rows.selectExpr("id as a_id"), "silver_few": same, "silver_many": rows.selectExpr("id % 9 as a_id")}
+    got = {r.table_name: (r.row_count, r.pk_column) for r in summaries(tables, None).collect()}
+    assert got == {"silver_chance": (200, "a_id"), "silver_few": (3, None), "silver_many": (200, None)}
+    assert grouped == [True, False]
+
+
 def test_row_counts_read_footers_only(spark, lake):
     lake.stored.tables(["silver_loans", "silver_branches"])
     text = plan(lake.stored.footers(["silver_loans", "silver_branches"]))
